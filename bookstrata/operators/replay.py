@@ -420,10 +420,14 @@ def _slice_quotes(log: DataFrame, carried: DataFrame | None, wanted: DataFrame |
         *[F.col(f"pos.{f}").alias(f) for f in _POS_FIELDS],
     )
     if carried is not None:
+        # Zeros rather than NULLs: a NULL would turn the 64-bit columns into doubles in pandas.
         start = carried.select(
-            *columns, F.lit(True).alias("opened"), F.lit(True).alias("carried")
+            *columns,
+            F.lit(True).alias("opened"),
+            F.lit(True).alias("carried"),
+            *[F.lit(0).cast(rows.schema[f].dataType).alias(f) for f in _POS_FIELDS],
         )
-        rows = rows.unionByName(start, allowMissingColumns=True)
+        rows = rows.unionByName(start)
     if wanted is not None:
         rows = rows.join(wanted, ["ticker", "epoch", "slice"], "left_semi")
     return rows.groupBy("ticker", "epoch", "slice").applyInPandas(_walk_quotes, _QUOTE_SCHEMA)
