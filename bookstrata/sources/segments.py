@@ -195,9 +195,11 @@ def _read_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 yield pd.DataFrame(held, columns=columns)
 
 
-def read_segments(spark: SparkSession, root: str, suffix: str = ".zst") -> DataFrame:
+def read_segments(spark: SparkSession, root: str | list[str], suffix: str = ".zst") -> DataFrame:
     """Every record of the segments under ``root/YYYY-MM-DD/HH/``, and one facts row per file.
 
+    ``root`` may also be a list of such hour folders.
+
     Rows of kind 0 carry a file's facts as JSON; see :func:`segment_facts`. A truncated tail ends a
     file quietly; damage, an unknown kind or a bad header ends it and is noted in the facts.
     """
