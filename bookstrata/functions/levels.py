@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bookstrata.functions.exact import _col
 
@@ -19,7 +20,7 @@ PRICE_BITS = 19
 COUNT_BITS = 44
 
 
-@F.pandas_udf("bigint")
+@F.pandas_udf(T.LongType())
 def _mix64(packed: pd.Series) -> pd.Series:
     """splitmix64 over whole Arrow batches; uint64 arithmetic wraps, BIGINT under ANSI would not."""
     first, second = (np.uint64(m) for m in MIX_MULTIPLIERS)
@@ -46,9 +47,9 @@ def level_mix64(side: Column | str, price: Column | str, count: Column | str) ->
 def unsigned(value: Column | str) -> Column:
     """A signed 64-bit pattern read as an unsigned number."""
     number = _col(value).cast("decimal(20,0)")
-    return F.when(number < 0, number + F.lit(TWO_64).cast("decimal(20,0)")).otherwise(number)
+    return F.when(number < 0, number + F.lit(str(TWO_64)).cast("decimal(20,0)")).otherwise(number)
 
 
 def checksum_of(hashes: Column | str) -> Column:
     """Aggregate: the sum of level hashes modulo 2^64, whatever order they come in."""
-    return (F.sum(unsigned(hashes)) % F.lit(TWO_64).cast("decimal(20,0)")).cast("decimal(20,0)")
+    return (F.sum(unsigned(hashes)) % F.lit(str(TWO_64)).cast("decimal(20,0)")).cast("decimal(20,0)")

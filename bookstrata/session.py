@@ -37,6 +37,7 @@ def local_session(name: str = "bookstrata", cores: str = "*", partitions: int =
         .appName(name)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "12g")
     )
     for key, value in SETTINGS.items():
