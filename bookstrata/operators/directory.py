@@ -105,7 +105,7 @@ def recorder_health(reports: DataFrame, now_mono_ns: int) -> DataFrame:
     latest = reports.agg(F.max_by(F.struct(*reports.columns), "received_mono_ns").alias("r")).select("r.*")
     age = F.lit(now_mono_ns) - F.col("received_mono_ns")
     return latest.select(
-        "*", (age <= F.col("interval_s") * RECORDING_INTERVALS * NS_PER_S).alias("recording"),
+        "*", (age <= F.col("interval_s").cast("bigint") * RECORDING_INTERVALS * NS_PER_S).alias("recording"),
         floor_div(age, NS_PER_MS).alias("age_ms"),
     )
 

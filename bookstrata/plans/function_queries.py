@@ -230,8 +230,8 @@ ORACLE = {
         CAST(floor(log10(ceiling)) AS INTEGER) + 1 AS ticks, reference,
         round(least(14.0, greatest(2.0, sqrt(c / reference) * 14.0)), 6) AS radius, bin, bin % 2048 AS slot FROM s""",
     "display_labels": f"""WITH {LISTING_SQL}, v AS (SELECT *, volume_24h // 100 AS c, close_ts - 1704067200 AS r, yes_bid % 100 AS fr FROM listing)
-      SELECT ticker, volume_24h, coalesce(concat(yes_bid // 100, CASE WHEN fr = 0 THEN '' WHEN fr % 10 = 0 THEN concat('.', fr // 10)
-          ELSE concat('.', lpad(CAST(fr AS VARCHAR), 2, '0')) END, '¢'), '—') AS bid,
+      SELECT ticker, volume_24h, CASE WHEN yes_bid IS NULL THEN '—' ELSE concat(yes_bid // 100, CASE WHEN fr = 0 THEN '' WHEN fr % 10 = 0 THEN concat('.', fr // 10)
+          ELSE concat('.', lpad(CAST(fr AS VARCHAR), 2, '0')) END, '¢') END AS bid,
         format('{{:,}}', c) AS volume,
         CASE WHEN c < 1000 THEN CAST(c AS VARCHAR) WHEN c < 10000 THEN concat(regexp_replace(printf('%.1f', c / 1000.0), '\\.0$', ''), 'K')
           WHEN c < 1000000 THEN concat(c // 1000, 'K') ELSE concat(regexp_replace(printf('%.1f', c / 1000000.0), '\\.0$', ''), 'M') END AS compact,
