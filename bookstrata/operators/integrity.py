@@ -211,7 +211,20 @@ def market_stints(classified: DataFrame, facts: DataFrame) -> DataFrame:
     """
     messages = book_messages(classified)
     leaves = _leave_requests(classified, messages)
-    marked = messages.select(
+    key = ["segment", "ticker"]
+    left_once = leaves.select(*key).distinct()
+    # Most markets are never told to leave: one stint from their first message to the end.
+    first = F.min_by(F.struct("sid", "wall"), "ordinal")
+    plain = (
+        messages.groupBy(*key)
+        .agg(F.min("ordinal").alias("from_ordinal"), first.alias("f"))
+        .join(left_once, key, "left_anti")
+        .select(
+            *key, F.col("f.sid").alias("sid"), "from_ordinal", F.col("f.wall").alias("from_wall"),
+            F.lit(_FAR).alias("to_ordinal"), F.lit(0).cast("bigint").alias("to_wall"),
+        )
+    )
+    marked = messages.join(left_once, key, "left_semi").select(
         "segment", "ticker", "ordinal", "wall", F.lit(False).alias("leaving"),
         F.col("sid").alias("number"),
     ).unionByName(
@@ -221,20 +234,19 @@ def market_stints(classified: DataFrame, facts: DataFrame) -> DataFrame:
         )
     )
     marked = marked.withColumn("block", floor_div("ordinal", ORDINAL_BLOCK))
-    left = F.when(F.col("leaving"), 1).otherwise(0)
-    numbered = running(
-        marked, ["segment", "ticker"], ["block"], ["ordinal"], {"leaves": Running("sum", left)}
-    )
+    gone = F.when(F.col("leaving"), 1).otherwise(0)
+    numbered = running(marked, key, ["block"], ["ordinal"], {"leaves": Running("sum", gone)})
     firsts = (
         numbered.where(~F.col("leaving"))
-        .groupBy("segment", "ticker", "leaves")
+        .groupBy(*key, "leaves")
         .agg(F.min(F.struct("ordinal", "wall", "leaving", "number")).alias("r"))
-        .select("segment", "ticker", "r.*")
+        .select(*key, "r.*")
     )
     few = firsts.unionByName(
-        numbered.where("leaving").select("segment", "ticker", "ordinal", "wall", "leaving", "number")
+        numbered.where("leaving").select(*key, "ordinal", "wall", "leaving", "number")
     )
-    stints = few.groupBy("segment", "ticker").applyInPandas(_walk_stints, _STINT_SCHEMA)
+    walked = few.groupBy(*key).applyInPandas(_walk_stints, _STINT_SCHEMA)
+    stints = plain.unionByName(walked)
     ends = facts.select("segment", "hour_label", F.col("last_recv_wall_ns").alias("last_wall"))
     open_end = F.col("to_ordinal") == _FAR
     return stints.join(ends, "segment").withColumn(

@@ -19,8 +19,8 @@ The shape of the job:
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
-from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -353,45 +353,48 @@ _QUOTE_SCHEMA = (
 _POS_FIELDS = ["stretch", "mono", "src", "k_ts", "k_seq", "wall", "k_side", "k_price", "k_delta"]
 
 
-def _walk_quotes(keys: tuple[Any, ...], rows: pd.DataFrame) -> pd.DataFrame:
-    """Best prices after each change of one bounded slice in which a level opens or closes."""
-    ticker, epoch, slice_no = keys
-    carried = rows["carried"].to_numpy()
-    start = rows[carried]
-    open_bids = set(start.loc[start["side"] == BID, "price_e4"])
-    open_asks = set(start.loc[start["side"] == ASK, "price_e4"])
-    best_bid = max(open_bids, default=None)
-    best_ask = min(open_asks, default=None)
-    moves = rows[~carried].sort_values(_POS_FIELDS, kind="stable")
-    out_bid, out_ask = [], []
-    for side, price, opened in zip(moves["side"], moves["price_e4"], moves["opened"], strict=True):
-        if side == EMPTY:
-            pass
-        elif side == BID:
-            if opened:
-                open_bids.add(price)
-                best_bid = price if best_bid is None else max(best_bid, price)
-            else:
-                open_bids.discard(price)
-                if price == best_bid:
-                    best_bid = max(open_bids, default=None)
-        elif opened:
-            open_asks.add(price)
-            best_ask = price if best_ask is None else min(best_ask, price)
-        else:
-            open_asks.discard(price)
-            if price == best_ask:
-                best_ask = min(open_asks, default=None)
-        out_bid.append(best_bid)
-        out_ask.append(best_ask)
-    out = moves[_POS_FIELDS].copy()
-    out.insert(0, "slice", slice_no)
-    out.insert(0, "epoch", epoch)
-    out.insert(0, "ticker", ticker)
-    out["bid"] = pd.array(out_bid, dtype="Int32")
-    out["ask"] = pd.array(out_ask, dtype="Int32")
-    # All levels of one image take effect together: only the last row of a position counts.
-    return out.drop_duplicates(_POS_FIELDS, keep="last")
+def _walk_quotes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Best prices after each change that opens or closes a level.
+
+    Rows come sorted by slice, carried levels first, then position. Only one book is held at a time,
+    and only the last row of a position is kept, because all levels of an image act together.
+    """
+    columns = ["ticker", "epoch", "slice", *_POS_FIELDS, "bid", "ask"]
+    numbers = {c: "Int32" for c in ("bid", "ask")}
+    here, bids, asks, best_bid, best_ask = None, set(), set(), None, None
+    pending = None
+    for batch in batches:
+        out = []
+        keys = zip(batch["ticker"], batch["epoch"], batch["slice"], strict=True)
+        moves = zip(batch["side"], batch["price_e4"], batch["opened"], batch["carried"], strict=True)
+        places = batch[_POS_FIELDS].itertuples(index=False, name=None)
+        for key, (side, price, opened, carried), place in zip(keys, moves, places, strict=True):
+            if key != here:
+                here, bids, asks, best_bid, best_ask = key, set(), set(), None, None
+            if side == BID:
+                if opened:
+                    bids.add(price)
+                    best_bid = price if best_bid is None else max(best_bid, price)
+                else:
+                    bids.discard(price)
+                    if price == best_bid:
+                        best_bid = max(bids, default=None)
+            elif side == ASK:
+                if opened:
+                    asks.add(price)
+                    best_ask = price if best_ask is None else min(best_ask, price)
+                else:
+                    asks.discard(price)
+                    if price == best_ask:
+                        best_ask = min(asks, default=None)
+            if carried:
+                continue
+            if pending is not None and pending[:12] != (*key, *place):
+                out.append(pending)
+            pending = (*key, *place, best_bid, best_ask)
+        yield pd.DataFrame(out, columns=columns).astype(numbers)
+    if pending is not None:
+        yield pd.DataFrame([pending], columns=columns).astype(numbers)
 
 
 def _toggles(log: DataFrame) -> DataFrame:
@@ -430,7 +433,10 @@ def _slice_quotes(log: DataFrame, carried: DataFrame | None, wanted: DataFrame |
         rows = rows.unionByName(start)
     if wanted is not None:
         rows = rows.join(wanted, ["ticker", "epoch", "slice"], "left_semi")
-    return rows.groupBy("ticker", "epoch", "slice").applyInPandas(_walk_quotes, _QUOTE_SCHEMA)
+    laid = rows.repartition("ticker", "epoch", "slice").sortWithinPartitions(
+        "ticker", "epoch", "slice", F.col("carried").desc(), *_POS_FIELDS
+    )
+    return laid.mapInPandas(_walk_quotes, _QUOTE_SCHEMA)
 
 
 def _pos_struct() -> Column:

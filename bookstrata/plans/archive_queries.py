@@ -14,6 +14,7 @@ from bookstrata.operators import records as R
 from bookstrata.operators import retention as P
 from bookstrata.operators import sequences as Q
 from bookstrata.plans import shared
+from bookstrata.plans.book_queries import _FULL
 from bookstrata.plans.book_queries import ORACLE as BOOK_ORACLE
 from bookstrata.plans.catalog import Catalog
 from bookstrata.session import materialize, scratch_path
@@ -486,6 +487,12 @@ ORACLE = {
       count(*) FILTER (oc = 'consistent') AS books_consistent, count(*) FILTER (oc = 'inconsistent') AS books_inconsistent, count(*) FILTER (oc = 'undecidable') AS books_undecidable,
       CAST(coalesce(sum(event_id % 7) FILTER (oc <> 'undecidable'), 0) AS BIGINT) AS levels_mismatched, count(*) FILTER (oc IN ('exact', 'consistent')) AS passed,
       count(*) FILTER (oc <> 'undecidable') AS den FROM rec WHERE fm = 'A' GROUP BY 1""",
+    "connection_status": f"""{_FULL}, {_RAW.split(", form AS", 1)[1].join(["form AS", ""])},
+      sb AS (SELECT CAST(regexp_extract(ticker, 'T([0-9]+)$', 1) AS INTEGER) % 4 AS conn_id, count(*) AS n FROM f_end WHERE stale GROUP BY 1)
+      SELECT CAST(rec.conn_id AS INTEGER) AS conn_id, count(*) FILTER (fm IN ('D','S','T')) AS frames, count(*) FILTER (fm = 'G') AS gaps,
+        greatest(0, count(*) FILTER (fm = 'C' AND ev = 'open') - 1) AS reconnects, coalesce(max(sb.n), 0) AS stale_books,
+        CAST(coalesce(sum(event_id % 10) FILTER (fm = 'C' AND ev = 'writer_overflow'), 0) AS BIGINT) AS sink_dropped
+      FROM rec LEFT JOIN sb ON sb.conn_id = rec.conn_id GROUP BY 1""",
     "sequence_verdicts": f"WITH {FEED_SQL}, {_MSG} SELECT * FROM vd",
     "gap_counters": f"WITH {FEED_SQL}, {_MSG} SELECT conn_id, count(*) AS messages, count(*) FILTER (verdict = 'gap') AS gaps, count(*) FILTER (verdict = 'duplicate') AS duplicates FROM vd GROUP BY 1",
     "bus_continuity": f"WITH {FEED_SQL}, {_BUS} SELECT arrival, reset, missed, CAST(count(reset) OVER (ORDER BY arrival) AS BIGINT) AS generation FROM bc",
@@ -522,9 +529,9 @@ ORACLE = {
         UNION ALL SELECT dt, hour, 7 FROM per WHERE f % 13 <> 0 AND f % 23 = 0 UNION ALL SELECT dt, hour, 8 FROM per WHERE f % 13 <> 0 AND f % 23 <> 0 AND f % 29 = 0),
       di AS (SELECT DISTINCT dt, hour, r, min(r) OVER (PARTITION BY dt, hour) AS lo FROM rs),
       tx AS (SELECT dt, hour, string_agg(([{', '.join(repr(r) for r in P.PRUNE_REASONS)}])[r + 1], ',' ORDER BY r) AS reasons FROM di WHERE r <> 9 OR lo = 9 GROUP BY 1, 2),
-      by AS (SELECT dt, hour, sum(bytes + CASE WHEN k % 60 = 2 THEN 1 ELSE 0 END) AS b FROM inv WHERE k % 50 <> 1 GROUP BY 1, 2)
+      bx AS (SELECT dt, hour, sum(bytes + CASE WHEN k % 60 = 2 THEN 1 ELSE 0 END) AS b FROM inv WHERE k % 50 <> 1 GROUP BY 1, 2)
       SELECT per.dt, per.hour, reasons IS NULL AS prunable, coalesce(reasons, '') AS reasons, CASE WHEN reasons IS NULL THEN CAST(coalesce(b, 0) AS BIGINT) ELSE 0 END AS bytes_freed
-      FROM per LEFT JOIN tx USING (dt, hour) LEFT JOIN by USING (dt, hour)""",
+      FROM per LEFT JOIN tx USING (dt, hour) LEFT JOIN bx USING (dt, hour)""",
     "hours_to_bake": f"""WITH {_INV}, d AS (SELECT dt, hour, bool_or(k % 50 = 1 OR k % 60 = 2) AS differs, bool_or(k % 50 <> 1) AS here FROM inv GROUP BY 1, 2)
       SELECT dt, hour, why FROM (SELECT dt, hour, CASE WHEN f % 13 = 0 THEN CASE WHEN here THEN 'never_baked' END WHEN f % 17 = 0 THEN 'version_stale'
         WHEN f % 23 = 0 THEN 'part_missing' WHEN differs THEN 'segments_differ' END AS why FROM per JOIN d USING (dt, hour) WHERE f % 31 <> 0) WHERE why IS NOT NULL""",

@@ -23,7 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every event as one feed row with its kind: S image, G gap, T trade or D delta."""
-    events = table(spark, sf_dir, "events")
+    return feed_of(table(spark, sf_dir, "events"))
+
+
+def feed_of(events: DataFrame) -> DataFrame:
+    """The feed mapping over an events table or stream."""
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     eid, uid = F.col("event_id"), F.col("user_id")
     kind = (

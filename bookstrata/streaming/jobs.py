@@ -32,12 +32,18 @@ def run_available(spark: SparkSession, stream: DataFrame, name: str, checkpoint:
 
 
 def stream_table(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
-    """A Parquet folder or file as a stream."""
+    """A Parquet folder, or one Parquet file, as a stream."""
     configure(spark)
     reader = spark.readStream.schema(schema)
     if files_per_trigger is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(path)
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if system.getFileStatus(place).isDirectory():
+        return reader.parquet(path)
+    # A file source watches a folder, so one file is picked out of its folder by name.
+    folder, name = path.rsplit("/", 1)
+    return reader.option("pathGlobFilter", name).parquet(folder)
 
 
 def keep_latest(spark: SparkSession, stream: DataFrame, key: str, order: str, path: str, checkpoint: str) -> None:
