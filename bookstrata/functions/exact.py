@@ -16,31 +16,43 @@ def _col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def _plain(decimals: int, sign: str = "-?") -> str:
+    """Pattern of plain decimal text exact at some places; zeros after them change nothing."""
+    return rf"{sign}[0-9]+(?:\.[0-9]{{1,{decimals}}}0*)?"
+
+
+# Text of a value in 0..1 dollar, and text of a count that is not negative.
+PRICE_TEXT = rf"\A(?:-?0+(?:\.0+)?|0*1(?:\.0+)?|{_plain(PRICE_DECIMALS, '').replace('[0-9]+', '0+', 1)})\z"
+COUNT_TEXT = rf"\A(?:-0+(?:\.0+)?|{_plain(COUNT_DECIMALS, '')})\z"
+
+
+def _digits(text: Column, decimals: int) -> Column:
+    """Plain decimal text with its point moved right and dropped, as BIGINT; NULL on overflow."""
+    padded = F.concat(text, F.when(F.instr(text, ".") > 0, "").otherwise("."), F.lit("0" * decimals))
+    whole = F.substring_index(padded, ".", 1)
+    fraction = F.substring(F.substring_index(padded, ".", -1), 1, decimals)
+    return F.concat(whole, fraction).try_cast("bigint")
+
+
 def parse_scaled(text: Column | str, decimals: int) -> Column:
     """Scale plain decimal text to a BIGINT exactly; NULL when it is not exact.
 
-    A decimal cast alone would round extra digits, so the text must match in full first. Trailing
-    zeros beyond the kept places are accepted because they change nothing.
+    A decimal cast alone would round extra digits, so the text must match in full first.
     """
     text = _col(text)
-    plain = text.rlike(rf"\A-?[0-9]+(\.[0-9]{{1,{decimals}}}0*)?\z")
-    whole = F.regexp_extract(text, r"\A-?([0-9]+)", 1)
-    fraction = F.rpad(F.regexp_extract(text, rf"\.([0-9]{{1,{decimals}}})", 1), decimals, "0")
-    magnitude = F.concat(whole, fraction).try_cast("bigint")
-    sign = F.when(text.startswith("-"), F.lit(-1)).otherwise(F.lit(1))
-    return F.when(plain, magnitude * sign)
+    return F.when(text.rlike(rf"\A{_plain(decimals)}\z"), _digits(text, decimals))
 
 
 def parse_price(text: Column | str) -> Column:
     """Dollar price text to 1/10,000 dollar, NULL unless it lies in 0..1 dollar."""
-    value = parse_scaled(text, PRICE_DECIMALS)
-    return F.when(value.between(0, PRICE_SCALE), value.cast("int"))
+    text = _col(text)
+    return F.when(text.rlike(PRICE_TEXT), _digits(text, PRICE_DECIMALS).cast("int"))
 
 
 def parse_count(text: Column | str) -> Column:
     """Contract count text to 1/100 contract, NULL when negative or inexact."""
-    value = parse_scaled(text, COUNT_DECIMALS)
-    return F.when(value >= 0, value)
+    text = _col(text)
+    return F.when(text.rlike(COUNT_TEXT), _digits(text, COUNT_DECIMALS))
 
 
 def parse_signed_count(text: Column | str) -> Column:

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from bookstrata import schemas
 from bookstrata.functions.clock import segment_hour
 from bookstrata.functions.exact import (
+    COUNT_TEXT,
+    PRICE_TEXT,
     complement,
     parse_count,
     parse_price,
@@ -83,11 +85,13 @@ def _raw_levels(pairs: Column, to_yes: Column | bool) -> Column:
 
 
 def _levels_ok(pairs: Column) -> Column:
+    # Patterns decide; a count of up to 16 digits fits a BIGINT in hundredths.
     good = F.forall(
         pairs,
         lambda p: (F.size(p) == 2)
-        & parse_price(F.get(p, F.lit(0))).isNotNull()
-        & parse_count(F.get(p, F.lit(1))).isNotNull(),
+        & F.get(p, F.lit(0)).rlike(PRICE_TEXT)
+        & F.get(p, F.lit(1)).rlike(COUNT_TEXT)
+        & (F.length(F.get(p, F.lit(1))) <= 19),
     )
     return F.coalesce(good, pairs.isNull())
 
@@ -114,7 +118,7 @@ def _frame_ok() -> Column:
     book = sid & m["market_ticker"].isNotNull()
     delta = (
         book
-        & parse_price(m["price_dollars"]).isNotNull()
+        & m["price_dollars"].rlike(PRICE_TEXT)
         & parse_signed_count(m["delta_fp"]).isNotNull()
         & F.coalesce(m["side"].isin("yes", "no"), F.lit(False))
     )
@@ -122,7 +126,7 @@ def _frame_ok() -> Column:
     trade = (
         book
         & _present(m["trade_id"], m["no_price_dollars"], m["ts_ms"])
-        & parse_price(m["yes_price_dollars"]).isNotNull()
+        & m["yes_price_dollars"].rlike(PRICE_TEXT)
         & parse_count(m["count_fp"]).isNotNull()
         & F.coalesce(m["taker_book_side"].isin("bid", "ask"), F.lit(False))
     )

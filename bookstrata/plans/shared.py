@@ -35,6 +35,11 @@ def once(spark: SparkSession, sf_dir: str, name: str, make: Callable[[], tuple[A
     return _held[key][0]
 
 
+def forget() -> None:
+    """Drop every shared result, so that the next query starts from the input tables."""
+    _held.clear()
+
+
 def whole_replay(spark: SparkSession, sf_dir: str) -> R.Books:
     """Replay of the whole sample feed, not shared: what a caller of the catalog runs."""
     return R.replay(
