@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from bookstrata.functions.exact import PRICE_SCALE
 from bookstrata.functions.markets import ACTIVE_STATUS, THRESHOLD_STRIKES, yes_mid
+from bookstrata.operators.directory import as_last_reported
 from bookstrata.session import materialize
 
 # Every reason a listed market is not recorded, in the order selection applies them.
@@ -238,7 +239,7 @@ def select(
     policy: Policy,
     now_ts: int,
     categories: DataFrame | None = None,
-    pinned: Mapping[str, Sequence[str]] | None = None,
+    pinned: DataFrame | Mapping[str, Sequence[str]] | None = None,
 ) -> Decision:
     """Choose the markets to record.
 
@@ -247,7 +248,8 @@ def select(
         policy: The rules.
         now_ts: Unix seconds of the decision.
         categories: ``(series_ticker, category)``; series missing from it match no category group.
-        pinned: Markets a group keeps from an earlier decision instead of choosing again.
+        pinned: Markets a group keeps from an earlier decision instead of choosing again: lists by
+            group, or a table ``(group, ticker, pos)`` that pins every group.
     """
     spark = listing.sparkSession
     markets = dedupe_listing(listing).withColumn("reason", rejection(policy, now_ts))
@@ -261,11 +263,13 @@ def select(
     passed: DataFrame | None = None
     for number, group in enumerate(policy.groups):
         left = eligible if chosen is None else eligible.join(chosen.select("ticker"), "ticker", "left_anti")
-        held = None if pinned is None else pinned.get(group.name)
-        if held is not None:
-            pins = spark.createDataFrame(
-                [(t, i) for i, t in enumerate(dict.fromkeys(held))], "ticker string, pos int"
-            )
+        pins = None
+        if isinstance(pinned, DataFrame):
+            pins = pinned.where(F.col("group") == group.name).groupBy("ticker").agg(F.min("pos").alias("pos"))
+        elif pinned is not None and group.name in pinned:
+            held = dict.fromkeys(pinned[group.name])
+            pins = spark.createDataFrame([(t, i) for i, t in enumerate(held)], "ticker string, pos int")
+        if pins is not None:
             mine = left.join(pins, "ticker").select(
                 "ticker", "series_ticker", "event_ticker", "pos", F.lit(number).alias("group_no")
             )
@@ -305,6 +309,16 @@ def select(
     return Decision(chosen=chosen, reasons=reasons, duplicates=extras, policy=policy)
 
 
+def remove_closed(decision: Decision, listing: DataFrame, state: DataFrame, now_ts: int) -> Decision:
+    """The decision without markets that closed or ended since, everything else kept as it was.
+
+    ``state`` is the output of :func:`bookstrata.operators.directory.lifecycle_state`.
+    """
+    admitted = decision.admitted().select("group", "ticker", F.col("place").alias("pos"))
+    markets = dedupe_listing(listing).drop("extra").join(admitted.select("ticker"), "ticker", "left_semi")
+    return select(as_last_reported(markets, state), decision.policy, now_ts, pinned=admitted)
+
+
 def series_per_category(categories: DataFrame, wanted: Sequence[str]) -> DataFrame:
     """Series known per wanted category, zeros included."""
     every = categories.sparkSession.createDataFrame([(c,) for c in wanted], "category string")

@@ -261,3 +261,82 @@ def live_books(messages: DataFrame, policy: str = "drop") -> DataFrame:
     return messages.groupBy("ticker").transformWithStateInPandas(
         LiveBook(policy), outputStructType=BOOK_SCHEMA, outputMode="Append", timeMode="None"
     )
+
+
+class RefreshingBook(LiveBook):
+    """A live book that also repeats its whole state every interval of processing time."""
+
+    def __init__(self, policy: str, every_ms: int) -> None:
+        super().__init__(policy)
+        self._every_ms = every_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self._handle = handle
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        if not list(self._handle.listTimers()):
+            self._handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self._every_ms)
+        yield from super().handleInputRows(key, rows, timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self._status, self._generation, text = self._state.get()
+        self._levels = {(s, p): c for s, p, c in json.loads(text)}
+        self._handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self._every_ms)
+        row = (
+            key[0], -1, self._generation, "image", self._status, self._status, "image", "snapshot",
+            self._best(0), self._best(1), len(self._levels),
+        )
+        names = [c.split()[0] for c in BOOK_SCHEMA.split(", ")]
+        yield pd.DataFrame([row], columns=names).astype({"best_bid": "Int32", "best_ask": "Int32"})
+
+
+def refreshing_books(messages: DataFrame, policy: str = "stale", every_ms: int = 10_000) -> DataFrame:
+    """Live books with a periodic image of each; see :func:`live_books` for the input."""
+    return messages.groupBy("ticker").transformWithStateInPandas(
+        RefreshingBook(policy, every_ms),
+        outputStructType=BOOK_SCHEMA,
+        outputMode="Append",
+        timeMode="ProcessingTime",
+    )
+
+
+FOLLOW_UP_TRIES = 4
+FOLLOW_UP_SCHEMA = "group string, event_ticker string, arrival bigint, outcome string, attempts int"
+
+
+class FollowUps(StatefulProcessor):
+    """Re-listings asked for while an admitted event still holds a market without a price.
+
+    An event is asked for at most four times, then given up until all of its markets are priced.
+    """
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self._state = handle.getValueState("follow_up", "attempts int, gave_up boolean")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        attempts, gave_up = self._state.get() if self._state.exists() else (0, False)
+        out = []
+        for row in _in_order(rows).itertuples(index=False):
+            if row.unpriced == 0:
+                if attempts and not gave_up:
+                    out.append((*key, row.arrival, "priced", attempts))
+                attempts, gave_up = 0, False
+            elif not gave_up and attempts >= FOLLOW_UP_TRIES:
+                gave_up = True
+                out.append((*key, row.arrival, "gave_up", attempts))
+            elif not gave_up:
+                attempts += 1
+                out.append((*key, row.arrival, "requested", attempts))
+        self._state.update((attempts, gave_up))
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in FOLLOW_UP_SCHEMA.split(", ")])
+
+    def close(self) -> None:
+        pass
+
+
+def follow_up_unpriced(listings: DataFrame) -> DataFrame:
+    """Follow-up requests over ``(group, event_ticker, arrival, unpriced)`` listing results."""
+    return listings.groupBy("group", "event_ticker").transformWithStateInPandas(
+        FollowUps(), outputStructType=FOLLOW_UP_SCHEMA, outputMode="Append", timeMode="None"
+    )
