@@ -11,11 +11,11 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bookstrata.functions.clock import NS_PER_MS
+from bookstrata.functions.clock import NS_PER_MINUTE, NS_PER_MS
 from bookstrata.functions.exact import floor_div
 from bookstrata.functions.grid import BIN_MS, depth_value, row_for_price
 from bookstrata.operators.replay import Timeline, applied_rows
-from bookstrata.operators.running import Running, running
+from bookstrata.operators.running import Running, latest_rows, running
 
 # Column status codes, from best to worst.
 FRESH, STALE, UNKNOWN, GAP = 0, 1, 2, 3
@@ -40,13 +40,21 @@ def wall_bin(wall_ns: Column | str, origin_ns: int, bin_ms: int = BIN_MS) -> Col
 
 
 def _epochs(line: Timeline, origin_ns: int, bin_ms: int) -> DataFrame:
-    """Each epoch's bins: it is shown from the bin it starts in until a later epoch's first bin."""
+    """Each epoch's bins: it is shown from the bin it starts in until a later epoch's first bin.
+
+    Only the last epoch to start in a bin is shown at all, so the bins are looked along with one row
+    per bin, however many images a market has.
+    """
     starts = line.log.groupBy("ticker", "epoch").agg(F.min("wall").alias("wall"))
-    order = Window.partitionBy("ticker").orderBy("epoch")
-    starts = starts.withColumn("start_bin", wall_bin("wall", origin_ns, bin_ms))
-    return starts.select(
-        "ticker", "epoch", "start_bin", F.lead("start_bin").over(order).alias("next_bin")
-    )
+    starts = starts.select("ticker", "epoch", wall_bin("wall", origin_ns, bin_ms).alias("start_bin"))
+    order = Window.partitionBy("ticker").orderBy("start_bin")
+    shown = starts.groupBy("ticker", "start_bin").agg(F.max("epoch").alias("shown"))
+    shown = shown.withColumn("following", F.lead("start_bin").over(order))
+    last = F.col("epoch") == F.col("shown")
+    return starts.join(shown, ["ticker", "start_bin"]).select(
+        "ticker", "epoch", "start_bin",
+        F.when(last, F.col("following")).otherwise(F.col("start_bin")).alias("next_bin"),
+    )
 
 
 def _spread(df: DataFrame, first: Column, last: Column, lo: int, hi: int) -> DataFrame:
@@ -163,21 +171,20 @@ def sample_bins(columns: DataFrame, asked: DataFrame, head: DataFrame) -> DataFr
 
 
 def trade_points(trades: DataFrame, origin_ns: int, bin_ms: int = BIN_MS, keep: int = TRADE_CAPACITY) -> DataFrame:
-    """Where each market's latest trades are drawn: fractional bin, price, contracts and side.
-
-    The rank filter runs before the shuffle too, so a busy market ships only ``keep`` rows per task.
-    """
-    latest = Window.partitionBy("ticker").orderBy(F.col("recv_wall_ns").desc(), F.col("trade_id").desc())
+    """Where each market's latest trades are drawn: fractional bin, price, contracts and side."""
     at = F.greatest(F.lit(0.0), (F.col("recv_wall_ns") - origin_ns) / (bin_ms * NS_PER_MS))
+    timed = trades.withColumn("block", floor_div("recv_wall_ns", NS_PER_MINUTE))
     return (
-        trades.withColumn("nth", F.row_number().over(latest))
-        .where(F.col("nth") <= keep)
+        latest_rows(timed, ["ticker"], "block", ["recv_wall_ns", "trade_id"], keep)
         .select("ticker", "trade_id", at.alias("bin"), "price_e4", (F.col("count_e2") / 100).alias("contracts"), "taker_side")
     )
 
 
 def recent_trades(trades: DataFrame, n: int = SHOWN_TRADES) -> DataFrame:
-    """Each market's latest trades, newest first."""
+    """Each market's latest trades, newest first.
+
+    The rank filter also runs before the shuffle, so a busy market ships only a few rows per task.
+    """
     latest = Window.partitionBy("ticker").orderBy(F.col("recv_wall_ns").desc(), F.col("trade_id").desc())
     return trades.withColumn("nth", F.row_number().over(latest)).where(F.col("nth") <= min(n, RECENT_TRADES))
 

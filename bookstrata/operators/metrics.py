@@ -13,7 +13,7 @@ from bookstrata.operators.running import Running, asof_join, running
 CANDLE_MS = 60_000
 SLICE_CAP = 5_000_000
 # Block width of as-of lookups; the time axis is monotonic nanoseconds.
-BLOCK_NS = 60 * NS_PER_MINUTE
+BLOCK_NS = NS_PER_MINUTE
 
 
 def trade_candles(trades: DataFrame, width_ms: int = CANDLE_MS) -> DataFrame:
@@ -41,7 +41,7 @@ def candle_agreement(ours: DataFrame, listed: DataFrame, fields: tuple[str, ...]
     )
 
 
-def trade_fees(trades: DataFrame, fee_changes: DataFrame, block_ms: int = 86_400_000) -> DataFrame:
+def trade_fees(trades: DataFrame, fee_changes: DataFrame, block_ms: int = 3_600_000) -> DataFrame:
     """Taker fee of each trade under the regime in force when it happened.
 
     ``fee_changes`` holds ``(series_ticker, effective_ms, rate_num, rate_den)``.

@@ -100,6 +100,24 @@ def running(
     )
 
 
+def latest_rows(
+    df: DataFrame, keys: Sequence[str], block: str, order: Sequence[str], n: int
+) -> DataFrame:
+    """The last ``n`` rows of each key, exactly.
+
+    Row counts per block tell which blocks can hold them, so only those blocks' rows are ranked
+    and a hot key never sends more than ``n`` rows and one block to a task.
+    """
+    counts = df.groupBy(*keys, block).agg(F.count(F.lit(1)).alias("__n"))
+    later = Window.partitionBy(*keys).orderBy(F.col(block).desc())
+    after = F.sum("__n").over(later.rowsBetween(Window.unboundedPreceding, -1))
+    needed = counts.where(F.col("__n") > 0).withColumn("__after", F.coalesce(after, F.lit(0)))
+    needed = needed.where(F.col("__after") < n).select(*keys, block)
+    rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order]))
+    held = df.join(needed, [*keys, block], "left_semi").withColumn("__rank", rank)
+    return held.where(F.col("__rank") <= n).drop("__rank")
+
+
 def asof_join(
     left: DataFrame,
     right: DataFrame,

@@ -53,7 +53,7 @@ def interpret(raw: DataFrame) -> Baked:
     )
 
 
-def bake(spark: SparkSession, raw_root: str, archive_root: str, salts: int = 1) -> Baked:
+def bake(spark: SparkSession, raw_root: str | list[str], archive_root: str) -> Baked:
     """Read every segment under a folder and replace its hours' tables.
 
     Baking the same segments again writes the same rows, so a repeated or interrupted run is safe.
@@ -63,6 +63,6 @@ def bake(spark: SparkSession, raw_root: str, archive_root: str, salts: int = 1)
     hours = [r.hour_label for r in baked.facts.select("hour_label").distinct().collect()]
     for name, rows in baked.tables.items():
         kept = [r.h for r in rows.select(F.col("hour_label").alias("h")).distinct().collect()]
-        T.write_table(rows, archive_root, name, tie=("segment", "ordinal"), salts=salts)
+        T.write_table(rows, archive_root, name, tie=("segment", "ordinal"))
         T.drop_partitions(spark, archive_root, name, sorted(set(hours) - set(kept)))
     return baked

@@ -282,7 +282,7 @@ def trade_fees(spark, sf):
         F.struct(F.unix_millis(F.lit("1995-06-01").cast("timestamp")).alias("effective_ms"), F.lit(35).alias("rate_num"), F.lit(1_000).alias("rate_den")),
         F.struct(F.unix_millis(F.lit("2024-01-01").cast("timestamp")).alias("effective_ms"), F.lit(5).alias("rate_num"), F.lit(100).alias("rate_den")),
     )
-    fees = M.trade_fees(trades, series.select("series_ticker", F.inline(steps)), 30 * 86_400_000)
+    fees = M.trade_fees(trades, series.select("series_ticker", F.inline(steps)))
     return fees.groupBy("series_ticker").agg(F.count(F.lit(1)).alias("trades"), F.sum("fee_e6").alias("fee_e6"))
 
 

@@ -19,9 +19,11 @@ from bookstrata.functions.clock import (
     hour_of_day,
     keyframe_slot,
 )
+from bookstrata.session import materialize
 
 BUCKETS = 64
 MAX_PART_ROWS = 500_000
+TASK_ROWS = 5_000_000
 KEYFRAME_LOOKBACK_HOURS = 24
 KEYFRAME_INTERVAL_S = 300
 
@@ -42,14 +44,14 @@ def write_table(
     name: str,
     tie: Sequence[str] = (),
     max_rows: int = MAX_PART_ROWS,
-    salts: int = 1,
+    task_rows: int = TASK_ROWS,
 ) -> None:
     """Write rows into their hour partitions, replacing each hour written as a whole.
 
     ``rows`` carries the stored columns and ``hour_label``. Rows of one (hour, bucket) are sorted in
-    one task and split into files of at most ``max_rows``. With ``salts`` above 1 a bucket is spread
-    over that many tasks, for hours in which one key holds a large share of the rows; each file is
-    still sorted, and files of one bucket then cover the same keys.
+    one task and split into files of at most ``max_rows``. Buckets are counted first, and one that
+    holds more than ``task_rows`` in an hour, because of a hot key, is spread over enough tasks. Each
+    file is still sorted; the files of such a bucket then cover the same keys.
 
     Args:
         rows: The rows.
@@ -57,7 +59,7 @@ def write_table(
         name: Table name.
         tie: Extra columns that order rows equal in all sort keys.
         max_rows: Rows per file.
-        salts: Tasks per bucket.
+        task_rows: Rows of one bucket and hour a task should take.
     """
     spec = schemas.TABLES[name]
     extra = [c for c in tie if c in rows.columns and c not in spec.schema.fieldNames()]
@@ -66,15 +68,23 @@ def write_table(
         *extra,
         F.substring("hour_label", 1, 10).alias("dt"),
         F.substring("hour_label", 12, 2).alias("hour"),
+        bucket_of(spec.partition_key).alias("__bucket"),
     )
-    keys: list[Column] = [F.col("dt"), F.col("hour"), bucket_of(spec.partition_key)]
-    if salts > 1:
+    place = ["dt", "hour", "__bucket"]
+    heavy = stored.groupBy(*place).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > task_rows)
+    # Usually nobody is heavy; at most total rows / task_rows groups are, one row each.
+    spread = materialize(heavy.select(*place, F.ceil(F.col("n") / task_rows).alias("tasks")), "heavy")
+    keys = [F.col(c) for c in place]
+    if not spread.isEmpty():
+        stored = stored.join(spread, place, "left")
         # A function of the row, not a random draw: a retried task must place rows the same way.
-        keys.append(F.pmod(F.xxhash64(*[F.col(c) for c in spec.schema.fieldNames()]), F.lit(salts)))
+        row_hash = F.xxhash64(*[F.col(c) for c in spec.schema.fieldNames()])
+        keys.append(F.pmod(row_hash, F.coalesce("tasks", F.lit(1).cast("bigint"))))
     order = [F.col(c).asc_nulls_last() for c in (*spec.sort_keys, *extra)]
-    laid = stored.repartition(*keys).sortWithinPartitions("dt", "hour", *order).drop(*extra)
+    laid = stored.repartition(*keys).sortWithinPartitions("dt", "hour", *order)
     (
-        laid.write.mode("overwrite")
+        laid.select(*spec.schema.fieldNames(), "dt", "hour")
+        .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .option("maxRecordsPerFile", max_rows)
         .option("compression", "zstd")
