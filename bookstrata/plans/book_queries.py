@@ -387,6 +387,9 @@ ORACLE = {
         coalesce((lead(wall) OVER (PARTITION BY ticker ORDER BY n) - {EPOCH_2024_NS}) // {_BIN}, {BINS - 1}) AS b FROM f)
       SELECT h.ticker, r.bin, CAST(max(status) AS INTEGER) AS status FROM held h JOIN imaged USING (ticker)
       JOIN range({BINS}) r(bin) ON r.bin BETWEEN h.a AND h.b GROUP BY 1, 2""",
+    "heatmap_samples": f"""WITH {FEED_SQL}, k AS (SELECT count(DISTINCT ticker) AS n FROM feed WHERE kind IN ('S','D'))
+      SELECT bin, CASE WHEN bin >= 20 THEN n ELSE 0 END AS drawn, CASE WHEN bin >= 20 THEN least(bin, 99) END AS "column",
+        CASE WHEN bin < 20 THEN n ELSE 0 END AS unknown_before FROM k, range(140) b(bin)""",
     "trade_points": f"""WITH {FEED_SQL}, {TRADES_SQL} SELECT ticker, trade_id,
       round((recv_wall_ns - {EPOCH_2024_NS}) / 250000000.0, 3) AS bin, price_e4, count_e2 / 100.0 AS contracts, taker_side FROM trades""",
     "recent_trades": f"""WITH {FEED_SQL}, {TRADES_SQL} SELECT ticker, trade_id, nth, price_e4, count_e2 FROM (

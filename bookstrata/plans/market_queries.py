@@ -445,7 +445,7 @@ ORACLE = {
     "universe_groups": f"""{_UNIVERSE} SELECT "group", group_no, count(*) FILTER (place <= {POLICY.max_markets}) AS admitted,
       count(DISTINCT concat(series_ticker, '|', event_ticker)) FILTER (place <= {POLICY.max_markets}) AS events,
       count(*) FILTER (place > {POLICY.max_markets}) AS skipped_for_budget FROM chosen GROUP BY 1, 2""",
-    "universe_pinned": f"""{_universe_sql(NOW + 3600, '''SELECT ticker, 9 - row_number() OVER (ORDER BY ticker) AS pos FROM (
+    "universe_pinned": f"""{_universe_sql(NOW + 3600, '''SELECT ticker, count(*) OVER () - row_number() OVER (ORDER BY ticker) AS pos FROM (
       SELECT DISTINCT ticker FROM listing WHERE series_ticker = 'BRAND23' ORDER BY ticker LIMIT 9)''')}
       SELECT "group", ticker, pos, CAST(place AS INTEGER) AS place FROM chosen""",
     "listing_deduped": f"WITH {_DEDUPED} SELECT ticker, volume_24h, extra FROM dd",

@@ -111,6 +111,10 @@ ORACLE = {
         list_max(list_transform(list_filter(map_entries(lv), lambda x: x.value > 0 AND x.key > 0), lambda x: x.key)) AS best_bid,
         -list_max(list_transform(list_filter(map_entries(lv), lambda x: x.value > 0 AND x.key < 0), lambda x: x.key)) AS best_ask,
         len(list_filter(map_entries(lv), lambda x: x.value > 0)) AS levels FROM z""",
+    "stream_feed_messages": f"""WITH RECURSIVE {FEED_SQL}, {_NO_GAPS}, z AS (SELECT *, lag(stale) OVER (PARTITION BY ticker ORDER BY n) AS was FROM f),
+      m AS (SELECT CASE WHEN kind = 'S' THEN 'refreshed' WHEN was THEN 'ignored' WHEN stale THEN 'error' ELSE 'applied' END AS outcome,
+        CASE WHEN kind = 'S' THEN CASE WHEN was THEN 'snapshot' ELSE '-' END WHEN was THEN '-' WHEN stale THEN 'resync' ELSE 'delta' END AS message FROM z WHERE n > 0)
+      SELECT outcome, message, count(*) AS messages FROM m GROUP BY 1, 2""",
     "stream_latest_tickers": f"WITH {FEED_SQL}, {TRADES_SQL} SELECT ticker, arg_max(price_e4, recv_mono_ns) AS last_e4 FROM trades GROUP BY 1",
     "stream_routed": f"WITH {FEED_SQL} SELECT ticker, kind, count(*) AS messages FROM feed WHERE user_id % 3 = 0 GROUP BY 1, 2",
 }
