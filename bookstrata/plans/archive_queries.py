@@ -512,7 +512,7 @@ ORACLE = {
         FROM n LEFT JOIN mt USING (audit_id) JOIN s ON s.audit_id = n.audit_id AND s.i = n.reply)
       SELECT audit_id, CASE WHEN fault IS NOT NULL THEN 'undecidable' WHEN k IS NULL THEN 'inconsistent' WHEN k = reply THEN 'exact' ELSE 'consistent' END AS outcome,
         c AS window_events, CASE WHEN fault IS NULL THEN k END AS match_index, 20 AS levels_rest, CASE WHEN fault IS NULL THEN 20 END AS levels_local,
-        CASE WHEN fault IS NULL THEN wrong END AS mismatched_levels, CASE WHEN fault IS NULL THEN coalesce(far, 0) END AS max_abs_diff_e2, fault FROM j""",
+        CASE WHEN fault IS NULL THEN wrong END AS mismatched_levels, CAST(CASE WHEN fault IS NULL THEN coalesce(far, 0) END AS BIGINT) AS max_abs_diff_e2, fault FROM j""",
     "rest_books": f"""WITH {FEED_SQL} SELECT event_id AS audit_id, CAST(s AS TINYINT) AS side, CASE WHEN s = 0 THEN 4000 + 100*k ELSE 10000 - (4500 + 100*k) END AS price_e4, size_e2 AS count_e2
       FROM feed, range(2) a(s), range(3) b(k) WHERE kind = 'S' AND event_id % 20 <> 0 AND size_e2 <> 0""",
     "level_texts": BOOK_ORACLE["books_at"],

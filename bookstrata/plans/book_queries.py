@@ -54,7 +54,8 @@ def level_sizes(spark, sf):
 
 
 def book_checksums(spark, sf):
-    return B.book_checksums(shared.final_books(spark, sf).levels)
+    sums = B.book_checksums(shared.final_books(spark, sf).levels)
+    return sums.select("ticker", F.col("checksum").cast("string").alias("checksum"))
 
 
 def book_diff(spark, sf):
@@ -327,7 +328,7 @@ ORACLE = {
       FROM (SELECT DISTINCT ticker, side, price_e4 FROM feed WHERE kind = 'D') d
       LEFT JOIN f_lv USING (ticker, side, price_e4)""",
     "book_checksums": f"""{_FULL}, {_MIX} SELECT ticker,
-      CAST(sum(CAST(xor(z, z >> 31) AS HUGEINT)) % 18446744073709551616 AS DECIMAL(20,0)) AS checksum FROM m3 GROUP BY ticker""",
+      CAST(sum(CAST(xor(z, z >> 31) AS HUGEINT)) % 18446744073709551616 AS VARCHAR) AS checksum FROM m3 GROUP BY ticker""",
     "book_diff": f"{_BOTH} {_DIFF}",
     "book_diff_summary": f"""{_BOTH} SELECT ticker, count(*) AS mismatched_levels,
       max(abs(count_a - count_b)) AS max_abs_diff_e2 FROM ({_DIFF}) GROUP BY ticker""",
@@ -370,7 +371,7 @@ ORACLE = {
         UNION ALL SELECT f.ticker, f.images, f.n, f.wall, f.kind, f.lv, r.row FROM f,
           (SELECT 40 + i AS row FROM range(10) q(i) UNION ALL SELECT 51 + i FROM range(10) q(i)) r WHERE f.kind = 'S')
       SELECT ticker, CAST(epoch AS BIGINT) AS epoch, CAST(row AS INTEGER) AS row, (wall - {EPOCH_2024_NS}) // {_BIN} AS bin,
-        arg_max(coalesce(list_sum(list_transform(list_filter(map_entries(lv), lambda x: abs(x.key) // 100 = row), lambda x: x.value)), 0), n) AS total_e2
+        CAST(arg_max(coalesce(list_sum(list_transform(list_filter(map_entries(lv), lambda x: abs(x.key) // 100 = row), lambda x: x.value)), 0), n) AS BIGINT) AS total_e2
       FROM ch GROUP BY 1, 2, 3, 4""",
     "heatmap_cells": f"""{_FULL}, {_BINNED}, cell AS (SELECT ticker, bin, abs(x.key) // 100 AS row, sum(x.value) AS total_e2
         FROM (SELECT ticker, bin, unnest(map_entries(lv)) AS x FROM bins) GROUP BY 1, 2, 3)

@@ -162,7 +162,7 @@ def sql_functions(spark, sf):
 
 def level_hashes(spark, sf):
     s = sample.snapshots(spark, sf)
-    return s.select("seq", "side", "price_e4", L.unsigned(L.level_mix64("side", "price_e4", "count_e2")).alias("hash"))
+    return s.select("seq", "side", "price_e4", L.unsigned(L.level_mix64("side", "price_e4", "count_e2")).cast("string").alias("hash"))
 
 
 QUERIES = {
@@ -242,5 +242,5 @@ ORACLE = {
         coalesce(strike_type, ticker) AS label FROM v""",
     "sql_functions": f"""WITH {FEED_SQL} SELECT event_id AS seq, price_e4, {_fmt('delta_e2', 2)} AS delta, 10000 - price_e4 AS other_leg,
       price_e4 * delta_e2 AS notional, split_part(ticker, '-', 1) AS series, {_LABEL} AS hour FROM feed WHERE kind = 'D'""",
-    "level_hashes": f"""WITH {FEED_SQL}, {sample.SNAPSHOTS_SQL}, {_MIX_ONE} SELECT seq, side, price_e4, CAST(xor(z, z >> 31) AS DECIMAL(20,0)) AS hash FROM m3""",
+    "level_hashes": f"""WITH {FEED_SQL}, {sample.SNAPSHOTS_SQL}, {_MIX_ONE} SELECT seq, side, price_e4, CAST(xor(z, z >> 31) AS VARCHAR) AS hash FROM m3""",
 }
