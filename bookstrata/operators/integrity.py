@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 
 from bookstrata.functions.clock import (
     CLOCK_JUMP_NS,
-    NS_PER_DAY,
     NS_PER_HOUR,
     NS_PER_S,
     SECONDS_PER_DAY,
@@ -420,7 +419,7 @@ def green_days(metrics: DataFrame, targets: dict[str, tuple[int, int, bool]]) ->
 
 
 __all__ = [
-    "NS_PER_DAY", "audit_summary", "book_messages", "clock_jumps", "connection_spans",
+    "audit_summary", "book_messages", "clock_jumps", "connection_spans",
     "connection_status", "gap_facts", "gap_rows", "gap_summary", "green_days", "host_sleeps",
     "join_continued_spans", "market_stints", "overflow_dropped", "ratio", "uptime",
 ]

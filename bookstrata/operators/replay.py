@@ -26,7 +26,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from bookstrata.functions.clock import NS_PER_MINUTE
 from bookstrata.functions.exact import floor_div
 from bookstrata.operators.ordering import minute_block, restart_boundaries, with_stretch
 from bookstrata.operators.running import Running, asof_join, running
@@ -725,5 +724,5 @@ def timeline(
 __all__ = [
     "Books", "Timeline", "applied_rows", "books_from", "crossings", "epoch_cuts", "gap_cuts",
     "keyframe_bases", "latest_epoch", "level_log", "ordered_changes", "replay", "snapshot_images",
-    "timeline", "NS_PER_MINUTE",
+    "timeline",
 ]
