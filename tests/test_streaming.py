@@ -107,3 +107,4 @@ def test_latest_row_per_key_over_batches(spark):
     jobs.keep_latest(spark, as_stream(spark, df), "ticker", "arrival", f"{path}/t", f"{path}/c")
     last = spark.read.parquet(f"{path}/t/v2")
     assert sorted(map(tuple, last.select("ticker", "arrival").collect())) == [("M0", 18), ("M1", 19), ("M2", 17)]
+
