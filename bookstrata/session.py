@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import shutil
 import tempfile
 import uuid
 
@@ -22,8 +24,24 @@ SETTINGS = {
 }
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> SparkSession:
+    """Send this package to the executors, once per application, so that their Python workers can import it."""
+    application = spark.sparkContext.applicationId
+    if application not in _shipped:
+        package = os.path.dirname(os.path.abspath(__file__))
+        archive = os.path.join(tempfile.mkdtemp(prefix="spark-", dir="/tmp"), f"{os.path.basename(package)}-code")
+        root, name = os.path.split(package)
+        spark.sparkContext.addPyFile(shutil.make_archive(archive, "zip", root, name))
+        _shipped.add(application)
+    return spark
+
+
 def configure(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings every operator relies on to an existing session."""
+    ship(spark)
     for key, value in SETTINGS.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
@@ -44,7 +62,7 @@ def local_session(name: str = "bookstrata", cores: str = "*", partitions: int =
         builder = builder.config(key, value)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
-    return spark
+    return ship(spark)
 
 
 def scratch_dir(spark: SparkSession) -> str:
