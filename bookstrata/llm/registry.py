@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from bookstrata.llm import op1_quality, op2_mixing
+from bookstrata.llm import op1_quality, op2_mixing, op4_language, op5_pieces, op8_near
 
-_MODULES = (op1_quality, op2_mixing)
+_MODULES = (op1_quality, op2_mixing, op4_language, op5_pieces, op8_near)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in _MODULES for name, sql in module.ORACLE.items()}
