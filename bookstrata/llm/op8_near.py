@@ -41,7 +41,7 @@ BANDS = 13
 ROWS = 3
 CELLS = 1 << 20
 RARE = 1e-3
-BOOST = 0.25
+BOOST = 0.1
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _STEPS = 1 << 16
