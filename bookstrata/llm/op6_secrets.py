@@ -183,12 +183,14 @@ def as_text(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(kinds, s["rank"]), s["start"], s["end"])), ",")
 
 
+def _of_rank(rank: int) -> Column:
+    return F.filter("spans", lambda s: s["rank"] == rank)
+
+
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["rank"] < len(BASE))
-    counts = [
-        F.size(F.filter("spans", lambda s, i=i: s["rank"] == i)).cast("long").alias(f"n_{r.kind}") for i, r in enumerate(BASE)
-    ]
+    counts = [F.size(_of_rank(i)).cast("long").alias(f"n_{r.kind}") for i, r in enumerate(BASE)]
     digest = F.sha2(as_text(base).cast("binary"), 256).alias("base_sha256")
     return found.select("doc_id", *counts, digest, as_text(F.col("spans")).alias("spans"))
 
