@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from bookstrata.llm import op1_quality, op2_mixing, op10_binary, op4_language, op5_pieces, op6_secrets, op7_lines, op8_near
+from bookstrata.llm import op1_quality, op2_mixing, op4_language, op5_pieces, op6_secrets, op7_lines, op8_near, op9_lm, op10_binary
 
-_MODULES = (op1_quality, op2_mixing, op4_language, op5_pieces, op6_secrets, op7_lines, op8_near, op10_binary)
+_MODULES = (op1_quality, op2_mixing, op4_language, op5_pieces, op6_secrets, op7_lines, op8_near, op9_lm, op10_binary)
 
 QUERIES = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLE = {name: sql for module in _MODULES for name, sql in module.ORACLE.items()}
