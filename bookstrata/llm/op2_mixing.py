@@ -13,7 +13,8 @@ each source, and documents are put in order within one range only.
 
 Defined results: a null text has size 0; null is a source of its own; a source or wanted size of 0 takes
 nothing; documents of one source with equal id are put in order by size, and equal rows are
-interchangeable; columns other than doc_id, text and source are ignored.
+interchangeable; columns other than doc_id, text and source are ignored, or pass through if named. Texts are
+read twice, for the sizes and to be placed; they are moved only if they are among the columns to keep.
 """
 
 from __future__ import annotations
@@ -78,22 +79,30 @@ def water_fill(sources: DataFrame, wanted: float, epochs: float = EPOCHS) -> Dat
 
 def mix(
     docs: DataFrame,
+    keep: tuple[str, ...] = ("doc_id",),
     weights: Callable[[Column], Column] = cycling_weights,
     share: float = SHARE,
     epochs: int = EPOCHS,
     seed: str = SEED,
 ) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, repeats, taken.
+    """One row per document: the columns ``keep`` and, as one column ``mixed``, size, source_size, target,
+    repeats and taken.
 
     weights: from the rank of a source to its weight; share: wanted size as a multiple of all sizes.
     """
     order = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
-    rows = docs.select("doc_id", F.col("source").cast("string").alias("source"), word_count(text_of()).alias("size"), order.alias("h"))
     # A name for each source that is not null, so that joins and windows are dealt by the same columns.
     name = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null"))
-    rows = materialize(rows.withColumn("name", name).withColumn("bin", F.substring("h", 1, 3)), "sizes")
-
-    bins = rows.groupBy("name", "source", "bin").agg(F.sum("size").alias("bin_size"))
+    rows = docs.select(
+        F.struct(*keep).alias("kept"),
+        F.struct("doc_id").alias("own"),
+        name.alias("name"),
+        F.col("source").cast("string").alias("source"),
+        word_count(text_of()).alias("size"),
+        order.alias("h"),
+    ).withColumn("bin", F.substring("h", 1, 3))
+
+    bins = materialize(rows.groupBy("name", "source", "bin").agg(F.sum("size").alias("bin_size")), "bins")
     sizes = bins.groupBy("name", "source").agg(F.sum("bin_size").alias("source_size"))
     sources = ranked_sources(sizes).withColumn("weight", weights(F.col("rank")))
     sources = materialize(sources, "weights")
@@ -109,17 +118,17 @@ def mix(
     bins = bins.join(sources.select("name", "source_size", "target", "whole", "missing"), "name")
 
     # Documents of one range of one source.
-    ahead = Window.partitionBy("name", "bin").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    placed = rows.join(bins, ["name", "bin"]).withColumn("ahead", F.coalesce(F.sum("size").over(ahead), F.lit(0)))
+    ahead = Window.partitionBy("name", "bin").orderBy("h", "own", "size").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.drop("source").join(bins, ["name", "bin"]).withColumn("ahead", F.coalesce(F.sum("size").over(ahead), F.lit(0)))
     middle = F.col("before") + F.col("ahead") + F.col("size") / F.lit(2.0)
     repeats = F.col("whole") + ((middle <= F.col("missing")) & (F.col("size") > 0)).cast("long")
-    return placed.select(
-        "doc_id", "source", "size", "source_size", "target", repeats.alias("repeats"), (repeats * F.col("size")).alias("taken")
-    )
+    placed = placed.withColumn("repeats", repeats).withColumn("taken", F.col("repeats") * F.col("size"))
+    return placed.select("kept.*", F.struct("size", "source_size", "target", "repeats", "taken").alias("mixed"))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+    mixed = mix(table(spark, sf_dir, "documents"))
+    return mixed.select("doc_id", "mixed.size", "mixed.source_size", "mixed.target", "mixed.taken")
 
 
 ORACLE_TEMPLATE = r"""

@@ -26,8 +26,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from bookstrata.llm.common import blocks, mix, table
+from bookstrata.session import ship
 
 BUCKETS = 1 << 13
 CENTROIDS = 4
@@ -120,13 +122,19 @@ def _cluster(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, centroids: int = CENTROIDS, slack: float = SLACK) -> Model:
     """Train on rows with a text and a lang. See the module's description for the bounds."""
+    ship(docs.sparkSession)
     order = F.md5(F.concat(F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    names = [r[0] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()]
-    # Ids first, so that only chosen texts are moved.
-    picked = docs.where(F.col("lang").isin(names)).select("lang", "doc_id", order.alias("h"))
+    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    if not counts:
+        return Model([], np.ones(BUCKETS, np.float32), np.zeros((0, BUCKETS), np.float32), np.zeros(0, int), np.zeros(0))
+    # About twice as many ids as wanted are ranked, whatever the size of a language. Ids first, so that only
+    # chosen texts are moved.
+    shares = F.create_map(*[F.lit(x) for lang, n in counts for x in (lang, 2.0 * (per_language + 8) / n)])
+    place = F.conv(F.substring(order, 1, 8), 16, 10).cast("long") / float(1 << 32)
+    some = known.where(place < F.try_element_at(shares, F.col("lang"))).select("lang", "doc_id", order.alias("h"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    picked = picked.withColumn("rank", rank).where(F.col("rank") <= per_language).select("lang", "doc_id").distinct()
+    picked = some.withColumn("rank", rank).where(F.col("rank") <= per_language).select("lang", "doc_id").distinct()
     # Broadcast: at most LANGUAGES * PER_LANGUAGE ids.
     chosen = known.select("lang", "doc_id", "text").join(F.broadcast(picked), ["lang", "doc_id"])
 
@@ -167,29 +175,32 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, centroids: int = CENT
     return Model(names, idf, np.concatenate(parts).astype(np.float32), np.array(of), np.array(least))
 
 
-def identify(docs: DataFrame, model: Model) -> DataFrame:
-    """key, lang_pred, score and rejected of every row; ``key`` is a column of any type that names it."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+def identify(docs: DataFrame, model: Model, keep: list[str], names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
+    """The columns ``keep`` of every row, and its language, score and whether it is rejected, under ``names``."""
+    ship(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    keep = [c for c in keep if c not in names]
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, known = Vectors(), shared.value
-        names = np.array([*known.names, "und"], dtype=object)
+        languages = np.array([*known.names, "und"], dtype=object)
         for batch in batches:
             n = batch.num_rows
-            lang, score, near = np.full(n, len(names) - 1), np.zeros(n), np.zeros(n, bool)
+            lang, score, near = np.full(n, len(languages) - 1), np.zeros(n), np.zeros(n, bool)
             if known.names:
-                for first, stop, counts, letters in vectors.counts(batch.column(1)):
+                for first, stop, counts, letters in vectors.counts(batch.column(len(keep))):
                     found, cosine, within = known.predict(counts)
                     some = letters > 0
                     lang[first:stop][some], score[first:stop][some], near[first:stop][some] = found[some], cosine[some], within[some]
+            columns = [batch.column(i) for i in range(len(keep))]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(names[lang], pa.string()), pa.array(score), pa.array(~near)],
-                names=["key", "lang_pred", "score", "rejected"],
+                [*columns, pa.array(languages[lang], pa.string()), pa.array(score), pa.array(~near)], names=[*keep, *names]
             )
 
-    kind = docs.schema["key"].dataType.simpleString()
-    return docs.select("key", F.col("text").cast("string")).mapInArrow(predict, f"key {kind}, lang_pred string, score double, rejected boolean")
+    result = T.StructType([docs.schema[c] for c in keep])
+    for name, kind in zip(names, (T.StringType(), T.DoubleType(), T.BooleanType())):
+        result = result.add(name, kind)
+    return docs.select(*keep, F.col("text").cast("string").alias("_language_text")).mapInArrow(predict, result)
 
 
 def held_out():
@@ -200,10 +211,7 @@ def held_out():
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = fit(docs.where(~held_out()))
-    found = identify(docs.withColumn("key", F.struct("doc_id")), model)
-    return found.select(F.col("key.doc_id").alias("doc_id"), "lang_pred", "score", "rejected").select(
-        "doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected"
-    )
+    return identify(docs, model, ["doc_id"]).select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
 QUERIES = {"op4_language": op4_language}

@@ -18,14 +18,17 @@ other than the named ones are ignored.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bookstrata.llm.common import table
+from bookstrata.session import ship
 
 TABLE_ROWS = 200_000
 LONG = 1_000
@@ -87,6 +90,7 @@ class ChunkTable:
 def encode(docs: DataFrame, path: str | None = None, ids: bool = False) -> DataFrame:
     """key, n_tokens, ids_sha256, decoded_sha256 and, where asked for, ids and the decoded text of every row."""
     path = path or model_path()
+    ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = ChunkTable(path)
@@ -95,7 +99,7 @@ def encode(docs: DataFrame, path: str | None = None, ids: bool = False) -> DataF
                 part = batch.slice(start, 256)
                 cut = [table.cut(t or "") for t in part.column(1).to_pylist()]
                 known = table.learn(set().union(*cut))
-                counts, sums, back, all_ids, texts = [], [], [], [], []
+                counts, sums, back, flat, texts = [], [], [], [], []
                 for chunks in cut:
                     rows = [known[c] for c in chunks]
                     counts.append(sum(r[1] for r in rows))
@@ -104,12 +108,14 @@ def encode(docs: DataFrame, path: str | None = None, ids: bool = False) -> DataF
                     text = " ".join([r[3] for r in rows])
                     back.append(hashlib.sha256(text.encode()).hexdigest())
                     if ids:
-                        all_ids.append([i for r in rows for i in r[2]])
+                        flat.extend(r[2] for r in rows)
                         texts.append(text)
                 columns = [part.column(0), pa.array(counts, pa.int64()), pa.array(sums), pa.array(back)]
                 names = ["key", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if ids:
-                    columns += [pa.array(all_ids, pa.list_(pa.int32())), pa.array(texts)]
+                    offsets = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+                    values = np.fromiter(itertools.chain.from_iterable(flat), np.int32, offsets[-1])
+                    columns += [pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)), pa.array(texts)]
                     names += ["ids", "decoded"]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
 

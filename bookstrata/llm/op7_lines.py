@@ -55,8 +55,8 @@ def later_occurrences(found: DataFrame) -> DataFrame:
     return found.join(firsts.drop("n"), ["w1", "w2"]).where(place != F.col("first")).select("id", "h", "rank")
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with its text freed of repeated windows, and ``n_lines`` (with a word) and ``n_removed``."""
+def dedup_lines(docs: DataFrame, names: tuple[str, str] = ("n_lines", "n_removed")) -> DataFrame:
+    """``docs`` with its text freed of repeated windows; ``names`` are the counts of lines with a word, and removed."""
     later = later_occurrences(materialize(windows(docs), "windows"))
     marked = later.groupBy(F.col("id").alias(_ID), F.col("h").alias(_HASH)).agg(F.sort_array(F.collect_set("rank")).alias(_RANKS))
     same = (F.xxhash64("text") == F.col(_HASH)) & F.col("doc_id").eqNullSafe(F.col(_ID))
@@ -71,7 +71,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     rest = F.array_join(F.transform(kept, lambda i: F.get("_line_split", i)), "\n")
     n_lines, n_gone = F.size("_line_all").cast("long"), F.size("_line_gone").cast("long")
     text = F.when(n_gone == 0, F.col("text")).when(n_gone == n_lines, F.lit("")).otherwise(rest)
-    rows = rows.withColumns({"text": text, "n_lines": n_lines, "n_removed": n_gone})
+    rows = rows.withColumns({"text": text, names[0]: n_lines, names[1]: n_gone})
     return rows.drop(_ID, _HASH, _RANKS, "_line_all", "_line_gone", "_line_split")
 
 

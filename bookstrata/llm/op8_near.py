@@ -265,7 +265,7 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
         "doc_id",
         "digest",
         F.when(alone, F.col("doc_id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.when(alone, True).otherwise(kept).alias("kept"),
+        F.when(alone, same == 1).otherwise(kept).alias("kept"),
     )
 
 
