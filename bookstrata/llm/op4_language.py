@@ -4,7 +4,7 @@ A text becomes a TF-IDF vector of its character n-grams (1 to 3 characters, word
 lower case, letters only), hashed to ``BUCKETS`` dimensions, with logarithmic term counts and unit length.
 Each language has several centroids, found by spherical k-means among its training texts, and a text takes
 the language of the centroid with the highest cosine. A text further from that centroid than ``SLACK``
-times the greatest training distance of its language (0.95 at most) is rejected; so is a text without a letter, whose
+times the greatest training distance of its language (0.8 at least, 0.95 at most) is rejected; so is a text without a letter, whose
 language is ``und`` and whose score is 0.
 
 Training takes at most ``PER_LANGUAGE`` texts of each language, those whose seeded md5 of doc_id is lowest,
@@ -36,6 +36,7 @@ CENTROIDS = 4
 PER_LANGUAGE = 400
 LANGUAGES = 256
 SLACK = 1.5
+NARROWEST, WIDEST = 0.8, 0.95
 SEED = "lang-1"
 
 _SPACE = np.uint32(32)
@@ -65,9 +66,8 @@ class Vectors:
             n_letters[np.diff(at) == 0] = 0
             # One space for each run of other characters, and one at each end of a text.
             line = np.where(letters, codes, _SPACE)
-            line = np.insert(line, at, _SPACE)
-            row = np.repeat(np.arange(stop - first), np.diff(at) + 1)
-            row = np.append(row, stop - first)
+            line = np.insert(line, np.sort(np.concatenate([at[:-1], at[1:]])), _SPACE)
+            row = np.repeat(np.arange(stop - first), np.diff(at) + 2)
             keep = np.ones(len(line), bool)
             keep[1:] = (line[1:] != _SPACE) | (line[:-1] != _SPACE) | (row[1:] != row[:-1])
             line, row = line[keep].astype(np.uint64), row[keep]
@@ -79,7 +79,6 @@ class Vectors:
                 for i in range(n):
                     value = value * np.uint64(0x100000001B3) + line[i : len(line) - n + 1 + i]
                 own = row[: len(value)] == row[n - 1 :]
-                own &= row[n - 1 :] < stop - first
                 if n == 1:
                     own &= line != 32
                 where = row[: len(value)][own] * BUCKETS + (mix(value[own]) & np.uint64(BUCKETS - 1)).astype(np.int64)
@@ -171,7 +170,7 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, centroids: int = CENT
         parts.append(_cluster(own, centroids))
         of += [i] * len(parts[-1])
         farthest = 1 - float((own @ parts[-1].T).max(axis=1).min())
-        least.append(1 - min(0.95, farthest * slack))
+        least.append(1 - min(WIDEST, max(NARROWEST, farthest * slack)))
     return Model(names, idf, np.concatenate(parts).astype(np.float32), np.array(of), np.array(least))
 
 
