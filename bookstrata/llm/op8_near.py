@@ -11,11 +11,12 @@ one with the probability of their weighted Jaccard similarity; texts agreeing in
 band are candidates (0.9999 of pairs at similarity 0.8), and every candidate pair that decides anything is
 verified by its exact weighted Jaccard similarity.
 
-Scale. Equal texts are one *text*, found by digest; only texts are compared. A bucket of a band is never
-expanded into all its pairs at once: its members are compared with one centre; then, where the bucket still
-holds several components, with one outsider; and then only members of different components with each other,
-so no link between components is lost. Texts that are in no bucket with another are never moved. Nothing but
-the cell frequencies reaches the driver.
+Scale. Equal texts are one *text*, found by digest; only texts are compared. A bucket of a band is not
+expanded into its pairs: its members are compared with one centre, the member that shares most buckets with
+most others; then, where the bucket still holds several components, with further centres; and of the pairs
+across components that are left, only those are compared that the centre does not rule out by what each
+shares with it, so no link between components is lost. Texts that are in no bucket with another are never
+moved. Nothing but the cell frequencies reaches the driver.
 
 Defined results: a null text is empty; a document without a word is alone in its class and kept; rows with a
 null doc_id take part and the class id is the smallest id that is not null (null if there is none); of rows
@@ -42,6 +43,7 @@ ROWS = 3
 CELLS = 1 << 20
 RARE = 1e-3
 BOOST = 0.1
+EXTRA_ROUNDS = 2
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _STEPS = 1 << 16
@@ -108,12 +110,11 @@ def weigh(hashes: np.ndarray, counts: np.ndarray, by_cell: np.ndarray) -> np.nda
     return (1 + np.log(counts)).astype(np.float32) * by_cell[(hashes & np.uint64(CELLS - 1)).astype(np.int64)]
 
 
-def weighted_jaccard(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Similarity of two weighted sets, each as sorted distinct hashes and their weights."""
+def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[float, float, float]:
+    """The weight two weighted sets (sorted distinct hashes, weights) share, and the weight of each."""
     _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    low = float(np.minimum(a[1][i], b[1][j]).sum(dtype=np.float64))
-    high = float(a[1].sum(dtype=np.float64) + b[1].sum(dtype=np.float64)) - low
-    return low / high if high > 0 else 0.0
+    common = np.minimum(a[1][i], b[1][j]).sum(dtype=np.float64)
+    return float(common), float(a[1].sum(dtype=np.float64)), float(b[1].sum(dtype=np.float64))
 
 
 class Sampler:
@@ -184,63 +185,106 @@ def signatures(docs: DataFrame, by_cell: np.ndarray) -> DataFrame:
     return rows.mapInArrow(sign, f"doc_id {kind}, digest string, bands array<long>")
 
 
-def verify(pairs: DataFrame, texts: DataFrame, by_cell: np.ndarray, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose weighted Jaccard similarity is at least ``similarity``."""
+def compare(pairs: DataFrame, texts: DataFrame, by_cell: np.ndarray, similarity: float, fresh: bool = False) -> DataFrame:
+    """a, b of each pair with the weights of the two sets, the weight they share, whether they are similar and,
+    where they are not and it is asked for, the shingles that weigh more in a than in b."""
     shared = pairs.sparkSession.sparkContext.broadcast(by_cell)
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def sets(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             for _, _, data, ends in blocks(texts):
                 for hashes, counts in shingles(data, ends):
                     yield hashes, weigh(hashes, counts, shared.value)
 
         for batch in batches:
-            alike = [weighted_jaccard(x, y) >= similarity for x, y in zip(sets(batch.column(2)), sets(batch.column(3)))]
-            yield batch.select([0, 1]).filter(pa.array(alike, pa.bool_()))
+            rows = []
+            for x, y in zip(sets(batch.column(2)), sets(batch.column(3))):
+                common, wx, wy = overlap(x, y)
+                alike = common >= similarity * (wx + wy - common)
+                more = np.zeros(0, np.int64)
+                if fresh and not alike:
+                    at = np.searchsorted(y[0], x[0])
+                    at[at == len(y[0])] = 0
+                    more = x[0][(y[0][at] != x[0]) | (y[1][at] < x[1])].view(np.int64)
+                rows.append((common, wx, wy, alike, more))
+            columns = list(zip(*rows)) or [[]] * 5
+            kinds = (pa.float64(), pa.float64(), pa.float64(), pa.bool_(), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), *[pa.array(c, k) for c, k in zip(columns, kinds)]],
+                names=["a", "b", "common", "weight_a", "weight_b", "alike", "fresh"],
+            )
 
     left = texts.select(F.col("uid").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("uid").alias("b"), F.col("text").alias("text_b"))
     rows = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return rows.mapInArrow(compare, "a long, b long")
-
-
-def _ordered(pairs: DataFrame) -> DataFrame:
-    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    return rows.mapInArrow(run, "a long, b long, common double, weight_a double, weight_b double, alike boolean, fresh array<long>")
 
 
 def near_links(texts: DataFrame, docs: DataFrame, by_cell: np.ndarray, similarity: float = SIMILARITY) -> DataFrame:
     """id, label: the components of texts linked by similarity; texts without a link are absent."""
     keys = texts.select("uid", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("uid").alias("centre")).where("n > 1")
-    members = materialize(keys.join(shared, "key").select("key", "uid", "centre"), "members")
+    sizes = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    members = materialize(keys.join(sizes, "key"), "buckets")
+    # The text that shares most buckets with most others, such as the one that others were made from.
+    crowd = members.groupBy("uid").agg(F.sum("n").alias("crowd"))
+    members = members.drop("n").join(crowd, "uid")
+    # A bucket's centre: one row a bucket, by partial maxima.
+    centres = members.groupBy("key").agg(F.max_by("uid", F.struct("crowd", "uid")).alias("centre"))
+    members = materialize(members.join(centres, "key"), "members")
     # The texts of members, each once.
     wanted = texts.join(members.select("uid").distinct(), "uid").select("uid", "digest")
     held = docs.select(digest().alias("digest"), text_of().alias("text")).join(wanted, "digest")
     held = materialize(held.groupBy("uid").agg(F.any_value("text").alias("text")), "texts")
 
-    links = materialize(verify(_ordered(members.select(F.col("uid").alias("a"), F.col("centre").alias("b"))), held, by_cell, similarity), "links")
+    def linked(compared: DataFrame) -> DataFrame:
+        return compared.where("alike").select("a", "b")
+
+    pairs = members.where("uid <> centre").select(F.col("uid").alias("a"), F.col("centre").alias("b")).distinct()
+    facts = materialize(compare(pairs, held, by_cell, similarity, fresh=True), "facts")
+    links = linked(facts)
     labels = components(links)
 
     def unsettled() -> DataFrame:
         """Members of buckets that hold several components, with their component."""
         known = members.join(labels.withColumnRenamed("id", "uid"), "uid", "left")
-        known = known.select("key", "uid", F.coalesce("label", "uid").alias("part"))
+        known = known.withColumn("part", F.coalesce("label", "uid")).drop("label")
         several = known.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
-        return known.join(several, "key")
+        return known.join(several.select("key"), "key")
+
+    for _ in range(EXTRA_ROUNDS):
+        # In buckets still open, the most crowded member outside the centre's component meets all other components.
+        several = materialize(unsettled(), "open")
+        home = several.where("uid = centre").select("key", F.col("part").alias("home"))
+        outside = several.join(home, "key").where("part <> home").groupBy("key")
+        outside = outside.agg(F.max_by(F.struct("uid", "part"), F.struct("crowd", "uid")).alias("next"))
+        tried = several.join(outside, "key").where("part <> next.part").select(F.col("uid").alias("a"), F.col("next.uid").alias("b"))
+        tried = _ordered(tried).join(facts.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+        links = materialize(links.union(linked(compare(tried, held, by_cell, similarity))), "links")
+        labels = components(links)
+
+    # What is left: pairs of one bucket across components that its centre does not rule out. Of the weight x and
+    # y share, at most the less of what each shares with the centre lies within the centre; the rest is in
+    # shingles that weigh more in both than in the centre. So similar texts either share such a shingle, or what
+    # they share with the centre is enough.
+    several = unsettled().where("uid <> centre")
+    measured = facts.select(F.col("a").alias("uid"), F.col("b").alias("centre"), "common", F.col("weight_a").alias("weight"), "fresh")
+    rest = materialize(several.join(measured, ["uid", "centre"]), "rest")
+    slim = rest.select("key", "uid", "part", "common", "weight")
+    other = slim.select("key", *[F.col(c).alias(f"{c}_2") for c in ("uid", "part", "common", "weight")])
+    enough = F.least("common", "common_2") >= similarity / (1 + similarity) * (F.col("weight") + F.col("weight_2")) - 1e-6
+    within = slim.join(other, "key").where((F.col("part") < F.col("part_2")) & enough).select(F.col("uid").alias("a"), F.col("uid_2").alias("b"))
+    extra = rest.select("centre", "uid", "part", "fresh").dropDuplicates(["centre", "uid"])
+    extra = extra.select("centre", "uid", "part", F.explode("fresh").alias("shingle"))
+    mixed = extra.groupBy("centre", "shingle").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
+    extra = extra.join(mixed.select("centre", "shingle"), ["centre", "shingle"])
+    second = extra.select("centre", "shingle", F.col("uid").alias("b"), F.col("part").alias("part_2"))
+    beyond = extra.join(second, ["centre", "shingle"]).where("part < part_2").select(F.col("uid").alias("a"), "b")
+    links = materialize(links.union(linked(compare(_ordered(within.union(beyond)), held, by_cell, similarity))), "links")
+    return components(links)
 
-    # One outsider of each such bucket against all members of other components.
-    open_members = materialize(unsettled(), "open")
-    outsider = open_members.where("part = high").groupBy("key").agg(F.min("uid").alias("b"), F.min("part").alias("of"))
-    tried = open_members.join(outsider, "key").where("part <> of").select(F.col("uid").alias("a"), "b")
-    links = materialize(links.union(verify(_ordered(tried), held, by_cell, similarity)), "links")
-    labels = components(links)
 
-    # What is left: pairs across components of one bucket.
-    rest = materialize(unsettled(), "open")
-    other = rest.select("key", F.col("uid").alias("b"), F.col("part").alias("of"))
-    across = rest.join(other, "key").where("part < of").select(F.col("uid").alias("a"), "b")
-    links = materialize(links.union(verify(_ordered(across), held, by_cell, similarity)), "links")
-    return components(links)
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
