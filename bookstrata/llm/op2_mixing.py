@@ -84,19 +84,20 @@ def mix(
     share: float = SHARE,
     epochs: int = EPOCHS,
     seed: str = SEED,
+    name: str = "mixed",
 ) -> DataFrame:
-    """One row per document: the columns ``keep`` and, as one column ``mixed``, size, source_size, target,
-    repeats and taken.
+    """One row per document: the columns ``keep`` and, as one column ``name``, size, source_size, target,
+    repeats and taken. A column of that name is replaced.
 
     weights: from the rank of a source to its weight; share: wanted size as a multiple of all sizes.
     """
     order = F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).cast("binary"))
     # A name for each source that is not null, so that joins and windows are dealt by the same columns.
-    name = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null"))
+    label = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("null"))
     rows = docs.select(
-        F.struct(*keep).alias("kept"),
+        F.struct(*[c for c in keep if c != name]).alias("kept"),
         F.struct("doc_id").alias("own"),
-        name.alias("name"),
+        label.alias("name"),
         F.col("source").cast("string").alias("source"),
         word_count(text_of()).alias("size"),
         order.alias("h"),
@@ -123,7 +124,7 @@ def mix(
     middle = F.col("before") + F.col("ahead") + F.col("size") / F.lit(2.0)
     repeats = F.col("whole") + ((middle <= F.col("missing")) & (F.col("size") > 0)).cast("long")
     placed = placed.withColumn("repeats", repeats).withColumn("taken", F.col("repeats") * F.col("size"))
-    return placed.select("kept.*", F.struct("size", "source_size", "target", "repeats", "taken").alias("mixed"))
+    return placed.select("kept.*", F.struct("size", "source_size", "target", "repeats", "taken").alias(name))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
