@@ -46,8 +46,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
-    mixed = op2_mixing.mix(docs, tuple(docs.columns)).where("mixed.repeats > 0")
-    times = F.explode(F.sequence(F.lit(1), F.col("mixed.repeats").cast("int")))
+    mixed = op2_mixing.mix(docs, tuple(docs.columns), name="_stage_mixed").where("_stage_mixed.repeats > 0")
+    times = F.explode(F.sequence(F.lit(1), F.col("_stage_mixed.repeats").cast("int")))
     return mixed.withColumn("_stage_copy", times).select(docs.columns)
 
 
