@@ -20,8 +20,6 @@ from bookstrata.operators.running import Running, latest_rows, running
 # Column status codes, from best to worst.
 FRESH, STALE, UNKNOWN, GAP = 0, 1, 2, 3
 BLOCK_BINS = 4_096
-TRADE_CAPACITY = 32_768
-RECENT_TRADES = 32
 SHOWN_TRADES = 12
 
 
@@ -170,23 +168,30 @@ def sample_bins(columns: DataFrame, asked: DataFrame, head: DataFrame) -> DataFr
     return found.select("ticker", "bin", "column", "best_bid", "best_ask", status.cast("int").alias("status"))
 
 
-def trade_points(trades: DataFrame, origin_ns: int, bin_ms: int = BIN_MS, keep: int = TRADE_CAPACITY) -> DataFrame:
-    """Where each market's latest trades are drawn: fractional bin, price, contracts and side."""
+def trade_points(trades: DataFrame, origin_ns: int, bin_ms: int = BIN_MS, keep: int | None = None) -> DataFrame:
+    """Where each market's trades are drawn: fractional bin, price, contracts and side.
+
+    All trades, or the latest ``keep`` of each market if the caller asks for a number.
+    """
     at = F.greatest(F.lit(0.0), (F.col("recv_wall_ns") - origin_ns) / (bin_ms * NS_PER_MS))
-    timed = trades.withColumn("block", floor_div("recv_wall_ns", NS_PER_MINUTE))
+    rows = trades
+    if keep is not None:
+        timed = trades.withColumn("block", floor_div("recv_wall_ns", NS_PER_MINUTE))
+        rows = latest_rows(timed, ["ticker"], "block", ["recv_wall_ns", "trade_id"], keep)
     return (
-        latest_rows(timed, ["ticker"], "block", ["recv_wall_ns", "trade_id"], keep)
-        .select("ticker", "trade_id", at.alias("bin"), "price_e4", (F.col("count_e2") / 100).alias("contracts"), "taker_side")
+        rows.select("ticker", "trade_id", at.alias("bin"), "price_e4", (F.col("count_e2") / 100).alias("contracts"), "taker_side")
     )
 
 
 def recent_trades(trades: DataFrame, n: int = SHOWN_TRADES) -> DataFrame:
-    """Each market's latest trades, newest first.
+    """Each market's latest ``n`` trades, newest first.
 
     The rank filter also runs before the shuffle, so a busy market ships only a few rows per task.
     """
+    if n < 1:
+        raise ValueError(f"n must be positive, not {n}")
     latest = Window.partitionBy("ticker").orderBy(F.col("recv_wall_ns").desc(), F.col("trade_id").desc())
-    return trades.withColumn("nth", F.row_number().over(latest)).where(F.col("nth") <= min(n, RECENT_TRADES))
+    return trades.withColumn("nth", F.row_number().over(latest)).where(F.col("nth") <= n)
 
 
 def session_maxima(trades: DataFrame, rows: DataFrame) -> DataFrame:

@@ -11,7 +11,6 @@ from bookstrata.operators.replay import Timeline
 from bookstrata.operators.running import Running, asof_join, running
 
 CANDLE_MS = 60_000
-SLICE_CAP = 5_000_000
 # Block width of as-of lookups; the time axis is monotonic nanoseconds.
 BLOCK_NS = NS_PER_MINUTE
 
@@ -94,9 +93,11 @@ def reconcile_trades(recorded: DataFrame, listed: DataFrame) -> DataFrame:
     return both.groupBy(state.alias("state")).agg(F.count(F.lit(1)).alias("trades"))
 
 
-def capped_slice(rows: DataFrame, order: list[str], cap: int = SLICE_CAP) -> DataFrame:
-    """At most ``cap`` rows in order, each saying whether more exist."""
-    more = rows.limit(cap + 1).agg((F.count(F.lit(1)) > cap).alias("more")).scalar()
+def capped_slice(rows: DataFrame, order: list[str], cap: int | None = None) -> DataFrame:
+    """All rows in order, or the first ``cap`` if the caller asks for a number, each saying whether more exist."""
+    if cap is None:
+        return rows.orderBy(*order).withColumn("truncated", F.lit(False))
+    more = rows.agg((F.count(F.lit(1)) > cap).alias("more")).scalar()
     return rows.orderBy(*order).limit(cap).withColumn("truncated", more)
 
 

@@ -15,6 +15,14 @@ from bookstrata.sources import sample
 from bookstrata.sources.sample import FEED_SQL, LISTING_SQL
 
 
+# A double's exact value decides, and one that is half-way itself goes up.
+_HALF = "((volume_24h % 10) * 1000 + (volume_24h // 10 % 10) * 100 + 50)"
+_HALF_WAY = (
+    f"CASE WHEN {_HALF} < 1000 THEN CAST({_HALF} AS VARCHAR) WHEN {_HALF} % 1000 = 250 THEN concat({_HALF} // 1000, '.3K') "
+    f"ELSE concat(regexp_replace(printf('%.1f', {_HALF} / 1000.0), '\\.0$', ''), 'K') END"
+)
+
+
 def _texts(spark, sf):
     """Number texts of many shapes, one per order key remainder."""
     key = F.col("l_orderkey")
@@ -142,9 +150,12 @@ def display_scales(spark, sf):
 def display_labels(spark, sf):
     m = sample.listing(spark, sf)
     now_ms = 1_704_067_200_000
+    # Half-way between two tenths: 50, 150, ... contracts past every thousand below 10,000.
+    half_way = (F.col("volume_24h") % 10) * 1_000 + (E.floor_div("volume_24h", 10) % 10) * 100 + 50
     return m.select(
         "ticker", "volume_24h", D.format_cents("yes_bid").alias("bid"), D.format_contracts("volume_24h").alias("volume"),
-        D.format_compact_contracts("volume_24h").alias("compact"), D.format_closes("close_ts", now_ms).alias("closes"),
+        D.format_compact_contracts("volume_24h").alias("compact"),
+        D.format_compact_contracts(half_way * 100).alias("half_way"), D.format_closes("close_ts", now_ms).alias("closes"),
         D.format_ago(F.col("volume_24h")).alias("ago"), D.market_label("ticker", F.col("strike_type"), F.lit(None).cast("string"))["primary"].alias("label"),
     )
 
@@ -234,7 +245,7 @@ ORACLE = {
           ELSE concat('.', lpad(CAST(fr AS VARCHAR), 2, '0')) END, '¢') END AS bid,
         format('{{:,}}', c) AS volume,
         CASE WHEN c < 1000 THEN CAST(c AS VARCHAR) WHEN c < 10000 THEN concat(regexp_replace(printf('%.1f', c / 1000.0), '\\.0$', ''), 'K')
-          WHEN c < 1000000 THEN concat(c // 1000, 'K') ELSE concat(regexp_replace(printf('%.1f', c / 1000000.0), '\\.0$', ''), 'M') END AS compact,
+          WHEN c < 1000000 THEN concat(c // 1000, 'K') ELSE concat(regexp_replace(printf('%.1f', c / 1000000.0), '\\.0$', ''), 'M') END AS compact, {_HALF_WAY} AS half_way,
         CASE WHEN close_ts IS NULL THEN NULL WHEN r <= 0 THEN 'closed' WHEN r < 3600 THEN concat('closes in ', greatest(1, r // 60), 'm')
           WHEN r < 172800 THEN concat('closes in ', r // 3600, 'h') ELSE concat('closes in ', r // 86400, 'd') END AS closes,
         CASE WHEN volume_24h // 1000 < 1 THEN 'now' WHEN volume_24h // 1000 < 60 THEN concat(volume_24h // 1000, 's')

@@ -298,6 +298,11 @@ def capped_trades(spark, sf):
     return M.capped_slice(rows, ["recv_wall_ns"], 100)
 
 
+def whole_slice(spark, sf):
+    rows = sample.trades(spark, sf).select("recv_wall_ns", "trade_id")
+    return M.capped_slice(rows, ["recv_wall_ns"])
+
+
 def profit_and_loss(spark, sf):
     fills = _line_trades(spark, sf).withColumn("fee_e6", F.col("count_e2") * 7)
     settle = fills.groupBy("ticker").agg(F.max("price_e4").alias("p")).where(F.col("p") > 9_000).select("ticker", F.lit(10_000).alias("value_e4"))
@@ -332,7 +337,7 @@ QUERIES = {
         audit_rotation, unpriced_events, converted_listing, listing_report, series_categories,
         latest_tickers, lifecycle_state, open_catalog, market_rows, market_details, top_markets,
         market_search, close_clock, recorder_health, subscription_checks, topics, trade_candles,
-        candle_agreement, trade_fees, trade_reconciliation, capped_trades, profit_and_loss,
+        candle_agreement, trade_fees, trade_reconciliation, capped_trades, whole_slice, profit_and_loss,
         markouts, volume_buckets, green_months,
     )
 }
@@ -493,6 +498,7 @@ ORACLE = {
       SELECT series_ticker, count(*) AS trades, CAST(sum((CAST(rate AS HUGEINT) * count_e2 * price_e4 * (10000 - price_e4) + 99999999999) // 100000000000 * 10000) AS BIGINT) AS fee_e6 FROM r GROUP BY 1""",
     "trade_reconciliation": f"""{_TR} SELECT state, count(*) AS trades FROM (SELECT CASE WHEN seq % 7 = 0 AND seq % 10 = 0 THEN NULL WHEN seq % 10 = 0 THEN 'only_recorded'
       WHEN seq % 7 = 0 THEN 'only_listed' WHEN seq % 33 = 0 THEN 'different' ELSE 'equal' END AS state FROM trades) WHERE state IS NOT NULL GROUP BY 1""",
+    "whole_slice": f"{_TR} SELECT recv_wall_ns, trade_id, FALSE AS truncated FROM trades",
     "capped_trades": f"{_TR} SELECT recv_wall_ns, trade_id, (SELECT count(*) > 100 FROM trades) AS truncated FROM trades ORDER BY recv_wall_ns LIMIT 100",
     "profit_and_loss": f"""WITH {_LT}, s AS (SELECT *, CASE WHEN taker_side = 0 THEN 1 ELSE -1 END AS sg FROM lt)
       SELECT ticker, CAST(sum(sg * count_e2) AS BIGINT) AS position_e2, CAST(sum(sg * count_e2 * price_e4) AS BIGINT) AS cost_e6, CAST(sum(count_e2 * 7) AS BIGINT) AS fees_e6,

@@ -68,14 +68,17 @@ def local_session(name: str = "bookstrata", cores: str = "*", partitions: int =
 def scratch_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
-    The cluster names it in ``spark.checkpoint.dir``; only a session without that setting, such as
-    a local test, gets a folder of its own.
+    The cluster names it in ``spark.checkpoint.dir``. A local session without that setting, as in tests,
+    gets a folder of its own; on a cluster it is an error, because a folder of the driver's own would
+    be another folder on every executor.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.sparkContext.setCheckpointDir(current)
     return current.rstrip("/")

@@ -1,7 +1,7 @@
 """Raw record segments: framed binary logs, one zstd stream per file.
 
-A zstd stream cannot be split, so one task reads one file; files are spread over tasks by path. The
-reader streams 64 KiB at a time through the file system the path names, so no file is held whole.
+A zstd stream cannot be split, so one task reads one file; files are dealt to a number of tasks that
+follows from their bytes. The reader streams 64 KiB at a time through the file system the path names, so no file is held whole.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ FACTS = 0
 
 CHUNK = 1 << 16
 BATCH = 4_096
+# Compressed bytes a reading task should take.
+TASK_BYTES = 64 << 20
 
 _OUTPUT = T.StructType(
     [*schemas.RAW_RECORDS.fields, T.StructField("msg_text", T.StringType(), True)]
@@ -203,17 +205,28 @@ def read_segments(spark: SparkSession, root: str | list[str], suffix: str = ".zs
     Rows of kind 0 carry a file's facts as JSON; see :func:`segment_facts`. A truncated tail ends a
     file quietly; damage, an unknown kind or a bad header ends it and is noted in the facts.
     """
+    named = inventory(spark, root, suffix)
+    # The listing's totals: one row.
+    n, size = named.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
+    # Few files: a task each, up to a few for every core; many: by bytes. A number that is given is kept by
+    # adaptive execution, and files dealt one by one, large ones first, load tasks evenly.
+    tasks = max(1, min(n, max(4 * spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES))))
+    dealt = named.orderBy(F.desc("bytes"), "segment").select("path", "segment").repartition(tasks)
+    return dealt.mapInPandas(_read_files, _OUTPUT)
+
+
+def inventory(spark: SparkSession, root: str | list[str], suffix: str = ".zst") -> DataFrame:
+    """path, segment, hour_label and bytes of every segment file; contents are not read."""
     files = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", f"*{suffix}")
         .option("recursiveFileLookup", "true")
         .load(root)
-        .select("path")
     )
     tail = r"([0-9]{4}-[0-9]{2}-[0-9]{2}/[0-9]{2}/[^/]+)$"
-    named = files.withColumn("segment", F.regexp_extract("path", tail, 1))
-    named = named.where(segment_hour("segment").isNotNull())
-    return named.repartition(F.col("segment")).mapInPandas(_read_files, _OUTPUT)
+    named = files.select("path", F.regexp_extract("path", tail, 1).alias("segment"), F.col("length").alias("bytes"))
+    named = named.withColumn("hour_label", segment_hour("segment"))
+    return named.where(F.col("hour_label").isNotNull())
 
 
 def records(raw: DataFrame) -> DataFrame:
@@ -241,14 +254,32 @@ def segment_facts(raw: DataFrame) -> DataFrame:
 
 
 def file_digests(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """SHA-256 and size of every file under a folder."""
+    """SHA-256 and size of every file under a folder, read in pieces: no file is held whole."""
     found = (
         spark.read.format("binaryFile")
         .option("pathGlobFilter", pattern)
         .option("recursiveFileLookup", "true")
         .load(root)
+        .select("path")
     )
-    return found.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+
+    def digest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        for batch in batches:
+            rows = []
+            for path in batch["path"]:
+                system, location = fs.FileSystem.from_uri(path)
+                seen, size = hashlib.sha256(), 0
+                with system.open_input_stream(location, compression=None) as file:
+                    while chunk := file.read(CHUNK):
+                        seen.update(chunk)
+                        size += len(chunk)
+                rows.append((path, size, seen.hexdigest()))
+            yield pd.DataFrame(rows, columns=["path", "bytes", "sha256"])
+
+    tasks = max(1, min(found.count(), 4 * spark.sparkContext.defaultParallelism))
+    return found.repartition(tasks).mapInPandas(digest, "path string, bytes bigint, sha256 string")
 
 
 def logical_digest(df: DataFrame) -> DataFrame:

@@ -80,3 +80,23 @@ def test_grid_rows(spark):
     for step, price, row in ((100, 50, 1), (100, 49, 0), (100, 10_000, 100), (10, 5, 1), (2500, 1249, 0)):
         got = spark.range(1).select(G.row_for_price(F.lit(price), F.lit(step), F.lit(10_000 // step + 1))).first()[0]
         assert got == row
+
+
+def test_compact_contracts_round_their_double(spark):
+    from decimal import ROUND_HALF_UP, Decimal
+
+    from bookstrata.functions.display import format_compact_contracts
+
+    counts = [*range(0, 12_000, 10), *range(950_000, 10_300_000, 25_000), 41_000, 10_050_000]
+    frame = spark.createDataFrame([(c,) for c in counts], "c long")
+    got = [r[0] for r in frame.select(format_compact_contracts(frame.c * 100)).collect()]
+
+    def plain(c):
+        unit, sign = (1, "") if c < 1_000 else (1_000, "K") if c < 1_000_000 else (1_000_000, "M")
+        if unit == 1 or c >= 10 * unit:
+            return f"{c // unit}{sign}"
+        # Decimal takes the double's exact value.
+        return str(Decimal(c / unit).quantize(Decimal("0.1"), ROUND_HALF_UP)).removesuffix(".0") + sign
+
+    assert got == [plain(c) for c in counts]
+    assert got[counts.index(1_150)] == "1.1K" and got[counts.index(1_450)] == "1.4K"
