@@ -44,6 +44,7 @@ CELLS = 1 << 20
 RARE = 1e-3
 BOOST = 0.1
 EXTRA_ROUNDS = 2
+CELL = 1.05
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _STEPS = 1 << 16
@@ -201,23 +202,24 @@ def compare(pairs: DataFrame, texts: DataFrame, by_cell: np.ndarray, similarity:
             for x, y in zip(sets(batch.column(2)), sets(batch.column(3))):
                 common, wx, wy = overlap(x, y)
                 alike = common >= similarity * (wx + wy - common)
-                more = np.zeros(0, np.int64)
+                more, heavy = np.zeros(0, np.int64), np.zeros(0, np.float32)
                 if fresh and not alike:
                     at = np.searchsorted(y[0], x[0])
                     at[at == len(y[0])] = 0
-                    more = x[0][(y[0][at] != x[0]) | (y[1][at] < x[1])].view(np.int64)
-                rows.append((common, wx, wy, alike, more))
-            columns = list(zip(*rows)) or [[]] * 5
-            kinds = (pa.float64(), pa.float64(), pa.float64(), pa.bool_(), pa.list_(pa.int64()))
+                    pick = (y[0][at] != x[0]) | (y[1][at] < x[1])
+                    more, heavy = x[0][pick].view(np.int64), x[1][pick]
+                rows.append((common, wx, wy, alike, more, heavy))
+            columns = list(zip(*rows)) or [[]] * 6
+            kinds = (pa.float64(), pa.float64(), pa.float64(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.float32()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), *[pa.array(c, k) for c, k in zip(columns, kinds)]],
-                names=["a", "b", "common", "weight_a", "weight_b", "alike", "fresh"],
+                names=["a", "b", "common", "weight_a", "weight_b", "alike", "fresh", "heavy"],
             )
 
     left = texts.select(F.col("uid").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("uid").alias("b"), F.col("text").alias("text_b"))
     rows = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return rows.mapInArrow(run, "a long, b long, common double, weight_a double, weight_b double, alike boolean, fresh array<long>")
+    return rows.mapInArrow(run, "a long, b long, common double, weight_a double, weight_b double, alike boolean, fresh array<long>, heavy array<float>")
 
 
 def near_links(texts: DataFrame, docs: DataFrame, by_cell: np.ndarray, similarity: float = SIMILARITY) -> DataFrame:
@@ -267,22 +269,45 @@ def near_links(texts: DataFrame, docs: DataFrame, by_cell: np.ndarray, similarit
     # shingles that weigh more in both than in the centre. So similar texts either share such a shingle, or what
     # they share with the centre is enough.
     several = unsettled().where("uid <> centre")
-    measured = facts.select(F.col("a").alias("uid"), F.col("b").alias("centre"), "common", F.col("weight_a").alias("weight"), "fresh")
+    measured = facts.select(F.col("a").alias("uid"), F.col("b").alias("centre"), "common", F.col("weight_a").alias("weight"), "fresh", "heavy")
     rest = materialize(several.join(measured, ["uid", "centre"]), "rest")
     slim = rest.select("key", "uid", "part", "common", "weight")
     other = slim.select("key", *[F.col(c).alias(f"{c}_2") for c in ("uid", "part", "common", "weight")])
-    enough = F.least("common", "common_2") >= similarity / (1 + similarity) * (F.col("weight") + F.col("weight_2")) - 1e-6
+    least = similarity / (1 + similarity)
+    enough = F.least("common", "common_2") >= least * (F.col("weight") + F.col("weight_2")) - 1e-6
     within = slim.join(other, "key").where((F.col("part") < F.col("part_2")) & enough).select(F.col("uid").alias("a"), F.col("uid_2").alias("b"))
-    extra = rest.select("centre", "uid", "part", "fresh").dropDuplicates(["centre", "uid"])
-    extra = extra.select("centre", "uid", "part", F.explode("fresh").alias("shingle"))
-    mixed = extra.groupBy("centre", "shingle").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
-    extra = extra.join(mixed.select("centre", "shingle"), ["centre", "shingle"])
-    second = extra.select("centre", "shingle", F.col("uid").alias("b"), F.col("part").alias("part_2"))
-    beyond = extra.join(second, ["centre", "shingle"]).where("part < part_2").select(F.col("uid").alias("a"), "b")
+    beyond = _sharing(rest.dropDuplicates(["centre", "uid"]), similarity)
     links = materialize(links.union(linked(compare(_ordered(within.union(beyond)), held, by_cell, similarity))), "links")
     return components(links)
 
 
+def _sharing(rest: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): pairs of texts of one centre that may share enough weight beyond it to be similar.
+
+    A pair must share ``s / (1 + s) * (weight + weight')`` in all, so beyond the centre at least that less what
+    either shares with the centre. Weights come in cells of 5 %; for each cell of a partner's weight a text
+    has a least weight to share, and its most common shingles that together weigh less are left out. Two texts
+    that share enough still have their rarest common shingle among those left (prefix filtering).
+    """
+    rows = rest.select("centre", "uid", "part", "common", "weight", F.explode(F.arrays_zip("fresh", "heavy")).alias("z"))
+    rows = rows.select("centre", "uid", "part", "common", "weight", F.col("z.fresh").alias("shingle"), F.col("z.heavy").cast("double").alias("heavy"))
+    held = rows.groupBy("centre", "shingle").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("low"), F.max("part").alias("high"))
+    rows = rows.join(held.where("low <> high").select("centre", "shingle", "n"), ["centre", "shingle"])
+    # One text's shingles, the most common first: what is lost if this one and all before it are left out.
+    common_first = Window.partitionBy("centre", "uid").orderBy(F.desc("n"), "shingle")
+    rows = rows.withColumn("lost", F.sum("heavy").over(common_first))
+    cell = lambda w: F.floor(F.log(w) / np.log(CELL)).cast("int")
+    rows = rows.withColumn("own", cell(F.col("weight")))
+    partners = F.sequence(cell(F.col("weight") * similarity) - 1, cell(F.col("weight") / similarity) + 1)
+    rows = rows.withColumn("other", F.explode(partners))
+    lightest = F.greatest(F.pow(F.lit(CELL), F.col("other")), F.col("weight") * similarity)
+    needed = similarity / (1 + similarity) * (F.col("weight") + lightest) - F.col("common") - 1e-6
+    rows = materialize(rows.where(F.col("lost") >= needed).select("centre", "shingle", "own", "other", "uid", "part", "common", "weight"), "sharing")
+    second = rows.select("centre", "shingle", F.col("own").alias("other"), F.col("other").alias("own"), *[F.col(c).alias(f"{c}_2") for c in ("uid", "part")])
+    pairs = rows.join(second, ["centre", "shingle", "own", "other"]).where("part < part_2")
+    return pairs.select(F.col("uid").alias("a"), F.col("uid_2").alias("b"))
+
+
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
