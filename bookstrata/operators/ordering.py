@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from bookstrata.functions.clock import NS_PER_MINUTE, RESTART_DROP_NS
 from bookstrata.functions.exact import floor_div
+from bookstrata.session import materialize
 
 BOUNDARY = "wall bigint, src int, mono bigint"
 
@@ -28,21 +29,31 @@ def _find_restarts(pieces: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["wall", "src", "mono"])
 
 
+# Widths of the pieces of time that doubtful pieces are cut into, from one to the next: a minute, a second,
+# ten milliseconds, a hundred microseconds.
+WIDTHS = (NS_PER_MINUTE, 1_000_000_000, 10_000_000, 100_000)
+
+
 def _readings(events: DataFrame, wall: str, mono: str, src: str) -> DataFrame:
     return events.select(
         F.col(wall).cast("bigint").alias("wall"),
         F.col(src).cast("int").alias("src"),
         F.col(mono).cast("bigint").alias("mono"),
-    ).withColumn("minute", floor_div("wall", NS_PER_MINUTE))
+    )
 
 
-def _doubtful_minutes(rows: DataFrame) -> DataFrame:
-    """Lowest and highest reading per minute, and whether the minute could hold a restart."""
-    summary = rows.groupBy("minute").agg(F.min("mono").alias("lo"), F.max("mono").alias("hi"))
-    # One row per minute of recorded time: bounded by the time range, not by the data volume.
-    sequence = Window.orderBy("minute")
+def _summary(rows: DataFrame, width: int) -> DataFrame:
+    """Lowest and highest reading of each piece of time; summed before it is shuffled."""
+    start = (floor_div("wall", width) * width).alias("wall")
+    return rows.groupBy(start).agg(F.min("mono").alias("lo"), F.max("mono").alias("hi"))
+
+
+def _marked(pieces: DataFrame) -> DataFrame:
+    """Whether each piece could hold a restart."""
+    # One row a piece: the minutes of all recorded time, and the cuts of the few doubtful ones.
+    sequence = Window.orderBy("wall")
     wide = (F.col("hi") - F.col("lo")) > RESTART_DROP_NS
-    return summary.withColumn(
+    return pieces.withColumn(
         "doubtful",
         wide
         | F.coalesce(F.lag(wide).over(sequence), F.lit(False))
@@ -50,29 +61,38 @@ def _doubtful_minutes(rows: DataFrame) -> DataFrame:
     )
 
 
+def _doubtful_minutes(rows: DataFrame) -> DataFrame:
+    return _marked(_summary(rows, WIDTHS[0]))
+
+
 def restarts(events: DataFrame, wall: str = "wall", mono: str = "mono", src: str = "src") -> DataFrame:
     """Rows at which the monotonic clock restarted, as ``(wall, src, mono)``.
 
     A restart is a reading more than ten minutes below the highest since the last restart, in wall
-    order. Only one summary row per minute of data is scanned in sequence. A minute's own rows are
-    read only when it could hold a restart: its readings spread over more than ten minutes, the
-    minute before did, or its lowest reading lies below that of the minute before. In any other
-    minute a restart is impossible: the highest reading so far was taken in an earlier minute of the
-    same stretch, so every minute since, the previous one included, stayed within ten minutes of
-    it, and a restart would have to go below the previous minute's lowest reading.
+    order. Time is cut into pieces of which only the lowest and highest reading are kept. A piece is
+    cut further only when it could hold a restart: its readings spread over more than ten minutes, the
+    piece before did, or its lowest reading lies below that of the piece before. In any other piece a
+    restart is impossible: the highest reading so far was taken in an earlier piece of the same
+    stretch, so every piece since, the previous one included, stayed within ten minutes of it, and a
+    restart would have to go below the previous piece's lowest reading.
+
+    So the rows that are walked in sequence are one for each minute, a few for each doubtful piece of
+    any width, and those of doubtful pieces of the least width, however many rows a minute holds.
     """
     rows = _readings(events, wall, mono, src)
-    marked = _doubtful_minutes(rows)
-    calm = marked.where(~F.col("doubtful")).select(
-        (F.col("minute") * NS_PER_MINUTE).alias("wall"),
-        F.lit(0).alias("src"),
-        "lo",
-        "hi",
-        F.lit(False).alias("raw"),
-    )
+    marked = materialize(_doubtful_minutes(rows), "minutes")
+    rows = _within(rows, marked, WIDTHS[0])
+    for width in WIDTHS[1:]:
+        # A piece found calm stays calm: what was said of it holds however its neighbours are cut.
+        settled = marked.where(~F.col("doubtful")).select("wall", "lo", "hi", F.lit(False).alias("cut"))
+        pieces = settled.unionByName(_summary(rows, width).withColumn("cut", F.lit(True)))
+        marked = _marked(pieces).withColumn("doubtful", F.col("doubtful") & F.col("cut"))
+        marked = materialize(marked, "pieces")
+        rows = _within(rows, marked, width)
+    calm = marked.where(~F.col("doubtful"))
+    calm = calm.select("wall", F.lit(0).alias("src"), "lo", "hi", F.lit(False).alias("raw"))
     close = (
-        rows.join(marked.where("doubtful").select("minute"), "minute", "left_semi")
-        .select("wall", "src", F.col("mono").alias("lo"), F.col("mono").alias("hi"))
+        rows.select("wall", "src", F.col("mono").alias("lo"), F.col("mono").alias("hi"))
         .distinct()
         .withColumn("raw", F.lit(True))
     )
@@ -80,6 +100,12 @@ def restarts(events: DataFrame, wall: str = "wall", mono: str = "mono", src: str
     return pieces.groupBy(F.lit(0).alias("all")).applyInPandas(_find_restarts, BOUNDARY)
 
 
+def _within(rows: DataFrame, marked: DataFrame, width: int) -> DataFrame:
+    """Rows in the doubtful pieces of a width."""
+    doubtful = marked.where("doubtful").select(F.col("wall").alias("piece"))
+    return rows.withColumn("piece", floor_div("wall", width) * width).join(doubtful, "piece", "left_semi").drop("piece")
+
+
 def restart_boundaries(
     events: DataFrame, wall: str = "wall", mono: str = "mono", src: str = "src"
 ) -> list[tuple[int, int, int]]:

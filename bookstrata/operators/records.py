@@ -28,11 +28,13 @@ BAKED_TYPES = (
 NOT_BAKED_TYPES = ("subscribed", "ok", "unsubscribed", "error", "ticker")
 # Which time field an ended market's lifecycle event carries.
 END_TIME_FIELDS = {"settled": "settled_ts", "determined": "determination_ts"}
+# Outcomes an audit record may have.
 AUDIT_OUTCOMES = ("exact", "consistent", "inconsistent", "undecidable")
 STOPPED = "stopped"
 FAILURE_SAMPLES = 5
 
 _BAD = "_bad"
+# Fixed layouts: the fields of recorded frames, gaps, connection events, commands and audits.
 _MSG = (
     "market_ticker STRING, price_dollars STRING, delta_fp STRING, side STRING, "
     "client_order_id STRING, ts_ms BIGINT, yes_dollars_fp ARRAY<ARRAY<STRING>>, "

@@ -253,7 +253,7 @@ def segment_facts(raw: DataFrame) -> DataFrame:
     )
 
 
-def file_digests(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
+def file_digests(spark: SparkSession, root: str | list[str], pattern: str = "*") -> DataFrame:
     """SHA-256 and size of every file under a folder, read in pieces: no file is held whole."""
     found = (
         spark.read.format("binaryFile")

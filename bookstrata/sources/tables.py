@@ -108,6 +108,12 @@ def drop_partitions(spark: SparkSession, root: str, name: str, labels: Sequence[
         path.getFileSystem(conf).delete(path, True)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists in the file system it names."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
     """A stored table with its ``dt`` and ``hour`` partition columns."""
     schema = schemas.with_partitions(schemas.TABLES[name].schema)

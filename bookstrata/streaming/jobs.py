@@ -7,7 +7,6 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookstrata.plans.bake import bake
 from bookstrata.session import configure, scratch_path
 
 
@@ -78,27 +77,3 @@ def run_batches(stream: DataFrame, each: Callable[[DataFrame, int], None], check
 def route(messages: DataFrame, tracked: DataFrame) -> DataFrame:
     """Messages of tracked markets only: a stream joined to a static table."""
     return messages.join(tracked.select("ticker"), "ticker", "left_semi")
-
-
-def incremental_bake(spark: SparkSession, raw_root: str, archive_root: str, checkpoint: str) -> None:
-    """Bake the hours in which new segment files appeared since the last run.
-
-    Each touched hour is baked whole and replaced, so running again changes nothing.
-    """
-    schema = "path string, modificationTime timestamp, length bigint, content binary"
-    files = (
-        spark.readStream.format("binaryFile")
-        .schema(schema)
-        .option("recursiveFileLookup", "true")
-        .load(raw_root)
-        .select("path")
-    )
-
-    def bake_batch(batch: DataFrame, _: int) -> None:
-        folder = F.regexp_extract("path", r"^(.*/[0-9]{4}-[0-9]{2}-[0-9]{2}/[0-9]{2})/[^/]+$", 1)
-        # One row per hour folder: as many as there are new hours.
-        folders = [r.f for r in batch.select(folder.alias("f")).distinct().collect() if r.f]
-        if folders:
-            bake(spark, folders, archive_root)
-
-    run_batches(files, bake_batch, checkpoint)

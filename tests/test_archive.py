@@ -6,12 +6,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from bookstrata.operators import books as B
-from bookstrata.plans.bake import bake
+from bookstrata.plans.bake import bake, incremental_bake
 from bookstrata.plans.catalog import Catalog
 from bookstrata.sources import manifests as M
 from bookstrata.sources import segments as Sg
 from bookstrata.sources import tables as T
-from bookstrata.streaming import jobs
 from tests.segment_fixture import S, delta, snap, write
 from tests.sequential import run
 
@@ -129,14 +128,57 @@ def test_baking_again_changes_nothing(spark, archive):
     columns = ["ticker", "ts_ms", "seq", "recv_wall_ns", "side", "price_e4", "delta_e2"]
     before = Sg.logical_digest(T.read_table(spark, root, "deltas").select(columns)).first()
     again = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    state = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    jobs.incremental_bake(spark, raw, again, state)
-    jobs.incremental_bake(spark, raw, again, state)
+    now = START + 4 * 3_600 * S
+    assert incremental_bake(spark, raw, again, now) == ["2026-09-11T05", "2026-09-11T06", "2026-09-11T07"]
+    assert incremental_bake(spark, raw, again, now) == []
     assert Sg.logical_digest(T.read_table(spark, again, "deltas").select(columns)).first() == before
     files = T.read_table(spark, again, "deltas").select(F.input_file_name().alias("f"), "ticker", "ts_ms").collect()
     assert len(files) == before.rows
 
 
+def test_bake_leaves_manifests(spark, archive):
+    _, root, feed = archive
+    day = Catalog(spark, root).integrity("2026-09-11")
+    assert M.violations(day).count() == 0
+    hours = {r.hour: r for r in M.manifest_hours(day).collect()}
+    assert set(hours) == {5, 6, 7}
+    assert sum(sum(h.accounting.records.values()) for h in hours.values()) == len(feed)
+    parts = {r["table"]: r.n for r in M.manifest_parts(day).groupBy("table").agg(F.sum("rows").alias("n")).collect()}
+    assert parts["deltas"] == sum(e[2] == "D" for e in feed)
+    assert sum(h.integrity.gaps["count"] for h in hours.values()) == sum(e[2] == "G" for e in feed)
+
+
+def test_a_growing_hour_waits_and_is_baked_whole(spark):
+    raw, root = (tempfile.mkdtemp(prefix="spark-", dir="/tmp") for _ in range(2))
+    base = 1_789_102_800 * S
+    rows = [(1, 50 * S + i, base + i * S, delta("M", 1, i, "0.4000", "1.00")) for i in range(1, 4)]
+    name, late = "2026-09-11/05/conn-01-0001.zst", base + 2 * 3_600 * S
+    write(raw, name, rows[:1])
+    # The hour has not ended, or only just.
+    assert incremental_bake(spark, raw, root, base + 1_800 * S) == []
+    assert incremental_bake(spark, raw, root, base + 3_600 * S + 5 * S) == []
+    assert incremental_bake(spark, raw, root, late) == ["2026-09-11T05"]
+    write(raw, name, rows)
+    write(raw, "2026-09-11/06/conn-01-0002.zst", rows[:2])
+    assert incremental_bake(spark, raw, root, late) == ["2026-09-11T05"]
+    assert T.read_table(spark, root, "deltas").count() == 3
+    assert incremental_bake(spark, raw, root, late + 3_600 * S) == ["2026-09-11T06"]
+    assert incremental_bake(spark, raw, root, late + 3_600 * S) == []
+    days = M.read_manifests(spark, f"{root}/manifests")
+    assert M.violations(days).count() == 0 and M.manifest_hours(days).count() == 2
+
+
+def test_files_are_read_by_many_tasks(spark):
+    raw = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    for i in range(40):
+        write(raw, f"2026-09-11/05/conn-{i:02d}-0001.zst", [(1, i, 1, delta("M", 1, i, "0.4000", "1.00"))], conn=i)
+    read = Sg.read_segments(spark, raw)
+    tasks = read.withColumn("task", F.spark_partition_id()).groupBy("task").agg(F.countDistinct("segment").alias("n")).collect()
+    assert len(tasks) >= 8 and max(r.n for r in tasks) <= 5
+    digests = {r.sha256 for r in Sg.file_digests(spark, raw, "*.zst").collect()}
+    assert digests == {r.sha256 for r in Sg.segment_facts(read).collect()}
+
+
 def test_manifests_are_strict_and_checked(spark):
     root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
     part = {"path": "deltas/dt=2026-09-11/hour=05/part-0.parquet", "hour": 5, "rows": 3, "bytes": 9, "sha256": "a"}

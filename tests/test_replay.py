@@ -149,3 +149,20 @@ def test_stretches_count_restarts(spark):
     got = [r.stretch for r in with_stretch(df, restart_boundaries(df)).orderBy("n").collect()]
     assert boots > 2
     assert got == want
+
+
+def test_restarts_within_one_crowded_minute(spark):
+    """All rows in one minute: only rows near a restart are walked one by one."""
+    rows, want, mono, high, boots = [], [], 10**15, None, 0
+    rng = random.Random(6)
+    for n in range(4_000):
+        mono = rng.randrange(1, 2_000) * SECOND if rng.random() < 0.001 else mono + rng.randrange(1, 3) * SECOND
+        if high is not None and mono < high - 600 * SECOND:
+            boots, high = boots + 1, mono
+        else:
+            high = mono if high is None else max(high, mono)
+        rows.append((n, 6 * 10**18 + n * 10_000_000, mono, 0))
+        want.append(boots)
+    df = spark.createDataFrame(rows, "n int, wall bigint, mono bigint, src int")
+    got = [r.stretch for r in with_stretch(df, restart_boundaries(df)).orderBy("n").collect()]
+    assert boots > 1 and got == want
