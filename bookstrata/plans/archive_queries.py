@@ -20,6 +20,7 @@ from bookstrata.plans.catalog import Catalog
 from bookstrata.session import materialize, scratch_path
 from bookstrata.sources import manifests as M
 from bookstrata.sources import sample
+from bookstrata.sources import segments as Sg
 from bookstrata.sources import tables as T
 from bookstrata.sources.sample import EPOCH_2024_NS, FEED_SQL, TRADES_SQL
 
@@ -79,6 +80,28 @@ def raw_records(spark, sf):
     )
 
 
+def _segments(spark, sf):
+    """The sample written as segment files by the executors, and read back."""
+
+    def make():
+        root = scratch_path(spark, "segments")
+        sample.write_segments(raw_records(spark, sf), root)
+        rows = materialize(Sg.read_segments(spark, root), "raw")
+        return rows, [rows]
+
+    return shared.once(spark, sf, "segments", make)
+
+
+def segment_records(spark, sf):
+    rows = Sg.records(_segments(spark, sf))
+    return rows.select("segment", "ordinal", "kind", "conn_id", "recv_mono_ns", "recv_wall_ns")
+
+
+def segment_facts(spark, sf):
+    facts = Sg.segment_facts(_segments(spark, sf))
+    return facts.select("segment", "hour_label", "records", "first_recv_wall_ns", "last_recv_wall_ns", "truncated", "corrupt", "conn_id")
+
+
 def _classified(spark, sf):
     def make():
         rows = materialize(R.classify(raw_records(spark, sf)), "classified")
@@ -395,7 +418,7 @@ def replaced_hours(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        record_accounting, accounting_check, failure_samples, decoded_deltas, decoded_snapshots,
+        segment_records, segment_facts, record_accounting, accounting_check, failure_samples, decoded_deltas, decoded_snapshots,
         decoded_trades, decoded_audits, gap_resolution, gap_cost, connection_spans, host_sleeps,
         overflow_dropped, uptime, audit_summary, connection_status, sequence_verdicts, gap_counters,
         bus_continuity, bus_stats, clock_jumps, audit_windows, rest_books, level_texts,
@@ -445,6 +468,10 @@ _INV = """inv AS (SELECT o_orderkey AS k, strftime(DATE '2024-01-01' + CAST(o_or
 per AS (SELECT dt, hour, min(k) AS f FROM inv GROUP BY 1, 2)"""
 
 ORACLE = {
+    "segment_records": f"""WITH {_RAW} SELECT segment, row_number() OVER (PARTITION BY segment ORDER BY event_id) - 1 AS ordinal,
+      CAST(CASE fm WHEN 'G' THEN 3 WHEN 'C' THEN 4 WHEN 'A' THEN 5 ELSE 1 END AS TINYINT) AS kind, conn_id, recv_mono_ns, recv_wall_ns FROM rec""",
+    "segment_facts": f"""WITH {_RAW} SELECT segment, any_value(hl) AS hour_label, count(*) AS records, arg_min(recv_wall_ns, event_id) AS first_recv_wall_ns,
+      arg_max(recv_wall_ns, event_id) AS last_recv_wall_ns, FALSE AS truncated, CAST(NULL AS VARCHAR) AS corrupt, any_value(conn_id) AS conn_id FROM rec GROUP BY segment""",
     "record_accounting": f"""WITH {_RAW} SELECT CAST(CASE fm WHEN 'G' THEN 3 WHEN 'C' THEN 4 WHEN 'A' THEN 5 ELSE 1 END AS TINYINT) AS kind,
       CASE WHEN failure IS NOT NULL THEN 'failure' WHEN fm = 'C' THEN 'not_baked' ELSE 'baked' END AS outcome,
       coalesce(failure, CASE fm WHEN 'D' THEN 'orderbook_delta' WHEN 'S' THEN 'orderbook_snapshot' WHEN 'T' THEN 'trade' WHEN 'G' THEN 'gap' WHEN 'C' THEN 'connection' ELSE 'audit' END) AS key,

@@ -6,6 +6,10 @@ with ``lineitem`` becomes a market listing; the same expressions exist in SQL fo
 
 from __future__ import annotations
 
+import json
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -213,3 +217,42 @@ listing AS (
   UNION ALL
   SELECT * EXCLUDE (k) REPLACE (greatest(0, volume_24h - 100) AS volume_24h)
   FROM first_pass WHERE k % 7 = 0)"""
+
+
+def write_segments(raw: DataFrame, root: str) -> None:
+    """Write sample records as segment files under ``root``, each by the task that holds its rows.
+
+    Tasks write whole files to paths that depend on the segment alone, so a task that runs again writes the
+    same file again.
+    """
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import zstandard
+        from pyarrow import fs
+
+        from bookstrata.sources import segments as layout
+
+        system, base = fs.FileSystem.from_uri(root if "://" in root or root.startswith("file:") else f"file://{root}")
+        name, file, packed = None, None, None
+
+        def close() -> None:
+            if file is not None:
+                file.write(packed.flush())
+                file.close()
+
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                if r.segment != name:
+                    close()
+                    name = r.segment
+                    system.create_dir(f"{base}/{name.rsplit('/', 1)[0]}", recursive=True)
+                    file, packed = system.open_output_stream(f"{base}/{name}", compression=None), zstandard.ZstdCompressor(level=3).compressobj()
+                    header = json.dumps({"conn_id": int(r.conn_id), "use_yes_price": bool(r.use_yes_price), "subscriptions": []}).encode()
+                    file.write(packed.compress(layout.FILE_HEADER.pack(layout.MAGIC, layout.FORMAT_VERSION, len(header)) + header))
+                head = layout.RECORD_HEADER.pack(r.kind, r.conn_id, r.recv_mono_ns, r.recv_wall_ns, len(r.payload))
+                file.write(packed.compress(head + r.payload))
+            yield pd.DataFrame({"rows": [len(batch)]})
+        close()
+
+    laid = raw.repartition("segment").sortWithinPartitions("segment", "ordinal")
+    laid.mapInPandas(write, "rows bigint").agg(F.sum("rows")).collect()
