@@ -28,6 +28,18 @@ def book_status(spark, sf):
     return shared.final_books(spark, sf).status.select("ticker", "stale", "last_ts_ms")
 
 
+SMALL_SLICES = 16
+
+
+def books_at_sliced(spark, sf):
+    """As ``books_at``, with slices so small that levels are carried from slice to slice."""
+    return shared.whole_replay(spark, sf, SMALL_SLICES).levels
+
+
+def book_status_sliced(spark, sf):
+    return shared.whole_replay(spark, sf, SMALL_SLICES).status.select("ticker", "stale", "last_ts_ms")
+
+
 def top_of_book(spark, sf):
     return B.book_summary(shared.final_books(spark, sf))
 
@@ -125,9 +137,16 @@ def level_changes(spark, sf):
     return rows.select("ticker", F.col("wall").alias("recv_wall_ns"), F.col("side").cast("tinyint").alias("side"), "price_e4", "delta_e2", "count_e2")
 
 
+def top_of_book_timeline_sliced(spark, sf):
+    return _daily_tops(shared.timeline(spark, sf, SMALL_SLICES).top_of_book())
+
+
 def top_of_book_timeline(spark, sf):
     """Best prices after the last change of each market and day."""
-    rows = shared.top_timeline(spark, sf)
+    return _daily_tops(shared.top_timeline(spark, sf))
+
+
+def _daily_tops(rows):
     day = F.expr(f"wall div {NS_PER_DAY}")
     return rows.groupBy("ticker", day.alias("day")).agg(
         F.max_by("best_bid", "pos").alias("best_bid"), F.max_by("best_ask", "pos").alias("best_ask")
@@ -215,7 +234,8 @@ QUERIES = {
         books_at, book_status, top_of_book, book_depth, book_images, book_ladder, level_sizes,
         book_checksums, book_diff, book_diff_summary, keyframe_rows, replay_from_keyframe,
         keyframe_agreement, snapshot_images, host_restarts, ordered_stream, epoch_cuts,
-        level_changes, top_of_book_timeline, impossible_trades, trade_quotes, heatmap_cells,
+        level_changes, top_of_book_timeline, books_at_sliced, book_status_sliced,
+        top_of_book_timeline_sliced, impossible_trades, trade_quotes, heatmap_cells,
         heatmap_columns, heatmap_status, heatmap_samples, row_totals, trade_points, recent_trades,
         session_maxima, header_quotes, microprices,
     )
@@ -422,3 +442,6 @@ ORACLE["session_maxima"] = (
       FROM (SELECT ticker, max(count_e2) / 100.0 AS m, count(*) AS c FROM trades GROUP BY 1) big
       FULL JOIN (SELECT ticker, max(total_e2) / 100.0 AS m FROM rt GROUP BY 1) deep USING (ticker)"""
 )
+
+for _name in ("books_at", "book_status", "top_of_book_timeline"):
+    ORACLE[f"{_name}_sliced"] = ORACLE[_name]

@@ -40,11 +40,10 @@ def forget() -> None:
     _held.clear()
 
 
-def whole_replay(spark: SparkSession, sf_dir: str) -> R.Books:
+def whole_replay(spark: SparkSession, sf_dir: str, slice_rows: int = R.SLICE_ROWS) -> R.Books:
     """Replay of the whole sample feed, not shared: what a caller of the catalog runs."""
-    return R.replay(
-        sample.deltas(spark, sf_dir), sample.snapshots(spark, sf_dir), sample.gaps(spark, sf_dir)
-    )
+    parts = sample.deltas(spark, sf_dir), sample.snapshots(spark, sf_dir), sample.gaps(spark, sf_dir)
+    return R.replay(*parts, slice_rows=slice_rows)
 
 
 def _written(books: R.Books) -> tuple[R.Books, list[DataFrame]]:
@@ -69,14 +68,13 @@ def middle_books(spark: SparkSession, sf_dir: str) -> R.Books:
     return once(spark, sf_dir, "middle", make)
 
 
-def timeline(spark: SparkSession, sf_dir: str) -> R.Timeline:
+def timeline(spark: SparkSession, sf_dir: str, slice_rows: int = R.SLICE_ROWS) -> R.Timeline:
     def make() -> tuple[R.Timeline, list[DataFrame]]:
-        line = R.timeline(
-            sample.deltas(spark, sf_dir), sample.snapshots(spark, sf_dir), sample.gaps(spark, sf_dir)
-        )
+        parts = sample.deltas(spark, sf_dir), sample.snapshots(spark, sf_dir), sample.gaps(spark, sf_dir)
+        line = R.timeline(*parts, slice_rows=slice_rows)
         return line, [line.log, line.cuts]
 
-    return once(spark, sf_dir, "timeline", make)
+    return once(spark, sf_dir, f"timeline-{slice_rows}", make)
 
 
 def top_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
