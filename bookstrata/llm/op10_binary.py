@@ -26,6 +26,7 @@ driver or a single task but one row a shard.
 from __future__ import annotations
 
 import itertools
+import re
 import sys
 import unicodedata
 import zlib
@@ -42,8 +43,8 @@ from bookstrata.session import scratch_path, ship
 
 END = 2
 BLOCK = 1 << 20
-TABLE_ROWS = 400_000
-BATCH = 4096
+TABLE_ROWS = 600_000
+BATCH = 1 << 14
 LEAST = 8
 GAIN = 0.005
 _SLOTS = 18
@@ -57,6 +58,11 @@ def tokenizer_path() -> str:
 
 # ------------------------------------------------------------------------------------------ encoding
 
+# Within Latin-1, the letters, numbers and white space of Unicode, and the vocabulary's splitting
+# pattern over them.
+_L, _N, _S = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \x85\xa0"
+LATIN = f"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+"
+
 
 def _changed_characters() -> str:
     """A character class of what Unicode 3.2 did not have, or had in another class of letters, numbers or spaces."""
@@ -84,7 +90,10 @@ class Encoder:
         self.library = Tokenizer.from_file(path)
         self.size = self.library.get_vocab_size()
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        self.chunks = regex.compile(public_tokenizers.PATTERN)
+        self.chunks, self.latin = regex.compile(public_tokenizers.PATTERN), re.compile(LATIN)
+        # Ids whose token begins with a space (written as U+0120).
+        self.spaced = np.zeros(max(self.library.get_vocab().values()) + 1, bool)
+        self.spaced[[i for token, i in self.library.get_vocab().items() if token.startswith("\u0120")]] = True
         self.changed = regex.compile(_changed_characters())
         self.rows = rows
         self.clear()
@@ -100,27 +109,41 @@ class Encoder:
         self.index: dict[str, int] = {}
         self.flat, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
-    def _plain(self, text: str) -> bool:
+    def _split(self, text: str) -> list[str] | None:
+        """The chunks of a text; None where it is for the library as a whole."""
         if any(s in text for s in self.special):
-            return False
+            return None
         try:
             text.encode("latin-1")
-            return True
+            return self.latin.findall(text)
         except UnicodeEncodeError:
-            return self.changed.search(text) is None
+            return None if self.changed.search(text) else self.chunks.findall(text)
+
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _learn(self, chunks: list[str]) -> None:
-        found = [e.ids for e in self.library.encode_batch_fast(chunks, add_special_tokens=False)]
+        # A space and letters: put one after the other, such chunks are split where they were joined, and
+        # only their first token begins with a space. So many are encoded as one text.
+        words = [c for c in chunks if len(c) > 1 and c[0] == " " and c[1:].isalpha()]
+        others = list(set(chunks).difference(words))
+        joined = self._ids(["".join(words[i : i + 2_000]) for i in range(0, len(words), 2_000)])
+        flat = np.concatenate([np.zeros(0, np.uint32), *joined])
+        starts = np.flatnonzero(self.spaced[flat])
+        if len(starts) != len(words):
+            raise ValueError("a chunk's tokens begin with more than one space")
+        rest = self._ids(others)
+        lengths = np.concatenate([np.diff(np.append(starts, len(flat))), [len(x) for x in rest]]).astype(np.int64)
+        flat = np.concatenate([flat, *rest])
         base = len(self.index)
-        self.index.update(zip(chunks, range(base, base + len(chunks))))
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(itertools.chain.from_iterable(found), np.uint32, int(lengths.sum()))
+        self.index.update(zip(itertools.chain(words, others), range(base, base + len(chunks))))
         self.flat = np.concatenate([self.flat, flat])
         self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(lengths)])
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
-        plain = [self._plain(t) for t in texts]
-        parts = [self.chunks.findall(t) if p else () for t, p in zip(texts, plain)]
+        split = [self._split(t) for t in texts]
+        plain = [p is not None for p in split]
+        parts = [p or () for p in split]
         new = set().union(*parts).difference(self.index)
         if len(self.index) + len(new) > self.rows:
             self.clear()
@@ -292,8 +315,8 @@ def write(docs: DataFrame, folder: str, path: str | None = None, end: int = END,
         keys, parts, held, number = [], [], 0, 0
         for batch in batches:
             arrow = batch.schema.field(0).type
-            for start in range(0, batch.num_rows, 128):
-                part = batch.slice(start, 128)
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
                 found = encoder.encode([t or "" for t in part.column(1).to_pylist()])
                 for key, ids in zip(part.column(0).to_pylist(), found):
                     keys.append(key)
