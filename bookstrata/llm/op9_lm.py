@@ -3,14 +3,18 @@
 Two bigram models over one vocabulary, one of the target texts and one of all texts, give every token a loss;
 a document's score is the mean of target loss minus background loss, so that low scores resemble the target.
 
-The vocabulary is every lower-cased word that makes at least ``WORD_SHARE`` of all tokens of all documents,
-at most 1 / WORD_SHARE words; all others are one unknown word. Both models hold the same bigrams: those that
-make at least ``PAIR_SHARE`` of all tokens. So both fit into memory whatever the corpus, while every count is
-taken over all documents. A model is P(w|v) = M * c(v,w)/c(v) for a held bigram, plus the weight that bigrams
-held for v leave, times P(w), the add-one estimate of the word; each sums to one over the vocabulary.
+The vocabulary is every lower-cased word, and both models hold every bigram, at any size of the corpus; no count
+is left out. A model is P(w|v) = M * c(v,w)/c(v) for a bigram, plus the weight that bigrams leave for v, times
+P(w), the add-one estimate of the word; each sums to one over the vocabulary.
 
-Texts are read three times: to count words, to count pairs of words known, and to score. Target texts are
-found by one join. Words are 64-bit numbers of their bytes; counts are summed before they are shuffled.
+Neither the driver nor a broadcast holds a model. Texts are cut into blocks of about ``BLOCK`` bytes. A block
+sends one row for each distinct word and pair with its own counts; sums over all rows of one key go back where
+they differ from the block's own, and the block, which travels as one row of numbers, is scored. A word in every
+text is thus one row a block. The number of tokens and of distinct words are all that reaches the driver.
+
+``train`` and ``score`` are the same models in memory, for corpora whose counts fit there, and can leave out words
+and pairs below a share; the query does not use them. The comparison SQL leaves out the same shares: it is equal
+up to 500,000 tokens, where no share is more than one occurrence.
 
 Defined results: a null text is empty; a document without a word has no losses (null); labels without an id
 or quality are ignored, of several for one id the highest counts; without any target text both models are
@@ -25,15 +29,21 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from bookstrata.llm.common import WordBlock, blocks, materialize, table
+from bookstrata.llm.common import WordBlock, blocks, materialize, mix as spread, table
 from bookstrata.session import ship
 
 WORD_SHARE = 2e-6
 PAIR_SHARE = 1e-6
 MIX = 0.7
+BLOCK = 1 << 24
+
+_START = np.uint64(0x5851F42D4C957F2D)
+_GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+_COUNTS = ("n", "m", "c", "d")
 
 
 @dataclass
@@ -65,8 +75,8 @@ class Vocabulary:
         return ids, before * self.size + ids
 
 
-def _word_blocks(texts: pa.Array) -> Iterator[tuple[int, int, WordBlock]]:
-    for first, stop, data, ends in blocks(pc.utf8_lower(texts)):
+def _word_blocks(texts: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, int, WordBlock]]:
+    for first, stop, data, ends in blocks(pc.utf8_lower(texts), size):
         yield first, stop, WordBlock(data, ends)
 
 
@@ -196,16 +206,128 @@ def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
     return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, score double")
 
 
-def target_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Texts of documents labelled good."""
+@dataclass
+class Counted:
+    """A block's tokens as numbers of its distinct pairs, and the counts of its words and pairs.
+
+    ``counts`` has a row for each word, the start among them, and then one for each pair. n, m: how often it occurs
+    in all texts and in target texts; c, d: how often a word comes first in a pair, there and there.
+    """
+
+    lengths: np.ndarray
+    pair: np.ndarray
+    before: np.ndarray
+    word: np.ndarray
+    counts: np.ndarray
+
+    @classmethod
+    def of(cls, block: WordBlock, target: np.ndarray) -> tuple[np.ndarray, Counted]:
+        """The keys of the rows of ``counts``, and the block; target: for each text."""
+        lengths = np.diff(block.offsets)
+        words, ids = np.unique(np.append(block.hashes, _START), return_inverse=True)
+        start, ids = ids[-1], ids[:-1]
+        before = np.concatenate([[start], ids[:-1]]) if len(ids) else ids
+        before[block.offsets[:-1][lengths > 0]] = start
+        good = np.repeat(target, lengths).astype(np.float64)
+        codes, pair = np.unique(before * len(words) + ids, return_inverse=True)
+        first, second = codes // len(words), codes % len(words)
+        counts = np.zeros((len(words) + len(codes), 4), np.int64)
+        for column, (at, weights) in enumerate(((ids, None), (ids, good), (before, None), (before, good))):
+            counts[: len(words), column] = np.bincount(at, weights, len(words))
+        counts[len(words) :, 0] = np.bincount(pair, minlength=len(codes))
+        counts[len(words) :, 1] = np.bincount(pair, good, len(codes))
+        keys = np.concatenate([words, spread(spread(words[first] + _GOLDEN) ^ words[second])])
+        return keys, cls(lengths, pair, first, second, counts)
+
+    def packed(self) -> bytes:
+        parts = [x.astype(np.int32).tobytes() for x in (self.lengths, self.pair, self.before, self.word, self.counts.T)]
+        sizes = np.array([len(p) for p in parts], np.int64).tobytes()
+        return pa.compress(pa.py_buffer(b"".join([sizes, *parts])), "lz4", asbytes=True) + np.int64(40 + sum(map(len, parts))).tobytes()
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> Counted:
+        raw = pa.decompress(data[:-8], int(np.frombuffer(data[-8:], np.int64)[0]), "lz4", asbytes=True)
+        ends = np.cumsum([40, *np.frombuffer(raw[:40], np.int64)])
+        lengths, pair, before, word, counts = (np.frombuffer(raw[i:j], np.int32) for i, j in zip(ends[:-1], ends[1:]))
+        return cls(lengths, pair, before, word, counts.reshape(4, -1).T.astype(np.int64))
+
+    def losses(self, words: int, tokens: int, target_tokens: int, mix: float) -> tuple[np.ndarray, np.ndarray]:
+        """Sums of target and background losses of each text; ``counts`` are by now those of all texts."""
+        text = np.repeat(np.arange(len(self.lengths)), self.lengths)
+        own = len(self.counts) - len(self.before)
+        out = []
+        for i, total in ((1, target_tokens), (0, tokens)):
+            seen = self.counts[self.before, i + 2]
+            p = (self.counts[self.word, i] + 1) / (total + words + 1)
+            p = np.where(seen > 0, (1 - mix) * p + mix * self.counts[own:, i] / np.maximum(seen, 1), p)
+            out.append(np.bincount(text, -np.log(p)[self.pair], len(self.lengths)))
+        return (out[0] if target_tokens else out[1]), out[1]
+
+
+def mark_targets(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, text, target of every row: whether the document is labelled good."""
     good = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality")).where("quality > 0")
-    return docs.select("doc_id", "text").join(good.select("doc_id").hint("shuffle_hash"), "doc_id", "left_semi").select("text")
+    good = good.select("doc_id", F.lit(True).alias("target")).hint("shuffle_hash")
+    return docs.select("doc_id", F.col("text").cast("string")).join(good, "doc_id", "left").withColumn("target", F.col("target").isNotNull())
+
+
+def score_all(marked: DataFrame, mix: float = MIX, size: int = BLOCK) -> DataFrame:
+    """doc_id, n_tokens, target_loss, background_loss, score of every row of a stored table of doc_id, text, target."""
+    words, tokens = word_counts(marked.select("text")).agg(F.count("key"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    target_tokens = word_counts(marked.where("target").select("text")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    kind = marked.schema["doc_id"].dataType.simpleString()
+    names = ["key", "block", "at", *_COUNTS, "ids", "packed"]
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            target = batch.column(2).to_numpy(zero_copy_only=False)
+            for first, stop, block in _word_blocks(batch.column(1), size):
+                keys, counted = Counted.of(block, target[first:stop])
+                ids = batch.column(0).slice(first, stop - first)
+                lists = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+                some = spread(np.array([number], np.uint64) + _GOLDEN).view(np.int64)
+                nothing = [pa.array([0], pa.int32())] * 4
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(some), pa.array([number]), pa.array([-1], pa.int32()), *nothing, lists, pa.array([counted.packed()], pa.binary())], names=names
+                )
+                for i in range(0, len(keys), 1 << 16):
+                    part = slice(i, min(i + (1 << 16), len(keys)))
+                    n = part.stop - i
+                    columns = [pa.array(keys[part].view(np.int64)), pa.array(np.full(n, number)), pa.array(np.arange(i, part.stop, dtype=np.int32))]
+                    columns += [pa.array(counted.counts[part, k].astype(np.int32)) for k in range(4)]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.nulls(n, lists.type), pa.nulls(n, pa.binary())], names=names)
+                number += 1
+
+    def finish(rows: pa.Table) -> pa.Table:
+        at = rows.column("at").to_numpy()
+        own = int(np.flatnonzero(at < 0)[0])
+        counted = Counted.unpacked(rows.column("packed")[own].as_py())
+        told = at >= 0
+        for k, c in enumerate(_COUNTS):
+            counted.counts[at[told], k] = rows.column(f"all_{c}").to_numpy()[told]
+        n = counted.lengths.astype(np.int64)
+        none = n == 0
+        target, background = (x / np.maximum(n, 1) for x in counted.losses(words, tokens, target_tokens, mix))
+        columns = [pa.array(x, mask=none) for x in (target, background, target - background)]
+        return pa.Table.from_arrays([rows.column("ids")[own].values, pa.array(n), *columns], names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"])
+
+    sent = marked.select("doc_id", "text", "target").mapInArrow(
+        count, f"key long, block long, at int, n int, m int, c int, d int, ids array<{kind}>, packed binary"
+    )
+    of_key = Window.partitionBy("key")
+    summed = sent.select("*", *[F.sum(c).over(of_key).alias(f"all_{c}") for c in _COUNTS])
+    # What no other block has is known there.
+    news = F.lit(False)
+    for c in _COUNTS:
+        news = news | (F.col(c) != F.col(f"all_{c}"))
+    back = summed.where((F.col("at") < 0) | news).select("block", "at", *[f"all_{c}" for c in _COUNTS], "ids", "packed")
+    return back.groupBy("block").applyInArrow(finish, f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, score double")
 
 
 def cross_entropy_difference(docs: DataFrame, labels: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
-    targets = materialize(target_texts(docs, labels), "targets")
-    return score(docs, train(docs, targets))
+    return score_all(materialize(mark_targets(docs, labels), "marked"))
 
 
 def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:

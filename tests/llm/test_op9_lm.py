@@ -58,3 +58,23 @@ def test_start_is_a_context():
     vocabulary = M.Vocabulary(np.sort(block.hashes))
     ids, pairs = vocabulary.pairs(block)
     assert list(pairs) == [3 * 4 + ids[0], ids[0] * 4 + ids[1]] and vocabulary.unknown == 2
+
+
+def test_rare_words_and_pairs_count_at_any_size(spark):
+    """A word and a pair far below the shares of a larger corpus still make a target text score low."""
+    common = "the old house stands on the hill " * 200_000
+    rows = [(0, common, "en", "s"), (1, common, "en", "s"), (2, "zebra quark", "en", "s"), (3, "zebra quark", "en", "s"), (4, "quark zebra", "en", "s")]
+    rows += [(5, "lone word", "en", "s")]
+    docs = docs_frame(spark, rows)
+    got = {r.doc_id: r for r in M.cross_entropy_difference(docs, labels_frame(spark, [(2, 1, "")])).collect()}
+    assert got[3].score == got[2].score < min(0, got[4].score, got[5].score)
+    want = M.score(docs, M.train(docs, docs.where("doc_id = 2"), word_share=0, pair_share=0))
+    for r in want.collect():
+        assert all(abs(x - y) < 1e-9 for x, y in zip(r[1:], got[r.doc_id][1:]))
+
+
+def test_blocks_do_not_matter(spark):
+    rows = [(i, f"a b c d{i % 3} a b e{i}" if i % 7 else "", "en", "s") for i in range(60)] + [(5, "a b", "en", "s"), (None, "b a", "en", "s")]
+    marked = docs_frame(spark, rows).selectExpr("doc_id", "text", "coalesce(doc_id < 9, false) AS target")
+    want, got = (sorted(map(repr, M.score_all(marked, size=size).selectExpr("doc_id", "n_tokens", "round(score, 9)").collect())) for size in (1 << 24, 40))
+    assert got == want and len(got) == len(rows)
