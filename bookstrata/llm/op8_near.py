@@ -188,7 +188,7 @@ def signatures(docs: DataFrame, by_cell: np.ndarray) -> DataFrame:
 
 def compare(pairs: DataFrame, texts: DataFrame, by_cell: np.ndarray, similarity: float, fresh: bool = False) -> DataFrame:
     """a, b of each pair with the weights of the two sets, the weight they share, whether they are similar and,
-    where they are not and it is asked for, the shingles that weigh more in a than in b."""
+    where it is asked for, the shingles that weigh more in a than in b."""
     shared = pairs.sparkSession.sparkContext.broadcast(by_cell)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +203,7 @@ def compare(pairs: DataFrame, texts: DataFrame, by_cell: np.ndarray, similarity:
                 common, wx, wy = overlap(x, y)
                 alike = common >= similarity * (wx + wy - common)
                 more, heavy = np.zeros(0, np.int64), np.zeros(0, np.float32)
-                if fresh and not alike:
+                if fresh:
                     at = np.searchsorted(y[0], x[0])
                     at[at == len(y[0])] = 0
                     pick = (y[0][at] != x[0]) | (y[1][at] < x[1])
@@ -267,7 +267,8 @@ def near_links(texts: DataFrame, docs: DataFrame, by_cell: np.ndarray, similarit
     # What is left: pairs of one bucket across components that its centre does not rule out. Of the weight x and
     # y share, at most the less of what each shares with the centre lies within the centre; the rest is in
     # shingles that weigh more in both than in the centre. So similar texts either share such a shingle, or what
-    # they share with the centre is enough.
+    # they share with the centre is enough. Members similar to the centre take part too: a copy of one of them may
+    # be too far from the centre itself.
     several = unsettled().where("uid <> centre")
     measured = facts.select(F.col("a").alias("uid"), F.col("b").alias("centre"), "common", F.col("weight_a").alias("weight"), "fresh", "heavy")
     rest = materialize(several.join(measured, ["uid", "centre"]), "rest")

@@ -97,6 +97,29 @@ def test_groups_equal_all_pairs(spark):
     assert sum(r.kept for r in got) == len(set(want.values()))
 
 
+def test_copies_of_copies_in_one_bucket(spark):
+    """An original with many copies, each with a copy of its own that is too far from the original."""
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(100)]
+    texts = []
+    for i in range(150):
+        copy = list(base)
+        for at in (rng.randrange(10, 30), rng.randrange(40, 60)):
+            copy[at] = f"e{i}-{at}"
+        second = list(copy)
+        second[rng.randrange(70, 90)] = f"f{i}"
+        texts += [" ".join(copy), " ".join(second)]
+    rows = [(i, t, "en", "s") for i, t in enumerate([*texts, " ".join(base)])]
+    docs = docs_frame(spark, rows)
+    # All in one bucket, whose centre is the original: of texts in equally many buckets the one with the highest uid.
+    held = docs.selectExpr("doc_id AS uid", "md5(cast(text AS binary)) AS digest", "array(1L) AS bands")
+    labels = D.near_links(held, docs, D.cell_weights(0, np.zeros(0, int), np.zeros(0, int)))
+    got = {r.id: r.label for r in labels.collect()}
+    want = {i: c for (i, _), c in brute(rows, 1.0).items()}
+    assert set(want.values()) == {0}
+    assert {i: got.get(i, i) for i in want} == want
+
+
 def test_samples_estimate_similarity():
     rng = np.random.default_rng(1)
     sampler = D.Sampler(3_000)
