@@ -75,9 +75,11 @@ def with_rules(urls: DataFrame, rules: DataFrame) -> DataFrame:
     rules = rules.select("host", F.coalesce("path", F.lit("")).alias("path"), "verdict").where("host <> ''")
     rules = rules.groupBy("host", "path").agg(F.min("verdict").alias("verdict"))
     labels = F.split("host", r"\.")
-    # a.b.c, b.c and c: each suffix begins at a label.
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    hosts = urls.select("host").where("host <> ''").distinct()
+    # a.b.c, b.c and c: each suffix begins at a label. No rule has more labels than the deepest one.
+    deepest = rules.agg(F.max(F.size(labels))).first()[0] or 0
+    last = F.slice(labels, -F.least(F.size(labels), F.lit(deepest)), F.size(labels))
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(last)), lambda i: F.array_join(F.slice(last, i, F.size(last)), "."))
+    hosts = urls.select("host").where("host <> ''").where(F.lit(deepest > 0)).distinct()
     met = hosts.select("host", F.explode(suffixes).alias("suffix")).join(rules.withColumnRenamed("host", "suffix"), "suffix")
     met = met.groupBy("host").agg(F.collect_list(F.struct(F.length("suffix").alias("length"), F.length("path").alias("depth"), F.col("suffix").alias("host"), "path", "verdict")).alias("rules"))
     rows = urls.join(met, "host", "left")
