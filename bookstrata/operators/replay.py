@@ -9,25 +9,27 @@ the gap's subscription.
 
 The shape of the job:
 
-* Each market's rows are cut into *slices* of about ``slice_rows`` consecutive rows, found from row
-  counts per market and minute. All heavy steps are keyed by (market, slice), so a market holding a
-  third of all rows spreads over as many tasks as it has slices.
+* All rows are sorted once by market and full position, and a row's rank in its market tells its
+  *slice* of ``slice_rows`` consecutive rows. All heavy steps are keyed by (market, slice), so a
+  market holding a third of all rows spreads over as many tasks as it has slices, also where all of
+  them fall into one minute or one reading of the clock.
 * An *epoch* runs from one valid image to the next. Level counts are running sums within an epoch.
 * The *cut* of an epoch is its first violation. Sums past the cut are wrong but never used, so all
   violations can be found independently and the earliest wins.
+* Best prices come from the stretches during which levels rest. A slice's changes are numbered, a
+  stretch is cut into blocks of powers of two, and a change's best price is the best of the blocks
+  it lies in, one of each size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bookstrata.functions.exact import floor_div
-from bookstrata.operators.ordering import minute_block, restart_boundaries, with_stretch
+from bookstrata.operators.ordering import minute_block, ranked, restart_boundaries, with_stretch
 from bookstrata.operators.running import Running, asof_join, running
 from bookstrata.session import materialize
 
@@ -231,28 +233,14 @@ def ordered_changes(
     return changes, gap_rows
 
 
-def _slice_map(rows: DataFrame, starts: Column, slice_rows: int) -> DataFrame:
-    """Slice of each (market, minute) and the number of valid images before the slice."""
-    weight = F.lit(1) + F.coalesce(F.size("levels"), F.lit(0))
-    counts = rows.groupBy("ticker", "stretch", "minute").agg(
-        F.sum(weight).alias("n"), F.count(F.when(starts, 1)).alias("images")
-    )
-    by_time = Window.partitionBy("ticker").orderBy("stretch", "minute")
-    earlier = by_time.rowsBetween(Window.unboundedPreceding, -1)
-    sized = counts.select(
-        "ticker",
-        "stretch",
-        "minute",
-        F.coalesce(F.sum("images").over(earlier), F.lit(0)).alias("images_before"),
-        floor_div(F.coalesce(F.sum("n").over(earlier), F.lit(0)), slice_rows).alias("raw_slice"),
-    )
-    return sized.select(
-        "ticker",
-        "stretch",
-        "minute",
-        F.dense_rank().over(Window.partitionBy("ticker").orderBy("raw_slice")).alias("slice"),
-        F.min("images_before").over(Window.partitionBy("ticker", "raw_slice")).alias("epoch_in"),
-    )
+def _sliced(rows: DataFrame, slice_rows: int) -> DataFrame:
+    """``rows`` with their slice and the number of valid images before the slice."""
+    rows = ranked(rows, ["ticker"], "pos", "changes").withColumn("slice", floor_div("rank", slice_rows).cast("int"))
+    starts = F.col("valid") & (F.col("src") > 0)
+    images = rows.groupBy("ticker", "slice").agg(F.count(F.when(starts, 1)).alias("images"))
+    earlier = Window.partitionBy("ticker").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    images = images.select("ticker", "slice", F.coalesce(F.sum("images").over(earlier), F.lit(0)).alias("epoch_in"))
+    return rows.join(images, ["ticker", "slice"])
 
 
 def level_log(changes: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
@@ -263,11 +251,9 @@ def level_log(changes: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     and has no levels. The result is written to the shared scratch folder, because cuts, states and
     timelines all read it.
     """
-    rows = changes.withColumn("minute", minute_block("mono"))
     starts = F.col("valid") & (F.col("src") > 0)
-    slices = materialize(_slice_map(rows, starts, slice_rows), "slices")
-    placed = rows.join(slices, ["ticker", "stretch", "minute"])
-    walk = Window.partitionBy("ticker", "slice").orderBy("pos")
+    placed = _sliced(changes, slice_rows)
+    walk = Window.partitionBy("ticker", "slice").orderBy("rank")
     upto = walk.rowsBetween(Window.unboundedPreceding, 0)
     subscription = F.struct("conn_id", "sid")
     placed = (
@@ -286,14 +272,14 @@ def level_log(changes: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     single = F.array(F.struct("side", "price_e4", "delta_e2").cast(level))
     kept = F.when(F.col("valid") & (F.size("levels") > 0), F.col("levels")).cast(f"array<{level}>")
     exploded = placed.select(
-        "ticker", "slice", "epoch", "pos", "src", "conn_id", "sid", "ts_ms", "valid",
+        "ticker", "slice", "epoch", "rank", "pos", "src", "conn_id", "sid", "ts_ms", "valid",
         "base_stale", "run_start", "wall",
         F.posexplode(
             F.when(F.col("src") == 0, single).otherwise(F.coalesce(kept, marker))
         ).alias("nth", "level"),
     )
     log = exploded.select(
-        "ticker", "slice", "epoch", "pos", "src", "conn_id", "sid", "ts_ms", "valid",
+        "ticker", "slice", "epoch", "rank", "pos", "src", "conn_id", "sid", "ts_ms", "valid",
         "base_stale", "wall",
         (F.col("run_start") & (F.col("nth") == 0)).alias("run_start"),
         F.coalesce("level.side", F.lit(EMPTY)).alias("side"),
@@ -302,7 +288,7 @@ def level_log(changes: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     )
     level_keys = ["ticker", "epoch", "side", "price_e4"]
     total = Running("sum", F.col("delta_e2"))
-    counted = running(log, level_keys, ["slice"], ["pos"], {"count_e2": total})
+    counted = running(log, level_keys, ["slice"], ["rank"], {"count_e2": total})
     return materialize(counted, "level-log")
 
 
@@ -316,7 +302,7 @@ def _open_at_slice_start(log: DataFrame) -> DataFrame:
     closing = (
         log.where(F.col("side") >= 0)
         .groupBy(*level, "slice")
-        .agg(F.max_by("count_e2", "pos").alias("count_e2"))
+        .agg(F.max_by("count_e2", "rank").alias("count_e2"))
     )
     ends = log.groupBy("ticker", "epoch").agg(F.max("slice").alias("last_slice"))
     upto = F.least(
@@ -335,57 +321,6 @@ def _open_at_slice_start(log: DataFrame) -> DataFrame:
     )
 
 
-_QUOTE_SCHEMA = (
-    "ticker string, epoch bigint, slice int, stretch int, mono bigint, src int, k_ts bigint, "
-    "k_seq bigint, wall bigint, k_side int, k_price int, k_delta bigint, bid int, ask int"
-)
-_POS_FIELDS = ["stretch", "mono", "src", "k_ts", "k_seq", "wall", "k_side", "k_price", "k_delta"]
-
-
-def _walk_quotes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Best prices after each change that opens or closes a level.
-
-    Rows come sorted by slice, carried levels first, then position. Only one book is held at a time,
-    and only the last row of a position is kept, because all levels of an image act together.
-    """
-    columns = ["ticker", "epoch", "slice", *_POS_FIELDS, "bid", "ask"]
-    numbers = {c: "Int32" for c in ("bid", "ask")}
-    here, bids, asks, best_bid, best_ask = None, set(), set(), None, None
-    pending = None
-    for batch in batches:
-        out = []
-        keys = zip(batch["ticker"], batch["epoch"], batch["slice"], strict=True)
-        moves = zip(batch["side"], batch["price_e4"], batch["opened"], batch["carried"], strict=True)
-        places = batch[_POS_FIELDS].itertuples(index=False, name=None)
-        for key, (side, price, opened, carried), place in zip(keys, moves, places, strict=True):
-            if key != here:
-                here, bids, asks, best_bid, best_ask = key, set(), set(), None, None
-            if side == BID:
-                if opened:
-                    bids.add(price)
-                    best_bid = price if best_bid is None else max(best_bid, price)
-                else:
-                    bids.discard(price)
-                    if price == best_bid:
-                        best_bid = max(bids, default=None)
-            elif side == ASK:
-                if opened:
-                    asks.add(price)
-                    best_ask = price if best_ask is None else min(best_ask, price)
-                else:
-                    asks.discard(price)
-                    if price == best_ask:
-                        best_ask = min(asks, default=None)
-            if carried:
-                continue
-            if pending is not None and pending[:12] != (*key, *place):
-                out.append(pending)
-            pending = (*key, *place, best_bid, best_ask)
-        yield pd.DataFrame(out, columns=columns).astype(numbers)
-    if pending is not None:
-        yield pd.DataFrame([pending], columns=columns).astype(numbers)
-
-
 def _toggles(log: DataFrame) -> DataFrame:
     """Rows at which a level starts or stops resting, and valid images of empty books."""
     after = F.col("count_e2") > 0
@@ -396,54 +331,80 @@ def _toggles(log: DataFrame) -> DataFrame:
     )
 
 
-def _slice_quotes(log: DataFrame, carried: DataFrame | None, wanted: DataFrame | None) -> DataFrame:
-    """Best bid and ask after every opening or closing level, slice by slice.
+def _sizes(size: str) -> Column:
+    """Exponents of the block sizes that numbers up to ``size`` and the one after need."""
+    return F.sequence(F.lit(0), F.ceil(F.log2(F.col(size) + 2)).cast("int"))
 
-    Args:
-        log: The level log.
-        carried: Levels resting at each later slice's start; ``None`` when there are none.
-        wanted: The slices to walk; ``None`` means all.
+
+def _blocks(first: str, end: str, size: str) -> Column:
+    """The fewest aligned blocks of powers of two that make up ``[first, end)``, as (level, block).
+
+    A block is used if it lies inside and the one of twice its size around it does not: on each level
+    at most the first one, if its number is odd, and the last one, if its number is even.
     """
-    columns = ["ticker", "epoch", "slice", "side", "price_e4"]
-    rows = _toggles(log).select(
-        *columns,
-        "opened",
-        F.lit(False).alias("carried"),
-        *[F.col(f"pos.{f}").alias(f) for f in _POS_FIELDS],
-    )
-    if carried is not None:
-        # Zeros rather than NULLs: a NULL would turn the 64-bit columns into doubles in pandas.
-        start = carried.select(
-            *columns,
-            F.lit(True).alias("opened"),
-            F.lit(True).alias("carried"),
-            *[F.lit(0).cast(rows.schema[f].dataType).alias(f) for f in _POS_FIELDS],
-        )
-        rows = rows.unionByName(start)
-    if wanted is not None:
-        rows = rows.join(wanted, ["ticker", "epoch", "slice"], "left_semi")
-    laid = rows.repartition("ticker", "epoch", "slice").sortWithinPartitions(
-        "ticker", "epoch", "slice", F.col("carried").desc(), *_POS_FIELDS
-    )
-    return laid.mapInPandas(_walk_quotes, _QUOTE_SCHEMA)
 
+    def at(level: Column) -> Column:
+        width = F.pow(F.lit(2), level)
+        low = F.ceil(F.col(first) / width).cast("bigint")
+        high = F.floor(F.col(end) / width).cast("bigint")
+        used = (F.when((low < high) & (low % 2 == 1), low), F.when((low < high) & (high % 2 == 1), high - 1))
+        return F.array(*[F.struct(level.alias("level"), block.alias("block")) for block in used])
 
-def _pos_struct() -> Column:
-    return F.struct(*[F.col(f) for f in _POS_FIELDS])
+    return F.filter(F.flatten(F.transform(_sizes(size), at)), lambda b: b["block"].isNotNull())
 
 
-def _carried_levels(log: DataFrame, facts: DataFrame) -> DataFrame | None:
-    """Levels resting at later slice starts, or ``None`` when no epoch spans two slices."""
-    spread = (
-        facts.groupBy("ticker", "epoch")
-        .agg(F.min("slice").alias("lo"), F.max("slice").alias("hi"))
-        .where(F.col("hi") > F.col("lo"))
-        .select("ticker", "epoch")
+def _slice_quotes(log: DataFrame, carried: DataFrame, wanted: DataFrame | None) -> DataFrame:
+    """Best bid and ask after every position that opens or closes a level, slice by slice.
+
+    Everything after the one shuffle by slice is keyed by slice and more, so nothing is shuffled again.
+
+    Args:
+        log: The level log.
+        carried: Levels resting at each later slice's start.
+        wanted: The slices to look at; ``None`` means all.
+    """
+    key = ["ticker", "epoch", "slice"]
+    kind = log.schema["pos"].dataType
+    rows = _toggles(log).select(*key, "side", "price_e4", "opened", "rank", "pos")
+    start = carried.select(
+        *key, "side", "price_e4", F.lit(True).alias("opened"), F.lit(-1).cast("bigint").alias("rank"), F.lit(None).cast(kind).alias("pos")
     )
-    if spread.isEmpty():
-        return None
-    return materialize(
-        _open_at_slice_start(log.join(spread, ["ticker", "epoch"], "left_semi")), "carried"
+    rows = rows.unionByName(start)
+    if wanted is not None:
+        rows = rows.join(wanted, key, "left_semi")
+    # Levels carried in come first. All levels of an image act together, so they have one number.
+    walk = Window.partitionBy(*key).orderBy(F.asc_nulls_first("pos"))
+    rows = rows.repartition(*key).select(
+        "*", F.dense_rank().over(walk).alias("n"), (~F.lag("pos").over(walk).eqNullSafe(F.col("pos"))).alias("leads")
+    )
+    rows = rows.withColumn("size", F.max("n").over(Window.partitionBy(*key)))
+    closed = F.lead("n").over(Window.partitionBy(*key, "side", "price_e4").orderBy("rank"))
+    rows = rows.withColumn("end", F.coalesce(closed, F.col("size") + 1))
+    price = lambda side: F.when(F.col("side") == side, F.col("price_e4"))
+    none = F.lit(None)
+    rests = F.transform(
+        _blocks("n", "end", "size"),
+        lambda b: F.struct(
+            b["level"].alias("level"), b["block"].alias("block"), price(BID).alias("bid"), price(ASK).alias("ask"),
+            none.cast("int").alias("n"), none.cast(kind).alias("pos"),
+        ),
+    )
+    meets = F.transform(
+        _sizes("size"),
+        lambda h: F.struct(
+            h.alias("level"), F.floor(F.col("n") / F.pow(F.lit(2), h)).cast("bigint").alias("block"),
+            none.cast("int").alias("bid"), none.cast("int").alias("ask"),
+            F.col("n").alias("n"), F.when(h == 0, F.col("pos")).alias("pos"),
+        ),
+    )
+    rest = F.when(F.col("opened") & (F.col("side") >= 0), rests)
+    empty = F.array().cast(f"array<struct<level:int,block:bigint,bid:int,ask:int,n:int,pos:{kind.simpleString()}>>")
+    both = F.concat(F.coalesce(rest, empty), F.coalesce(F.when(F.col("leads"), meets), empty))
+    parts = rows.select(*key, F.inline(both))
+    block = Window.partitionBy(*key, "level", "block")
+    parts = parts.select(*key, "n", "pos", F.max("bid").over(block).alias("bid"), F.min("ask").over(block).alias("ask"))
+    return parts.where(F.col("n").isNotNull()).groupBy(*key, "n").agg(
+        F.max("pos").alias("pos"), F.max("bid").alias("bid"), F.min("ask").alias("ask")
     )
 
 
@@ -461,25 +422,19 @@ def slice_facts(log: DataFrame) -> DataFrame:
     )
 
 
-def crossings(
-    log: DataFrame, facts: DataFrame, carried: DataFrame | None, plain_cuts: DataFrame
-) -> DataFrame | None:
-    """First crossing of each epoch, as ``(ticker, epoch, pos)``; ``None`` when none is possible.
+def crossings(log: DataFrame, facts: DataFrame, carried: DataFrame, plain_cuts: DataFrame) -> DataFrame:
+    """First crossing of each epoch, as ``(ticker, epoch, pos)``.
 
-    A slice is examined row by row only if its highest bid could reach its lowest ask, it did not
-    already start crossed, and no slice before it did or held another violation.
+    A slice's best prices are looked at only if its highest bid could reach its lowest ask, it did
+    not already start crossed, and no slice before it did or held another violation.
     """
     key = ["ticker", "epoch", "slice"]
     side, price = F.col("side"), F.col("price_e4")
-    if carried is None:
-        none = F.lit(None).cast("int")
-        joined = facts.withColumn("s_bid", none).withColumn("s_ask", none)
-    else:
-        at_start = carried.groupBy(*key).agg(
-            F.max(F.when(side == BID, price)).alias("s_bid"),
-            F.min(F.when(side == ASK, price)).alias("s_ask"),
-        )
-        joined = facts.join(at_start, key, "left")
+    at_start = carried.groupBy(*key).agg(
+        F.max(F.when(side == BID, price)).alias("s_bid"),
+        F.min(F.when(side == ASK, price)).alias("s_ask"),
+    )
+    joined = facts.join(at_start, key, "left")
     crossed = F.coalesce(F.col("s_bid") >= F.col("s_ask"), F.lit(False))
     # Slices of one epoch are few; the window runs over one summary row per slice.
     epoch = Window.partitionBy("ticker", "epoch")
@@ -499,14 +454,11 @@ def crossings(
         )
         .select(*key)
     )
-    wanted = materialize(wanted, "suspicious")
-    if wanted.isEmpty():
-        return None
     quotes = _slice_quotes(log, carried, wanted)
     return (
-        quotes.where((F.col("bid") >= F.col("ask")) & (F.col("src") == 0))
+        quotes.where((F.col("bid") >= F.col("ask")) & (F.col("pos.src") == 0))
         .groupBy("ticker", "epoch")
-        .agg(F.min(_pos_struct()).alias("pos"))
+        .agg(F.min("pos").alias("pos"))
     )
 
 
@@ -559,8 +511,8 @@ def gap_cuts(log: DataFrame, gaps: DataFrame) -> DataFrame:
     )
 
 
-def epoch_cuts(log: DataFrame, gaps: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """The first violation of each epoch, and the levels carried into later slices.
+def epoch_cuts(log: DataFrame, gaps: DataFrame) -> DataFrame:
+    """The first violation of each epoch.
 
     Cuts are ``(ticker, epoch, cut, kind)`` with kinds ``G`` gap, ``X`` invalid image, ``N``
     negative level, ``C`` crossing, ``B`` base already stale. Epochs without a violation have no
@@ -581,18 +533,16 @@ def epoch_cuts(log: DataFrame, gaps: DataFrame) -> tuple[DataFrame, DataFrame |
         .select(*key, "m.*")
     )
     plain = materialize(plain, "plain-cuts")
-    carried = _carried_levels(log, facts)
-    crossed = crossings(log, facts, carried, plain)
-    if crossed is None:
-        return plain.select(*key, F.col("pos").alias("cut"), "kind"), carried
+    carried = _open_at_slice_start(log)
+    crossed = crossings(log, facts, carried, plain).withColumn("kind", F.lit("C"))
     both = (
         plain.select(*key, "pos", "kind")
-        .unionByName(crossed.withColumn("kind", F.lit("C")))
+        .unionByName(crossed)
         .groupBy(*key)
         .agg(F.min(F.struct("pos", "kind")).alias("m"))
         .select(*key, F.col("m.pos").alias("cut"), F.col("m.kind").alias("kind"))
     )
-    return materialize(both, "cuts"), carried
+    return materialize(both, "cuts")
 
 
 def applied_rows(log: DataFrame, cuts: DataFrame) -> DataFrame:
@@ -626,8 +576,8 @@ def books_from(
         tickers: Markets that must appear in the status even without any change.
         slice_rows: Rows a slice aims to hold.
     """
-    log = level_log(materialize(latest_epoch(changes), "changes"), slice_rows)
-    cuts, _ = epoch_cuts(log, gaps)
+    log = level_log(latest_epoch(changes), slice_rows)
+    cuts = epoch_cuts(log, gaps)
     applied = applied_rows(log, cuts)
     levels = (
         applied.where(F.col("side") >= 0)
@@ -679,7 +629,6 @@ class Timeline:
 
     log: DataFrame
     cuts: DataFrame
-    carried: DataFrame | None
 
     def changes(self) -> DataFrame:
         """Level counts after each applied change."""
@@ -687,12 +636,12 @@ class Timeline:
 
     def top_of_book(self) -> DataFrame:
         """Best bid and ask after each applied change that opened or closed a level."""
-        quotes = _slice_quotes(self.log, self.carried, None).withColumn("pos", _pos_struct())
+        quotes = _slice_quotes(self.log, _open_at_slice_start(self.log), None)
         kept = quotes.join(self.cuts, ["ticker", "epoch"], "left").where(
             F.col("cut").isNull() | (F.col("pos") < F.col("cut"))
         )
         return kept.select(
-            "ticker", "epoch", "pos", "stretch", "mono", "wall",
+            "ticker", "epoch", "pos", "pos.stretch", "pos.mono", "pos.wall",
             F.col("bid").alias("best_bid"), F.col("ask").alias("best_ask"),
         )
 
@@ -706,9 +655,8 @@ def timeline(
 ) -> Timeline:
     """The whole history of every book in some stored changes, all epochs."""
     changes, ordered_gaps = ordered_changes(deltas, snapshots, gaps, keyframe)
-    log = level_log(materialize(changes, "changes"), slice_rows)
-    cuts, carried = epoch_cuts(log, ordered_gaps)
-    return Timeline(log=log, cuts=cuts, carried=carried)
+    log = level_log(changes, slice_rows)
+    return Timeline(log=log, cuts=epoch_cuts(log, ordered_gaps))
 
 
 __all__ = [
