@@ -10,7 +10,7 @@ from bookstrata.operators import heatmap as H
 from bookstrata.operators import metrics as M
 from bookstrata.operators import replay as R
 from bookstrata.operators.directory import quote_fallback
-from bookstrata.operators.ordering import restart_boundaries, with_stretch
+from bookstrata.operators.ordering import restart_boundaries, restarts, with_stretch
 from bookstrata.plans import shared
 from bookstrata.sources import sample
 from bookstrata.sources.sample import EPOCH_2024_NS, FEED_SQL, TRADES_SQL
@@ -29,6 +29,9 @@ def book_status(spark, sf):
 
 
 SMALL_SLICES = 16
+_APART_NS = 3_600_000_000_000
+# A month of the sample becomes less than a minute.
+_SQUEEZE = 45_000
 
 
 def books_at_sliced(spark, sf):
@@ -114,6 +117,30 @@ def host_restarts(spark, sf):
     )
 
 
+def host_restarts_interleaved(spark, sf):
+    """Restarts found where two clocks, an hour apart, interleave all the time."""
+    apart = F.when(F.col("conn_id") % 2 == 1, F.lit(_APART_NS)).otherwise(0)
+    rows = sample.feed(spark, sf).select(F.col("recv_wall_ns").alias("wall"), (F.col("recv_mono_ns") + apart).alias("mono"), F.lit(0).alias("src"))
+    return restarts(rows).select("wall", "mono")
+
+
+def books_at_hot_minute(spark, sf):
+    """As ``books_at``, with the whole feed received within one minute and slices of sixteen changes."""
+    mono = F.expr(f"recv_mono_ns div {_SQUEEZE}")
+    parts = sample.deltas(spark, sf), sample.snapshots(spark, sf), sample.gaps(spark, sf)
+    parts = [t.withColumns({"recv_mono_ns": mono, "recv_wall_ns": mono + EPOCH_2024_NS}) for t in parts]
+    return R.replay(*parts, slice_rows=SMALL_SLICES).levels
+
+
+def epoch_cuts_calm(spark, sf):
+    """As ``epoch_cuts``, with so few gaps that negative levels and crossings come first in many epochs."""
+    return _cut_kinds(shared.calm_timeline(spark, sf))
+
+
+def top_of_book_timeline_calm(spark, sf):
+    return _daily_tops(shared.calm_timeline(spark, sf).top_of_book())
+
+
 def ordered_stream(spark, sf):
     """Book changes and trades as one stream, numbered per market in receive order."""
     d = sample.deltas(spark, sf).select("ticker", "recv_mono_ns", "seq")
@@ -124,7 +151,10 @@ def ordered_stream(spark, sf):
 
 def epoch_cuts(spark, sf):
     """How many image epochs ended early, by what broke them."""
-    line = shared.timeline(spark, sf)
+    return _cut_kinds(shared.timeline(spark, sf))
+
+
+def _cut_kinds(line):
     starts = line.log.select("ticker", "epoch").distinct()
     return starts.join(line.cuts, ["ticker", "epoch"], "left").groupBy(
         F.coalesce("kind", F.lit("-")).alias("kind")
@@ -237,7 +267,8 @@ QUERIES = {
         level_changes, top_of_book_timeline, books_at_sliced, book_status_sliced,
         top_of_book_timeline_sliced, impossible_trades, trade_quotes, heatmap_cells,
         heatmap_columns, heatmap_status, heatmap_samples, row_totals, trade_points, recent_trades,
-        session_maxima, header_quotes, microprices,
+        session_maxima, header_quotes, microprices, host_restarts_interleaved, books_at_hot_minute,
+        epoch_cuts_calm, top_of_book_timeline_calm,
     )
 }
 
@@ -445,3 +476,11 @@ ORACLE["session_maxima"] = (
 
 for _name in ("books_at", "book_status", "top_of_book_timeline"):
     ORACLE[f"{_name}_sliced"] = ORACLE[_name]
+ORACLE["books_at_hot_minute"] = ORACLE["books_at"]
+_CALM = f"{FEED_SQL.replace('feed AS', 'busy AS', 1)}, feed AS (SELECT * FROM busy WHERE kind <> 'G' OR event_id % {shared.CALM} = 0)"
+for _name in ("epoch_cuts", "top_of_book_timeline"):
+    ORACLE[f"{_name}_calm"] = ORACLE[_name].replace(FEED_SQL, _CALM)
+# Each clock only rises, and they are further apart than a restart's drop: a restart is a step from the later to the earlier.
+ORACLE["host_restarts_interleaved"] = f"""WITH {FEED_SQL}, r AS (SELECT recv_wall_ns AS wall, conn_id % 2 AS late,
+      recv_mono_ns + {_APART_NS} * (conn_id % 2) AS mono FROM feed)
+      SELECT wall, mono FROM r QUALIFY late = 0 AND lag(late) OVER (ORDER BY wall) = 1"""

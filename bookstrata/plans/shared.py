@@ -77,6 +77,19 @@ def timeline(spark: SparkSession, sf_dir: str, slice_rows: int = R.SLICE_ROWS) -
     return once(spark, sf_dir, f"timeline-{slice_rows}", make)
 
 
+# Of the sample's gaps the calm feed keeps those of ids divisible by this.
+CALM = 400
+
+
+def calm_timeline(spark: SparkSession, sf_dir: str) -> R.Timeline:
+    def make() -> tuple[R.Timeline, list[DataFrame]]:
+        gaps = sample.gaps(spark, sf_dir).where(f"expected_seq % {CALM} = 0")
+        line = R.timeline(sample.deltas(spark, sf_dir), sample.snapshots(spark, sf_dir), gaps)
+        return line, [line.log, line.cuts]
+
+    return once(spark, sf_dir, "timeline-calm", make)
+
+
 def top_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Best prices over time, written once."""
 
