@@ -3,14 +3,19 @@
 A text becomes a TF-IDF vector of its character n-grams (1 to 3 characters, words padded with one space,
 lower case, letters only), hashed to ``BUCKETS`` dimensions, with logarithmic term counts and unit length.
 Each language has several centroids, found by spherical k-means among its training texts, and a text takes
-the language of the centroid with the highest cosine. A text further from that centroid than ``SLACK``
-times the greatest training distance of its language (0.8 at least, 0.95 at most) is rejected; so is a text without a letter, whose
-language is ``und`` and whose score is 0.
+the language of the centroid with the highest cosine. A text further from that centroid than the language's
+reach is rejected; so is a text without a letter, whose language is ``und`` and whose score is 0.
 
-Training takes at most ``PER_LANGUAGE`` texts of each language, those whose seeded md5 of doc_id is lowest,
-at most ``LANGUAGES`` languages (those with most rows) and of each text all of it; this is the documented
-bound under which a classifier may be fitted. Prediction covers all rows and whole texts, in a single pass
-without a shuffle; the model, ``BUCKETS`` x centroids numbers, is all that is sent to the executors.
+Short texts lie far from every centroid, so a language's reach depends on the number of letters, in bands of
+powers of two. A quarter of the training texts takes no part in finding centroids. Stretches of all lengths are cut
+from these, and the reach of a band is the ``TAIL`` quantile of their cosines, but no more than ``MIDDLE`` times their
+median (a language's few long texts may be much alike) and no less than that of a shorter band. Bands without enough stretches, and all beyond the longest, take the reach of the next shorter one; texts of
+fewer letters than any stretch are not rejected.
+
+Training takes at most ``PER_LANGUAGE`` texts of each language, those whose seeded md5 of doc_id is lowest, and of
+each text all of it; this is the documented bound under which a classifier may be fitted. Every lang value is
+learned. Prediction covers all rows and whole texts, in a single pass without a shuffle; the model, ``BUCKETS`` x
+centroids numbers (128 KB a language), is all that is sent to the executors.
 
 Defined results: a null or empty text, or one without a letter, gives ``und``; a null lang is never
 learned; if nothing can be learned every text gives ``und``; ties between centroids fall to the language
@@ -28,15 +33,18 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from bookstrata.llm.common import blocks, mix, table
+from bookstrata.llm.common import blocks, materialize, mix, table
 from bookstrata.session import ship
 
 BUCKETS = 1 << 13
 CENTROIDS = 4
 PER_LANGUAGE = 400
-LANGUAGES = 256
-SLACK = 1.5
-NARROWEST, WIDEST = 0.8, 0.95
+TAIL = 0.004
+STRETCHES = (16, 32, 64, 128, 256, 512, 1024, 2048)
+MIDDLE = 0.5
+CUTS = 4
+ENOUGH = 8
+BANDS = 13
 SEED = "lang-1"
 
 _SPACE = np.uint32(32)
@@ -92,17 +100,32 @@ def _unit(rows: np.ndarray) -> np.ndarray:
 
 
 class Model:
-    """Centroids of all languages, in code-point order of the languages."""
+    """Centroids of all languages, in code-point order of the languages; least: cosine by language and band."""
 
     def __init__(self, names: list[str], idf: np.ndarray, centroids: np.ndarray, of: np.ndarray, least: np.ndarray) -> None:
         self.names, self.idf, self.centroids, self.of, self.least = names, idf, centroids, of, least
 
-    def predict(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def predict(self, counts: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Index of the language, cosine, and whether the text is within the language's reach."""
         cosine = _unit(np.log1p(counts) * self.idf) @ self.centroids.T
         best = cosine.argmax(axis=1)
         score = np.clip(cosine[np.arange(len(best)), best], 0.0, 1.0)
-        return self.of[best], score, score >= self.least[self.of[best]]
+        return self.of[best], score, score >= self.least[self.of[best], band_of(letters)]
+
+
+def band_of(letters: np.ndarray) -> np.ndarray:
+    return np.minimum(np.log2(np.maximum(letters, 1)).astype(np.int64), BANDS - 1)
+
+
+def stretches(text: str) -> list[str]:
+    """Stretches of a text, of all lengths it has room for, at even distances; the whole text last."""
+    out = []
+    for size in STRETCHES:
+        if size >= len(text):
+            break
+        cuts = min(CUTS, len(text) // size)
+        out += [text[at : at + size] for at in (k * (len(text) - size) // max(cuts - 1, 1) for k in range(cuts))]
+    return [*out, text]
 
 
 def _cluster(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -119,23 +142,29 @@ def _cluster(rows: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centroids
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, centroids: int = CENTROIDS, slack: float = SLACK) -> Model:
-    """Train on rows with a text and a lang. See the module's description for the bounds."""
-    ship(docs.sparkSession)
+def chosen_texts(docs: DataFrame, per_language: int) -> DataFrame:
+    """lang, text, held of at most ``per_language`` texts of each language; held: the quarter that tells reaches."""
     order = F.md5(F.concat(F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not counts:
-        return Model([], np.ones(BUCKETS, np.float32), np.zeros((0, BUCKETS), np.float32), np.zeros(0, int), np.zeros(0))
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
     # About twice as many ids as wanted are ranked, whatever the size of a language. Ids first, so that only
     # chosen texts are moved.
-    shares = F.create_map(*[F.lit(x) for lang, n in counts for x in (lang, 2.0 * (per_language + 8) / n)])
     place = F.conv(F.substring(order, 1, 8), 16, 10).cast("long") / float(1 << 32)
-    some = known.where(place < F.try_element_at(shares, F.col("lang"))).select("lang", "doc_id", order.alias("h"))
+    some = known.select("lang", "doc_id", order.alias("h"), place.alias("place")).join(counts, "lang")
+    some = some.where(F.col("place") < 2.0 * (per_language + 8) / F.col("n")).select("lang", "doc_id", "h")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
-    picked = some.withColumn("rank", rank).where(F.col("rank") <= per_language).select("lang", "doc_id").distinct()
-    # Broadcast: at most LANGUAGES * PER_LANGUAGE ids.
-    chosen = known.select("lang", "doc_id", "text").join(F.broadcast(picked), ["lang", "doc_id"])
+    picked = some.withColumn("rank", rank).where(F.col("rank") <= per_language).groupBy("lang", "doc_id").agg(F.min("rank").alias("rank"))
+    # Equal ids may bring more texts than wanted: the bound holds for texts, too.
+    texts = known.select("lang", "doc_id", F.col("text").cast("string").alias("text")).join(picked, ["lang", "doc_id"])
+    last = F.row_number().over(Window.partitionBy("lang").orderBy("rank", F.md5(F.col("text").cast("binary"))))
+    texts = texts.withColumn("n", last).where(F.col("n") <= per_language)
+    return materialize(texts.select("lang", "text", (F.col("n") % 4 == 0).alias("held")), "language-texts")
+
+
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, centroids: int = CENTROIDS, tail: float = TAIL) -> Model:
+    """Train on rows with a text and a lang. See the module's description for the bounds."""
+    ship(docs.sparkSession)
+    texts = chosen_texts(docs, per_language)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors = Vectors()
@@ -150,28 +179,57 @@ def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, centroids: int = CENT
                     names=["lang", "at", "n"],
                 )
 
-    order_by = F.row_number().over(Window.partitionBy("lang").orderBy(F.md5("at"), F.md5("n")))
-    found = chosen.select("lang", "text").mapInArrow(count, "lang string, at binary, n binary")
-    found = found.withColumn("rank", order_by).where(F.col("rank") <= per_language)  # equal ids may bring more
-    rows = sorted(found.select("lang", "at", "n").collect())
+    found = texts.where(~F.col("held")).select("lang", "text").mapInArrow(count, "lang string, at binary, n binary")
+    rows = sorted(found.collect())
     names = sorted({r[0] for r in rows})
     if not names:
         empty = np.zeros((0, BUCKETS), np.float32)
-        return Model([], np.ones(BUCKETS, np.float32), empty, np.zeros(0, int), np.zeros(0))
-    counts = np.zeros((len(rows), BUCKETS), np.float32)
-    for i, (_, at, n) in enumerate(rows):
-        counts[i, np.frombuffer(at, np.int32)] = np.frombuffer(n, np.float32)
-    idf = (1 + np.log((1 + len(rows)) / (1 + (counts > 0).sum(axis=0)))).astype(np.float32)
-    vectors = _unit(np.log1p(counts) * idf)
-    of_row = np.array([names.index(r[0]) for r in rows])
-    parts, of, least = [], [], []
-    for i in range(len(names)):
-        own = vectors[of_row == i]
-        parts.append(_cluster(own, centroids))
+        return Model([], np.ones(BUCKETS, np.float32), empty, np.zeros(0, int), np.zeros((0, BANDS)))
+    seen = sum((np.bincount(np.frombuffer(at, np.int32), minlength=BUCKETS) for _, at, _ in rows), np.zeros(BUCKETS, np.int64))
+    idf = (1 + np.log((1 + len(rows)) / (1 + seen))).astype(np.float32)
+    parts, of = [], []
+    for i, name in enumerate(names):
+        own = [(at, n) for lang, at, n in rows if lang == name]
+        counts = np.zeros((len(own), BUCKETS), np.float32)
+        for k, (at, n) in enumerate(own):
+            counts[k, np.frombuffer(at, np.int32)] = np.frombuffer(n, np.float32)
+        parts.append(_cluster(_unit(np.log1p(counts) * idf), centroids))
         of += [i] * len(parts[-1])
-        farthest = 1 - float((own @ parts[-1].T).max(axis=1).min())
-        least.append(1 - min(WIDEST, max(NARROWEST, farthest * slack)))
-    return Model(names, idf, np.concatenate(parts).astype(np.float32), np.array(of), np.array(least))
+    model = Model(names, idf, np.concatenate(parts).astype(np.float32), np.array(of), np.zeros((len(names), BANDS)))
+    model.least = reaches(texts.where("held"), model, tail)
+    return model
+
+
+def reaches(texts: DataFrame, model: Model, tail: float) -> np.ndarray:
+    """Least cosine of each language and band, from texts that had no part in the centroids."""
+    shared = texts.sparkSession.sparkContext.broadcast(model)
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors, known = Vectors(), shared.value
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own = known.centroids[[known.names[i] == lang for i in known.of]]
+                for _, _, counts, letters in vectors.counts(pa.array(stretches(text)[: -1] or [text])):
+                    cosine = (_unit(np.log1p(counts) * known.idf) @ own.T).max(axis=1, initial=0.0)
+                    some = letters > 0
+                    bands = band_of(letters[some])
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([lang] * len(bands), pa.string()), pa.array(bands.astype(np.int32)), pa.array(cosine[some].astype(np.float64))],
+                        names=["lang", "band", "cosine"],
+                    )
+
+    # At most CUTS stretches of each size from a quarter of PER_LANGUAGE texts of each language.
+    found = texts.where(F.col("lang").isin(model.names)).select("lang", "text").mapInArrow(measure, "lang string, band int, cosine double").toArrow()
+    langs, bands, cosines = (found.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+    least = np.zeros((len(model.names), BANDS))
+    for i, name in enumerate(model.names):
+        for band in range(BANDS):
+            own = cosines[(langs == name) & (bands == band)]
+            before = least[i, band - 1] if band else 0.0
+            if len(own) >= ENOUGH:
+                before = max(before, min(float(np.quantile(own, tail)), MIDDLE * float(np.median(own))))
+            least[i, band] = before
+    return least
 
 
 def identify(docs: DataFrame, model: Model, keep: list[str], names: tuple[str, str, str] = ("lang_pred", "score", "rejected")) -> DataFrame:
@@ -188,7 +246,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str], names: tuple[str, s
             lang, score, near = np.full(n, len(languages) - 1), np.zeros(n), np.zeros(n, bool)
             if known.names:
                 for first, stop, counts, letters in vectors.counts(batch.column(len(keep))):
-                    found, cosine, within = known.predict(counts)
+                    found, cosine, within = known.predict(counts, letters)
                     some = letters > 0
                     lang[first:stop][some], score[first:stop][some], near[first:stop][some] = found[some], cosine[some], within[some]
             columns = [batch.column(i) for i in range(len(keep))]
