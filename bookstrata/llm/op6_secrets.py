@@ -51,8 +51,8 @@ MORE = (
     Rule("google", r"AIza[A-Za-z0-9_-]{35,}"),
     Rule("live_key", r"[rs]k_live_[A-Za-z0-9]{16,}"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{10,}\.eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]{10,}"),
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
-    Rule("login_url", r"://[^\x20\x09-\x0D/:@]{1,64}:[^\x20\x09-\x0D/@]{1,64}@"),
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("login_url", r"://[^\x20\x09-\x0D/:@]+:[^\x20\x09-\x0D/@]+@"),
 )
 RULES = BASE + MORE
 

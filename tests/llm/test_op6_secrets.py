@@ -3,6 +3,8 @@ import re
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from bookstrata.llm import op6_secrets as S
 from tests.llm.helpers import docs_frame, empty_docs, needs_data, odd_rows, same_as_sql
 
@@ -66,3 +68,12 @@ def test_no_match_without_its_trigrams(data):
     rule = data.draw(st.sampled_from([r for r in S.RULES if S.trigram_query(r.pattern)]))
     text = data.draw(st.from_regex(rule.pattern, fullmatch=True)).lower()
     assert any(all(g in text for g in a) for a in S.trigram_query(rule.pattern))
+
+
+def test_long_secrets(spark):
+    """No bound on the length of what a rule takes in."""
+    texts = ["https://user:" + "x1" * 500 + "@host", "https://" + "u" * 300 + ":pw@host", "-----BEGIN " + "A B" * 50 + " PRIVATE KEY-----", "://:@ ://a:@ ://a/b:c@"]
+    docs = docs_frame(spark, [(i, t, "en", "s") for i, t in enumerate(texts)])
+    got = {r.doc_id: r.text for r in S.scan(docs).select("doc_id", S.as_text(F.col("spans")).alias("text")).collect()}
+    assert got[0].startswith("login_url:5:") and got[0].endswith(":1014") and got[1].startswith("login_url:5:")
+    assert got[2].startswith("private_key:0:") and got[3] == ""
