@@ -44,9 +44,8 @@ from bookstrata.session import scratch_path, ship
 END = 2
 BLOCK = 1 << 20
 TABLE_ROWS = 600_000
-BATCH = 1 << 14
+ROUNDS = 16
 LEAST = 8
-GAIN = 0.005
 _SLOTS = 18
 
 
@@ -171,16 +170,18 @@ def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndar
 # ------------------------------------------------------------------------------------------ grammar
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, vocabulary: int, batch: int = BATCH, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, ends: np.ndarray, vocabulary: int, rounds: int = ROUNDS, least: int = LEAST) -> tuple[np.ndarray, np.ndarray]:
     """Symbols and rules (pairs, one a row) for ids; ``ends`` marks the last id of each document.
 
-    Ends when no pair occurs ``least`` times, when symbols run out (65,536 with 16 bits, as many new ones
-    with 32), or when a round shortens the symbols by less than ``GAIN``.
+    A round replaces the most frequent pairs, at most one in ``rounds`` of the symbols that are free at first, and
+    then pairs are counted again, so that rules are made of rules. Ends when no pair occurs ``least`` times, or when
+    symbols run out (65,536 with 16 bits, as many new ones with 32).
     """
     narrow = vocabulary < 1 << 16
     kind, bits = (np.uint32, np.uint32(16)) if narrow else (np.uint64, np.uint64(32))
     multiplier, down = (kind(2654435761), kind(32 - _SLOTS)) if narrow else (kind(0x9E3779B97F4A7C15), kind(64 - _SLOTS))
     top = 1 << 16 if narrow else vocabulary + (1 << 16)
+    share = max(1, (top - vocabulary) // rounds)
     symbols, last, rules, new = ids.astype(kind), ends.copy(), [], vocabulary
     while new < top and len(symbols) > 1:
         code = (symbols[:-1] << bits) | symbols[1:]
@@ -191,7 +192,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, vocabulary: int, batch: int = BA
         often = np.flatnonzero(count >= least)
         if not len(often):
             break
-        room = min(batch, top - new)
+        room = min(share, top - new)
         often = often[np.argsort(-count[often], kind="stable")[:room]]
         pairs = ordered[first[often]]
         # A table of slots tells chosen pairs; of pairs that share a slot the most frequent is taken this round.
@@ -210,12 +211,9 @@ def compress(ids: np.ndarray, ends: np.ndarray, vocabulary: int, batch: int = BA
         last[at] |= last[at + 1]
         keep = np.ones(len(symbols), bool)
         keep[at + 1] = False
-        before = len(symbols)
         symbols, last = symbols[keep], last[keep]
         rules.append(np.stack([pairs >> bits, pairs & kind((1 << int(bits)) - 1)], axis=1))
         new += len(pairs)
-        if before - len(symbols) < GAIN * before:
-            break
     return symbols, np.concatenate(rules) if rules else np.zeros((0, 2), kind)
 
 

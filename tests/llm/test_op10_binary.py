@@ -77,7 +77,7 @@ def test_grammar_round_trip(docs, vocabulary, batch):
     ends = np.cumsum([len(d) + 1 for d in docs])
     last = np.zeros(len(ids), bool)
     last[ends - 1] = True
-    symbols, rules = B.compress(ids, last, vocabulary, batch=batch, least=2)
+    symbols, rules = B.compress(ids, last, vocabulary, rounds=batch, least=2)
     lengths = B.rule_lengths(rules, vocabulary)
     grammar = B.Grammar(vocabulary, rules, lengths)
     assert (grammar.expand(symbols) == ids).all()
@@ -99,3 +99,23 @@ def test_a_full_table_is_emptied(library):
     for texts in (["a b c d"], ["e f", "g"], ["a b", "", "x"]):
         assert [list(x) for x in encoder.encode(texts)] == [ids_of(library, t)[:-1] for t in texts]
         assert len(encoder.index) <= 4
+
+
+def test_rules_of_rules():
+    """More frequent pairs than free symbols, and passages that come again: rules nest, a passage becomes few symbols."""
+    rng = np.random.default_rng(4)
+    vocabulary = 50_257
+    passage = rng.integers(3, vocabulary, 256)
+    common = rng.integers(3, vocabulary, (9_000, 2))
+    parts = [common[rng.integers(0, len(common), 40)].ravel() if k % 2 else passage for k in range(7_000)]
+    ids = np.concatenate(parts).astype(np.uint32)
+    ends = np.zeros(len(ids), bool)
+    ends[-1] = True
+    symbols, rules = B.compress(ids, ends, vocabulary)
+    assert (rules >= vocabulary).any(axis=1).mean() > 0.02
+    lengths = B.rule_lengths(rules, vocabulary)
+    assert lengths.max() >= 256 and len(rules) <= 65_536 - vocabulary
+    grammar = B.Grammar(vocabulary, rules, lengths)
+    assert (grammar.expand(symbols) == ids).all()
+    # 256 ids of a passage are at most a few symbols, so that they and the pairs between take less than half of the rest.
+    assert len(symbols) < 0.15 * len(ids)
