@@ -44,7 +44,8 @@ CELLS = 1 << 20
 RARE = 1e-3
 BOOST = 0.1
 EXTRA_ROUNDS = 2
-CELL = 1.05
+CELL = 0.05
+SLACK = 1e-3
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _STEPS = 1 << 16
@@ -118,6 +119,16 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
     return float(common), float(a[1].sum(dtype=np.float64)), float(b[1].sum(dtype=np.float64))
 
 
+def difference(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Where two weighted sets differ: a number for each shingle and side that has more of it, and how much more."""
+    found = np.union1d(a[0], b[0])
+    more = np.zeros(len(found), np.float32)
+    more[np.searchsorted(found, a[0])] = a[1]
+    more[np.searchsorted(found, b[0])] -= b[1]
+    at = np.flatnonzero(more)
+    return np.where(more[at] > 0, found[at], mix(found[at] ^ _GOLDEN)).view(np.int64), np.abs(more[at])
+
+
 class Sampler:
     """Draws the samples of a weighted set: for each one the element and level whose value is least.
 
@@ -186,9 +197,9 @@ def signatures(docs: DataFrame, by_cell: np.ndarray) -> DataFrame:
     return rows.mapInArrow(sign, f"doc_id {kind}, digest string, bands array<long>")
 
 
-def compare(pairs: DataFrame, texts: DataFrame, by_cell: np.ndarray, similarity: float, fresh: bool = False) -> DataFrame:
+def compare(pairs: DataFrame, texts: DataFrame, by_cell: np.ndarray, similarity: float, differences: bool = False) -> DataFrame:
     """a, b of each pair with the weights of the two sets, the weight they share, whether they are similar and,
-    where it is asked for, the shingles that weigh more in a than in b."""
+    where it is asked for, the shingles whose weights differ and by how much."""
     shared = pairs.sparkSession.sparkContext.broadcast(by_cell)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -202,24 +213,21 @@ def compare(pairs: DataFrame, texts: DataFrame, by_cell: np.ndarray, similarity:
             for x, y in zip(sets(batch.column(2)), sets(batch.column(3))):
                 common, wx, wy = overlap(x, y)
                 alike = common >= similarity * (wx + wy - common)
-                more, heavy = np.zeros(0, np.int64), np.zeros(0, np.float32)
-                if fresh:
-                    at = np.searchsorted(y[0], x[0])
-                    at[at == len(y[0])] = 0
-                    pick = (y[0][at] != x[0]) | (y[1][at] < x[1])
-                    more, heavy = x[0][pick].view(np.int64), x[1][pick]
-                rows.append((common, wx, wy, alike, more, heavy))
+                shingle, by = np.zeros(0, np.int64), np.zeros(0, np.float32)
+                if differences:
+                    shingle, by = difference(x, y)
+                rows.append((common, wx, wy, alike, shingle, by))
             columns = list(zip(*rows)) or [[]] * 6
             kinds = (pa.float64(), pa.float64(), pa.float64(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.float32()))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), *[pa.array(c, k) for c, k in zip(columns, kinds)]],
-                names=["a", "b", "common", "weight_a", "weight_b", "alike", "fresh", "heavy"],
+                names=["a", "b", "common", "weight_a", "weight_b", "alike", "shingles", "by"],
             )
 
     left = texts.select(F.col("uid").alias("a"), F.col("text").alias("text_a"))
     right = texts.select(F.col("uid").alias("b"), F.col("text").alias("text_b"))
     rows = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
-    return rows.mapInArrow(run, "a long, b long, common double, weight_a double, weight_b double, alike boolean, fresh array<long>, heavy array<float>")
+    return rows.mapInArrow(run, "a long, b long, common double, weight_a double, weight_b double, alike boolean, shingles array<long>, by array<float>")
 
 
 def near_links(texts: DataFrame, docs: DataFrame, by_cell: np.ndarray, similarity: float = SIMILARITY) -> DataFrame:
@@ -242,7 +250,7 @@ def near_links(texts: DataFrame, docs: DataFrame, by_cell: np.ndarray, similarit
         return compared.where("alike").select("a", "b")
 
     pairs = members.where("uid <> centre").select(F.col("uid").alias("a"), F.col("centre").alias("b")).distinct()
-    facts = materialize(compare(pairs, held, by_cell, similarity, fresh=True), "facts")
+    facts = materialize(compare(pairs, held, by_cell, similarity, differences=True), "facts")
     links = linked(facts)
     labels = components(links)
 
@@ -264,48 +272,52 @@ def near_links(texts: DataFrame, docs: DataFrame, by_cell: np.ndarray, similarit
         links = materialize(links.union(linked(compare(tried, held, by_cell, similarity))), "links")
         labels = components(links)
 
-    # What is left: pairs of one bucket across components that its centre does not rule out. Of the weight x and
-    # y share, at most the less of what each shares with the centre lies within the centre; the rest is in
-    # shingles that weigh more in both than in the centre. So similar texts either share such a shingle, or what
-    # they share with the centre is enough. Members similar to the centre take part too: a copy of one of them may
-    # be too far from the centre itself.
-    several = unsettled().where("uid <> centre")
-    measured = facts.select(F.col("a").alias("uid"), F.col("b").alias("centre"), "common", F.col("weight_a").alias("weight"), "fresh", "heavy")
-    rest = materialize(several.join(measured, ["uid", "centre"]), "rest")
-    slim = rest.select("key", "uid", "part", "common", "weight")
-    other = slim.select("key", *[F.col(c).alias(f"{c}_2") for c in ("uid", "part", "common", "weight")])
-    least = similarity / (1 + similarity)
-    enough = F.least("common", "common_2") >= least * (F.col("weight") + F.col("weight_2")) - 1e-6
-    within = slim.join(other, "key").where((F.col("part") < F.col("part_2")) & enough).select(F.col("uid").alias("a"), F.col("uid_2").alias("b"))
-    beyond = _sharing(rest.dropDuplicates(["centre", "uid"]), similarity)
-    links = materialize(links.union(linked(compare(_ordered(within.union(beyond)), held, by_cell, similarity))), "links")
+    # What is left: pairs of one bucket across components. Members similar to the centre take part too: a copy of one
+    # of them may be too far from the centre itself.
+    several = unsettled().where("uid <> centre").select("uid", "centre", "part").distinct()
+    measured = facts.select(F.col("a").alias("uid"), F.col("b").alias("centre"), "common", "weight_a", "weight_b", "alike", "shingles", "by")
+    beyond = _overlapping(several.join(measured, ["uid", "centre"]), similarity)
+    links = materialize(links.union(linked(compare(_ordered(beyond), held, by_cell, similarity))), "links")
     return components(links)
 
 
-def _sharing(rest: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): pairs of texts of one centre that may share enough weight beyond it to be similar.
+def _overlapping(rest: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): pairs of texts of one centre whose differences from it overlap enough for them to be similar.
+
+    Let D be how much a text differs from the centre, over all shingles, and w its weight. Texts x and y differ by
+    at least ``D + D' - 2 * overlap``, where the overlap counts differences to the same side in the same shingle, and
+    similar texts differ by at most ``t * (w + w')`` with ``t = (1 - s) / (1 + s)``. So the overlap is at least
+    ``(e + e') / 2`` with the excess ``e = D - t * w``. As one of the two is not similar to the centre (else both were
+    one component), that is always above 0.
 
-    A pair must share ``s / (1 + s) * (weight + weight')`` in all, so beyond the centre at least that less what
-    either shares with the centre. Weights come in cells of 5 %; for each cell of a partner's weight a text
-    has a least weight to share, and its most common shingles that together weigh less are left out. Two texts
-    that share enough still have their rarest common shingle among those left (prefix filtering).
+    Excesses come in cells of ``CELL`` of the centre's weight; for each cell of a partner a text has a least overlap,
+    and its most common differences that together amount to less are left out. Two texts that overlap enough
+    still have their rarest common difference among those left (prefix filtering), and both at least as much of an
+    overlap from there on.
     """
-    rows = rest.select("centre", "uid", "part", "common", "weight", F.explode(F.arrays_zip("fresh", "heavy")).alias("z"))
-    rows = rows.select("centre", "uid", "part", "common", "weight", F.col("z.fresh").alias("shingle"), F.col("z.heavy").cast("double").alias("heavy"))
+    t = (1 - similarity) / (1 + similarity)
+    away = F.col("weight_a") + F.col("weight_b") - 2 * F.col("common")
+    facts = ("uid", "part", "alike", "excess")
+    rows = rest.withColumn("excess", away - t * F.col("weight_a")).withColumn("most", away + t * F.col("weight_a"))
+    rows = rows.select("centre", *facts, "most", F.col("weight_b").alias("unit"), F.explode(F.arrays_zip("shingles", "by")).alias("z"))
+    rows = rows.select("centre", *facts, "most", "unit", F.col("z.shingles").alias("shingle"), F.col("z.by").cast("double").alias("by"))
     held = rows.groupBy("centre", "shingle").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("low"), F.max("part").alias("high"))
     rows = rows.join(held.where("low <> high").select("centre", "shingle", "n"), ["centre", "shingle"])
-    # One text's shingles, the most common first: what is lost if this one and all before it are left out.
+    # One text's differences, the most common first: what is lost if this one and all before it are left out.
     common_first = Window.partitionBy("centre", "uid").orderBy(F.desc("n"), "shingle")
-    rows = rows.withColumn("lost", F.sum("heavy").over(common_first))
-    cell = lambda w: F.floor(F.log(w) / np.log(CELL)).cast("int")
-    rows = rows.withColumn("own", cell(F.col("weight")))
-    partners = F.sequence(cell(F.col("weight") * similarity) - 1, cell(F.col("weight") / similarity) + 1)
+    rows = rows.withColumn("lost", F.sum("by").over(common_first))
+    cell = lambda e: F.floor(e / (CELL * F.col("unit"))).cast("int")
+    rows = rows.withColumn("own", cell(F.col("excess")))
+    # A partner's excess: above t * unit where this text is similar to the centre, at least -t * unit in any case, and
+    # so small that the overlap it asks for does not pass what the text differs by.
+    least = F.when(F.col("alike"), t).otherwise(-t) * F.col("unit")
+    partners = F.sequence(cell(least) - 1, F.greatest(cell(least) - 1, cell(F.col("most")) + 1))
     rows = rows.withColumn("other", F.explode(partners))
-    lightest = F.greatest(F.pow(F.lit(CELL), F.col("other")), F.col("weight") * similarity)
-    needed = similarity / (1 + similarity) * (F.col("weight") + lightest) - F.col("common") - 1e-6
-    rows = materialize(rows.where(F.col("lost") >= needed).select("centre", "shingle", "own", "other", "uid", "part", "common", "weight"), "sharing")
-    second = rows.select("centre", "shingle", F.col("own").alias("other"), F.col("other").alias("own"), *[F.col(c).alias(f"{c}_2") for c in ("uid", "part")])
-    pairs = rows.join(second, ["centre", "shingle", "own", "other"]).where("part < part_2")
+    needed = (F.col("excess") + F.greatest(F.col("other") * CELL * F.col("unit"), least)) / 2 - SLACK
+    rows = materialize(rows.where(F.col("lost") >= needed).select("centre", "shingle", "own", "other", *facts, "lost"), "overlaps")
+    second = rows.select("centre", "shingle", F.col("own").alias("other"), F.col("other").alias("own"), *[F.col(c).alias(f"{c}_2") for c in (*facts, "lost")])
+    pairs = rows.join(second, ["centre", "shingle", "own", "other"]).where((F.col("part") < F.col("part_2")) & ~(F.col("alike") & F.col("alike_2")))
+    pairs = pairs.where(F.least("lost", "lost_2") >= (F.col("excess") + F.col("excess_2")) / 2 - SLACK)
     return pairs.select(F.col("uid").alias("a"), F.col("uid_2").alias("b"))
 
 

@@ -120,6 +120,34 @@ def test_copies_of_copies_in_one_bucket(spark):
     assert {i: got.get(i, i) for i in want} == want
 
 
+def test_compared_pairs_grow_with_a_group(spark, monkeypatch):
+    """Near copies at about 0.75 of an original and at about 0.7 of each other: twice the copies, about twice the pairs."""
+    counts = {}
+    plain = D.compare
+    for n in (150, 300):
+        rng = random.Random(11)
+        rows = [(i, t, "en", "s") for i, t in enumerate(copies(rng, n, (1, 2, 3, 4), 100))]
+        seen = []
+        monkeypatch.setattr(D, "compare", lambda pairs, *a, seen=seen, **k: seen.append(pairs.count()) or plain(pairs, *a, **k))
+        got, _ = run(spark, rows)
+        counts[n] = sum(seen)
+        want = brute(rows, 1.0)
+        assert sum(r.class_id == want[r.doc_id, t] for r, (_, t, _, _) in zip(sorted(got), rows)) >= 0.99 * len(rows)
+    assert counts[300] <= 2.6 * counts[150], counts
+
+
+def test_differences():
+    a = (np.array([1, 3, 5, 9], np.uint64), np.array([1, 2, 3, 4], np.float32))
+    b = (np.array([2, 3, 5], np.uint64), np.array([1, 2, 1], np.float32))
+    shingles, by = D.difference(a, b)
+    more = dict(zip(shingles.view(np.uint64).tolist(), by.tolist()))
+    assert more.pop(1) == 1 and more.pop(5) == 2 and more.pop(9) == 4 and list(more.values()) == [1]
+    # The same shingle on the other side has another number.
+    back, _ = D.difference(b, a)
+    assert not set(back.tolist()) & set(shingles.tolist())
+    assert len(D.difference(a, a)[0]) == 0
+
+
 def test_samples_estimate_similarity():
     rng = np.random.default_rng(1)
     sampler = D.Sampler(3_000)
