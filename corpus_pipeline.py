@@ -40,8 +40,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     kept = op8_near.near_duplicates(docs).where("kept")
     kept = kept.select(F.concat_ws(":", "digest", F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))).alias("_stage_key"))
     rows = docs.withColumn("_stage_key", key).join(kept, "_stage_key")
-    # Rows equal in id and text have one key.
-    return rows.dropDuplicates(["_stage_key"]).select(docs.columns)
+    # Rows equal in id and text have one key; of these the one with the lowest other columns stays.
+    least = rows.groupBy("_stage_key").agg(F.min(F.struct(*docs.columns)).alias("_stage_row"))
+    return least.select("_stage_row.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
