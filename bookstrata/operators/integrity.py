@@ -21,7 +21,8 @@ from bookstrata.functions.clock import (
 )
 from bookstrata.functions.exact import floor_div
 from bookstrata.operators.intervals import clip_to_days, covered_ns, overlap_ns, union_intervals
-from bookstrata.operators.running import Running, asof_join, running
+from bookstrata.operators.running import Running, asof_join, dyadic_block, dyadic_blocks, dyadic_levels, running
+from bookstrata.session import materialize
 
 ORDINAL_BLOCK = 1 << 16
 
@@ -266,29 +267,66 @@ def _block(ordinal: str | Column) -> Column:
     return floor_div(ordinal, ORDINAL_BLOCK)
 
 
+_MOST_GAPS = 1 << 31  # of one subscription in one segment
+
+
+def _resolved(gaps: DataFrame, stints: DataFrame, images: DataFrame) -> DataFrame:
+    """segment, gap_at, resolved of every gap that some market waits for.
+
+    A market's stint falls into spans, from its begin or an image to the next image or its end, within which
+    every gap waits for the same image. There is one span for each stint and image, however many gaps and
+    markets there are. The gaps of a subscription are numbered, a span becomes the numbers of the gaps inside it
+    (most have none), and these are cut into dyadic blocks, of which each keeps its latest image; a gap takes the
+    latest of the blocks it lies in.
+    """
+    here, key = ["segment", "sid"], ["segment", "sid", "ticker"]
+    known = F.col("sid").isNotNull() & F.col("ticker").isNotNull()
+    # Each as-of join reads its rows twice, so what goes into one is written.
+    stints = materialize(stints.where(known).select(*key, "from_ordinal", "to_ordinal"), "stints")
+    images = materialize(images.where(known).select(*key, "ordinal", "wall"), "images")
+    followed = asof_join(
+        images.select(*key, "ordinal"), stints, key, F.col("ordinal"), F.col("from_ordinal"),
+        _block("ordinal"), _block("from_ordinal"), ["to_ordinal"],
+    ).where(F.col("ordinal") < F.col("to_ordinal"))
+    begins = stints.select(*key, F.col("from_ordinal").alias("at"), "to_ordinal")
+    begins = materialize(begins.unionByName(followed.select(*key, F.col("ordinal").alias("at"), "to_ordinal")), "begins")
+    spans = asof_join(
+        begins, images, key, F.col("at"), F.col("ordinal"), _block("at"), _block("ordinal"), ["wall"],
+        forward=True, allow_equal=False,
+    )
+    end = F.least("to_ordinal", F.coalesce("found_at", F.lit(_FAR)))
+    spans = spans.select(*here, "at", end.alias("end"), F.col("found_at").alias("image"), "wall")
+    marks = gaps.where(F.col("sid").isNotNull()).select(*here, "ordinal", _block("ordinal").alias("block"))
+    marks = materialize(running(marks, here, ["block"], ["ordinal"], {"number": Running("sum", F.lit(1))}), "gaps")
+    for edge, name in (("at", "first"), ("end", "after")):
+        spans = asof_join(
+            materialize(spans, "spans"), marks, here, F.col(edge), F.col("ordinal"), _block(edge), F.col("block"), ["number"], allow_equal=False
+        )
+        spans = spans.withColumn(name, F.coalesce("number", F.lit(0))).drop("found_at", "number")
+    # Gaps are numbered from 1: those inside have numbers from first + 1 to after.
+    spans = spans.where(F.col("first") < F.col("after"))
+    inside = spans.select(*here, "image", "wall", F.inline(dyadic_blocks("first", "after", "after")))
+    blocks = inside.groupBy(*here, "level", F.col("block").alias("of")).agg(
+        F.max(F.struct("image", "wall")).alias("latest"), F.max(F.col("image").isNull()).alias("never")
+    )
+    # Stretches of any length may lie around a gap.
+    levels = F.transform(dyadic_levels(F.lit(_MOST_GAPS)), lambda h: F.struct(h.alias("level"), dyadic_block(F.col("number") - 1, h).alias("of")))
+    asked = marks.select(*here, F.col("ordinal").alias("gap_at"), F.inline(levels))
+    met = asked.join(blocks, [*here, "level", "of"]).groupBy("segment", "gap_at").agg(
+        F.max("latest").alias("latest"), F.max("never").alias("never")
+    )
+    return met.select("segment", "gap_at", F.when(~F.col("never"), F.col("latest.wall")).alias("resolved"))
+
+
 def gap_rows(classified: DataFrame, facts: DataFrame) -> DataFrame:
     """Gap records with the time the last book they staled was imaged again.
 
     A gap waits for every market followed on its subscription at that moment. It is resolved when
     the last of them gets its next image on that subscription; with none waiting, or one never
-    imaged again, it stays unresolved.
+    imaged again, it stays unresolved. See :func:`_resolved` for how the two are brought together.
     """
     gaps = _gap_marks(classified)
-    stints = market_stints(classified, facts)
-    images = book_messages(classified).where("image")
-    held = gaps.select("segment", "sid", F.col("ordinal").alias("gap_at")).join(
-        stints.select("segment", "sid", "ticker", "from_ordinal", "to_ordinal"), ["segment", "sid"]
-    )
-    waiting = held.where(
-        (F.col("from_ordinal") < F.col("gap_at")) & (F.col("gap_at") < F.col("to_ordinal"))
-    ).select("segment", "sid", "ticker", "gap_at")
-    healed = asof_join(
-        waiting, images, ["segment", "sid", "ticker"], F.col("gap_at"), F.col("ordinal"),
-        _block("gap_at"), _block("ordinal"), ["wall"], forward=True, allow_equal=False,
-    )
-    resolved = healed.groupBy("segment", "gap_at").agg(
-        F.when(F.count(F.lit(1)) == F.count("wall"), F.max_by("wall", "found_at")).alias("resolved")
-    )
+    resolved = _resolved(gaps, market_stints(classified, facts), book_messages(classified).where("image"))
     return gaps.join(
         resolved.withColumnRenamed("gap_at", "ordinal"), ["segment", "ordinal"], "left"
     ).select(

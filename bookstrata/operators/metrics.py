@@ -9,6 +9,7 @@ from bookstrata.functions.clock import NS_PER_MINUTE
 from bookstrata.functions.exact import PRICE_SCALE, div_ceil, floor_div, notional_e6
 from bookstrata.operators.replay import Timeline
 from bookstrata.operators.running import Running, asof_join, running
+from bookstrata.session import materialize
 
 CANDLE_MS = 60_000
 # Block width of as-of lookups; the time axis is monotonic nanoseconds.
@@ -40,22 +41,33 @@ def candle_agreement(ours: DataFrame, listed: DataFrame, fields: tuple[str, ...]
     )
 
 
-def trade_fees(trades: DataFrame, fee_changes: DataFrame, block_ms: int = 3_600_000) -> DataFrame:
-    """Taker fee of each trade under the regime in force when it happened.
+# What makers pay of the taker's rate, by fee type, in quarters.
+MAKER_QUARTERS = {"quadratic": 0, "quadratic_with_maker_fees": 1, "quadratic_with_combo_maker_fees": 2}
 
-    ``fee_changes`` holds ``(series_ticker, effective_ms, rate_num, rate_den)``.
+
+def trade_fees(trades: DataFrame, fee_changes: DataFrame, block_ms: int = 3_600_000, maker: bool = False) -> DataFrame:
+    """Taker fee of each trade, or the maker's, under the regime in force when it happened.
+
+    ``fee_changes`` holds ``(series_ticker, effective_ms, rate_num, rate_den)`` with the taker's rate, and for
+    makers ``fee_type``; a type without maker fees gives 0.
     """
     keyed = trades.withColumn("series_ticker", F.substring_index("ticker", "-", 1))
     found = asof_join(
         keyed, fee_changes, ["series_ticker"], F.col("ts_ms"), F.col("effective_ms"),
-        floor_div("ts_ms", block_ms), floor_div("effective_ms", block_ms), ["rate_num", "rate_den"],
+        floor_div("ts_ms", block_ms), floor_div("effective_ms", block_ms),
+        ["rate_num", "rate_den", *(["fee_type"] if maker else [])],
     )
     product = (
         F.col("rate_num").cast("bigint") * F.col("count_e2") * F.col("price_e4")
         * (F.lit(PRICE_SCALE) - F.col("price_e4"))
     )
+    quarters = F.lit(4)
+    if maker:
+        quarters = F.lit(0)
+        for name, n in MAKER_QUARTERS.items():
+            quarters = F.when(F.col("fee_type") == name, n).otherwise(quarters)
     # Cents: rate x (count/100) x (p/10^4) x (q/10^4) x 100.
-    cents = div_ceil(product, F.col("rate_den").cast("bigint") * 100_000_000)
+    cents = div_ceil(product * quarters, F.col("rate_den").cast("bigint") * 400_000_000)
     return found.withColumn("fee_e6", cents * 10_000)
 
 
@@ -139,6 +151,34 @@ def markouts(trades: DataFrame, horizon_ns: int, block_ns: int = BLOCK_NS) -> Da
     return found.withColumn("markout_e4", sign * (F.col("later_e4") - F.col("price_e4")))
 
 
+def time_to_fill(orders: DataFrame, trades: DataFrame, block_ns: int = BLOCK_NS, block_e2: int = 1 << 20) -> DataFrame:
+    """How long resting orders wait: until the volume traded against their price since then passes what is ahead.
+
+    ``orders`` holds ``(ticker, side, price_e4, placed_ns, ahead_e2)``, with ``ahead_e2`` the contracts up to and
+    including the order's own. A taker who buys trades against asks. Cumulated volume only rises, so the first trade
+    that reaches a target is an as-of lookup on the axis of volume instead of time. Orders never filled have NULLs.
+    """
+    key = ["ticker", "side", "price_e4"]
+    done = trades.where(F.col("count_e2") > 0).select(
+        "ticker", (1 - F.col("taker_side")).cast("int").alias("side"), "price_e4", F.col("recv_mono_ns").alias("mono"), "trade_id", "count_e2"
+    )
+    done = done.withColumn("block", floor_div("mono", block_ns))
+    done = running(done, key, ["block"], ["mono", "trade_id"], {"done_e2": Running("sum", F.col("count_e2"))})
+    # As-of joins read both sides twice.
+    done = materialize(done.select(*key, "mono", "done_e2"), "done")
+    placed = asof_join(
+        orders.withColumn("side", F.col("side").cast("int")), done, key, F.col("placed_ns"), F.col("mono"),
+        floor_div("placed_ns", block_ns), floor_div("mono", block_ns), ["done_e2"],
+    )
+    target = F.coalesce("done_e2", F.lit(0)) + F.col("ahead_e2")
+    placed = materialize(placed.withColumn("target", target).drop("found_at", "done_e2"), "placed")
+    filled = asof_join(
+        placed, done, key, F.col("target"), F.col("done_e2"), floor_div("target", block_e2), floor_div("done_e2", block_e2),
+        ["mono"], forward=True,
+    )
+    return filled.drop("found_at", "target").withColumnRenamed("mono", "filled_ns").withColumn("wait_ns", F.col("filled_ns") - F.col("placed_ns"))
+
+
 def volume_buckets(trades: DataFrame, bucket_e2: int, block_ns: int = BLOCK_NS) -> DataFrame:
     """Signed flow per volume bucket: trades are cut where cumulative volume passes a multiple."""
     rows = trades.withColumn("block", floor_div("recv_mono_ns", block_ns))

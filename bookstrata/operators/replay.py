@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from bookstrata.functions.exact import floor_div
 from bookstrata.operators.ordering import minute_block, ranked, restart_boundaries, with_stretch
-from bookstrata.operators.running import Running, asof_join, running
+from bookstrata.operators.running import Running, asof_join, dyadic_block, dyadic_blocks, dyadic_levels, running
 from bookstrata.session import materialize
 
 BID, ASK, EMPTY = 0, 1, -1
@@ -331,28 +331,6 @@ def _toggles(log: DataFrame) -> DataFrame:
     )
 
 
-def _sizes(size: str) -> Column:
-    """Exponents of the block sizes that numbers up to ``size`` and the one after need."""
-    return F.sequence(F.lit(0), F.ceil(F.log2(F.col(size) + 2)).cast("int"))
-
-
-def _blocks(first: str, end: str, size: str) -> Column:
-    """The fewest aligned blocks of powers of two that make up ``[first, end)``, as (level, block).
-
-    A block is used if it lies inside and the one of twice its size around it does not: on each level
-    at most the first one, if its number is odd, and the last one, if its number is even.
-    """
-
-    def at(level: Column) -> Column:
-        width = F.pow(F.lit(2), level)
-        low = F.ceil(F.col(first) / width).cast("bigint")
-        high = F.floor(F.col(end) / width).cast("bigint")
-        used = (F.when((low < high) & (low % 2 == 1), low), F.when((low < high) & (high % 2 == 1), high - 1))
-        return F.array(*[F.struct(level.alias("level"), block.alias("block")) for block in used])
-
-    return F.filter(F.flatten(F.transform(_sizes(size), at)), lambda b: b["block"].isNotNull())
-
-
 def _slice_quotes(log: DataFrame, carried: DataFrame, wanted: DataFrame | None) -> DataFrame:
     """Best bid and ask after every position that opens or closes a level, slice by slice.
 
@@ -383,16 +361,16 @@ def _slice_quotes(log: DataFrame, carried: DataFrame, wanted: DataFrame | None)
     price = lambda side: F.when(F.col("side") == side, F.col("price_e4"))
     none = F.lit(None)
     rests = F.transform(
-        _blocks("n", "end", "size"),
+        dyadic_blocks("n", "end", "size"),
         lambda b: F.struct(
             b["level"].alias("level"), b["block"].alias("block"), price(BID).alias("bid"), price(ASK).alias("ask"),
             none.cast("int").alias("n"), none.cast(kind).alias("pos"),
         ),
     )
     meets = F.transform(
-        _sizes("size"),
+        dyadic_levels("size"),
         lambda h: F.struct(
-            h.alias("level"), F.floor(F.col("n") / F.pow(F.lit(2), h)).cast("bigint").alias("block"),
+            h.alias("level"), dyadic_block("n", h).alias("block"),
             none.cast("int").alias("bid"), none.cast("int").alias("ask"),
             F.col("n").alias("n"), F.when(h == 0, F.col("pos")).alias("pos"),
         ),

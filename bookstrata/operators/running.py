@@ -199,3 +199,33 @@ def asof_join(
         F.col("__hit.__at").alias(f"{prefix}at") if prefix else F.col("__hit.__at").alias("found_at"),
         *[F.col(f"__hit.{c}").alias(f"{prefix}{c}") for c in payload],
     )
+
+
+def dyadic_levels(size: Column | str) -> Column:
+    """Exponents of the block sizes that numbers up to ``size`` and the one after need."""
+    size = F.col(size) if isinstance(size, str) else size
+    return F.sequence(F.lit(0), F.ceil(F.log2(size + 2)).cast("int"))
+
+
+def dyadic_blocks(first: str, end: str, size: str) -> Column:
+    """The fewest aligned blocks of powers of two that make up ``[first, end)``, as (level, block).
+
+    A block is used if it lies inside and the one of twice its size around it does not: on each level
+    at most the first one, if its number is odd, and the last one, if its number is even. So what holds
+    for a stretch is kept by block, and a number meets all stretches around it in one block a level.
+    """
+
+    def at(level: Column) -> Column:
+        width = F.pow(F.lit(2), level)
+        low = F.ceil(F.col(first) / width).cast("bigint")
+        high = F.floor(F.col(end) / width).cast("bigint")
+        used = (F.when((low < high) & (low % 2 == 1), low), F.when((low < high) & (high % 2 == 1), high - 1))
+        return F.array(*[F.struct(level.alias("level"), block.alias("block")) for block in used])
+
+    return F.filter(F.flatten(F.transform(dyadic_levels(size), at)), lambda b: b["block"].isNotNull())
+
+
+def dyadic_block(number: Column | str, level: Column) -> Column:
+    """The block of a level that a number lies in."""
+    number = F.col(number) if isinstance(number, str) else number
+    return F.floor(number / F.pow(F.lit(2), level)).cast("bigint")

@@ -346,6 +346,21 @@ def membership_diff(current: DataFrame, desired: DataFrame) -> DataFrame:
     return both.select(*key, change.alias("change")).where(F.col("change").isNotNull())
 
 
+def rebuilt_groups(current: DataFrame, desired: DataFrame) -> DataFrame:
+    """Groups of both assignments ``(group, ticker, conn_id)`` that cannot be updated in place, and why.
+
+    A subscription stays on its connection and is never without a market, so a group is rebuilt if its
+    connection changes or none of its members stays.
+    """
+    was = current.groupBy("group").agg(F.min("conn_id").alias("from_conn"))
+    now = desired.groupBy("group").agg(F.min("conn_id").alias("to_conn"))
+    key = ["group", "ticker"]
+    stay = current.select(*key).distinct().join(desired.select(*key), key, "left_semi").groupBy("group").agg(F.count(F.lit(1)).alias("staying"))
+    moved, replaced = F.col("from_conn") != F.col("to_conn"), F.col("staying").isNull()
+    why = F.when(moved & replaced, "moved and replaced").when(moved, "moved").when(replaced, "replaced")
+    return was.join(now, "group").join(stay, "group", "left").select("group", why.alias("why")).where(F.col("why").isNotNull())
+
+
 def unpriced_events(decision: Decision, listing: DataFrame) -> DataFrame:
     """Events a near-price series group admitted with a market that has no price yet."""
     names = [

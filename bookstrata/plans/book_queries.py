@@ -96,8 +96,19 @@ def replay_from_keyframe(spark, sf):
 
 
 def keyframe_agreement(spark, sf):
-    """Books rebuilt at the middle instant against the keyframe stored for it."""
-    return B.keyframe_agreement(shared.middle_books(spark, sf), keyframe_rows(spark, sf))
+    """Books rebuilt at the middle instant from an earlier keyframe, against the keyframe stored for it."""
+    wall = F.col("recv_wall_ns")
+    tables = sample.deltas(spark, sf), sample.snapshots(spark, sf), sample.gaps(spark, sf)
+    early = B.to_keyframe(R.replay(*[t.where(wall <= shared.QUARTER_NS) for t in tables]), shared.QUARTER_NS)
+    parts = [t.where((wall > shared.QUARTER_NS) & (wall <= shared.MIDDLE_NS)) for t in tables]
+    return B.keyframe_agreement(R.replay(*parts, keyframe=early), keyframe_rows(spark, sf))
+
+
+def time_to_fill(spark, sf):
+    """How long each added quantity of the calm feed waits at the head of its level's queue."""
+    added = shared.calm_timeline(spark, sf).changes().where((F.col("src") == 0) & (F.col("delta_e2") > 0))
+    orders = added.select("ticker", "side", "price_e4", F.col("pos.mono").alias("placed_ns"), F.col("delta_e2").alias("ahead_e2"))
+    return M.time_to_fill(orders, sample.trades(spark, sf)).select("ticker", "side", "price_e4", "placed_ns", "ahead_e2", "wait_ns")
 
 
 def snapshot_images(spark, sf):
@@ -268,7 +279,7 @@ QUERIES = {
         top_of_book_timeline_sliced, impossible_trades, trade_quotes, heatmap_cells,
         heatmap_columns, heatmap_status, heatmap_samples, row_totals, trade_points, recent_trades,
         session_maxima, header_quotes, microprices, host_restarts_interleaved, books_at_hot_minute,
-        epoch_cuts_calm, top_of_book_timeline_calm,
+        epoch_cuts_calm, top_of_book_timeline_calm, time_to_fill,
     )
 }
 
@@ -393,8 +404,6 @@ ORACLE = {
         h_end.ts AS ts FROM (SELECT ticker, any_value(conn_id) AS conn_id FROM feed
           WHERE kind IN ('S','D') GROUP BY ticker) u LEFT JOIN h_end USING (ticker)''', _AFTER)},
       {_last('k')}, {_TOP.format(lv='k_lv')} {_SUMMARY.format(end='k_end')}""",
-    "keyframe_agreement": f"""WITH {FEED_SQL} SELECT DISTINCT ticker, 0 AS differences, TRUE AS same_flag,
-      TRUE AS agrees FROM feed WHERE kind IN ('S','D') {_BEFORE}""",
     "snapshot_images": f"WITH {FEED_SQL} SELECT ticker, event_id AS seq, 20 AS levels, TRUE AS valid FROM feed WHERE kind = 'S'",
     "host_restarts": f"""WITH {FEED_SQL} SELECT CAST(recv_mono_ns // (5 * {NS_PER_DAY}) AS INTEGER) AS stretch,
       count(*) AS rows, min(recv_wall_ns) AS first_wall FROM feed GROUP BY 1""",
@@ -484,3 +493,22 @@ for _name in ("epoch_cuts", "top_of_book_timeline"):
 ORACLE["host_restarts_interleaved"] = f"""WITH {FEED_SQL}, r AS (SELECT recv_wall_ns AS wall, conn_id % 2 AS late,
       recv_mono_ns + {_APART_NS} * (conn_id % 2) AS mono FROM feed)
       SELECT wall, mono FROM r QUALIFY late = 0 AND lag(late) OVER (ORDER BY wall) = 1"""
+_EARLY = f"AND recv_wall_ns <= {shared.QUARTER_NS}"
+ORACLE["keyframe_agreement"] = f"""WITH RECURSIVE {FEED_SQL}, {_MID}, {_last('h')},
+      {_fold('q', 'feed', _FROM_NOTHING.format(cond=_EARLY), _EARLY)}, {_last('q')},
+      {_fold('k', 'feed', f'''SELECT u.ticker, u.conn_id, coalesce(q_end.lv, CAST(MAP([], []) AS MAP(INTEGER, BIGINT))) AS lv,
+        coalesce(q_end.stale, TRUE) AS stale, q_end.ts AS ts FROM (SELECT ticker, any_value(conn_id) AS conn_id FROM feed
+          WHERE kind IN ('S','D') {_BEFORE} GROUP BY ticker) u LEFT JOIN q_end USING (ticker)''', f"AND recv_wall_ns > {shared.QUARTER_NS}", _BEFORE)}, {_last('k')},
+      d AS (SELECT ticker, count(*) AS n FROM h_lv h FULL JOIN k_lv k USING (ticker, side, price_e4)
+        WHERE coalesce(h.count_e2, 0) <> coalesce(k.count_e2, 0) GROUP BY ticker)
+      SELECT h.ticker, coalesce(d.n, 0) AS differences, h.stale = k.stale AS same_flag, d.n IS NULL AND h.stale = k.stale AS agrees
+      FROM h_end h JOIN k_end k USING (ticker) LEFT JOIN d USING (ticker)"""
+_ADDED = ORACLE["level_changes"].replace(FEED_SQL, _CALM).replace("SELECT f.ticker, f.wall AS recv_wall_ns", ", lc AS (SELECT f.ticker, f.wall AS recv_wall_ns")
+ORACLE["time_to_fill"] = f"""{_ADDED}),
+      {TRADES_SQL}, tv AS (SELECT ticker, 1 - taker_side AS side, price_e4, recv_wall_ns AS w,
+        sum(count_e2) OVER (PARTITION BY ticker, taker_side, price_e4 ORDER BY recv_wall_ns) AS done FROM trades WHERE count_e2 > 0)
+      SELECT ticker, CAST(side AS INTEGER) AS side, price_e4, recv_wall_ns - {EPOCH_2024_NS} AS placed_ns, delta_e2 AS ahead_e2,
+        (SELECT min(t.w) FROM tv t WHERE t.ticker = lc.ticker AND t.side = lc.side AND t.price_e4 = lc.price_e4 AND t.w > lc.recv_wall_ns
+          AND t.done >= lc.delta_e2 + coalesce((SELECT max(b.done) FROM tv b WHERE b.ticker = lc.ticker AND b.side = lc.side
+            AND b.price_e4 = lc.price_e4 AND b.w <= lc.recv_wall_ns), 0)) - recv_wall_ns AS wait_ns
+      FROM lc WHERE delta_e2 > 0"""

@@ -102,6 +102,24 @@ def membership_changes(spark, sf):
     return U.membership_diff(current, desired)
 
 
+def rebuilt_groups(spark, sf):
+    """Assignments in which some groups change their connection and others all their markets."""
+    rows = U.dedupe_listing(sample.listing(spark, sf)).select("series_ticker", "ticker", F.regexp_extract("ticker", "T([0-9]+)$", 1).cast("int").alias("n"))
+    series = F.regexp_extract("series_ticker", "([0-9]+)$", 1).cast("int")
+    current = rows.where("n % 2 = 0").select(F.col("series_ticker").alias("group"), "ticker", (series % 3).alias("conn_id"))
+    desired = rows.where((F.col("n") % 2 == F.when(series % 5 == 0, 1).otherwise(0)) | ((F.col("n") % 9 == 0) & (series % 5 != 0)))
+    desired = desired.select(F.col("series_ticker").alias("group"), "ticker", F.when(series % 4 == 0, 7).otherwise(series % 3).alias("conn_id"))
+    return U.rebuilt_groups(current, desired)
+
+
+def requested_series(spark, sf):
+    """Markets whose own series is the one their page was asked for; every third page was asked for another."""
+    rows = converted_listing(spark, sf)
+    n = F.regexp_extract("ticker", "T([0-9]+)$", 1).cast("int")
+    rows = rows.withColumn("requested_series", F.when(n % 3 == 0, "BRAND11").otherwise(F.col("series_ticker")))
+    return S.of_series(rows, ["BRAND11", "BRAND23", "BRAND11", "NOSUCH"]).select("ticker", "series_ticker")
+
+
 def audit_rotation(spark, sf):
     """Half of the markets from a cursor that wraps."""
     return U.rotation(sample.feed(spark, sf).select("ticker"), 70, 1_130)
@@ -286,6 +304,20 @@ def trade_fees(spark, sf):
     return fees.groupBy("series_ticker").agg(F.count(F.lit(1)).alias("trades"), F.sum("fee_e6").alias("fee_e6"))
 
 
+def maker_fees(spark, sf):
+    """As ``trade_fees``, for makers: each series has one of the fee types."""
+    trades = _line_trades(spark, sf)
+    series = trades.select(K.series_of("ticker").alias("series_ticker")).distinct()
+    number = F.regexp_extract("series_ticker", "([0-9]+)$", 1).cast("int")
+    kinds = F.array(*[F.lit(k) for k in (*M.MAKER_QUARTERS, "flat")])
+    changes = series.select(
+        "series_ticker", F.lit(0).cast("bigint").alias("effective_ms"), F.lit(7).alias("rate_num"), F.lit(100).alias("rate_den"),
+        F.get(kinds, number % 4).alias("fee_type"),
+    )
+    fees = M.trade_fees(trades, changes, maker=True)
+    return fees.groupBy("series_ticker").agg(F.count(F.lit(1)).alias("trades"), F.sum("fee_e6").alias("fee_e6"))
+
+
 def trade_reconciliation(spark, sf):
     ours = sample.trades(spark, sf)
     n = F.col("seq")
@@ -337,7 +369,7 @@ QUERIES = {
         audit_rotation, unpriced_events, converted_listing, listing_report, series_categories,
         latest_tickers, lifecycle_state, open_catalog, market_rows, market_details, top_markets,
         market_search, close_clock, recorder_health, subscription_checks, topics, trade_candles,
-        candle_agreement, trade_fees, trade_reconciliation, capped_trades, whole_slice, profit_and_loss,
+        candle_agreement, trade_fees, maker_fees, rebuilt_groups, requested_series, trade_reconciliation, capped_trades, whole_slice, profit_and_loss,
         markouts, volume_buckets, green_months,
     )
 }
@@ -496,6 +528,17 @@ ORACLE = {
       SELECT count(*) FILTER (n % 10 <> 0 AND n % 11 <> 0) AS agreeing, count(*) AS candles, count(*) FILTER (n % 10 = 0) AS only_ours, 0 AS only_listed FROM c""",
     "trade_fees": f"""WITH {_LT}, r AS (SELECT *, CASE WHEN ts_ms >= 1704067200000 THEN 50 WHEN ts_ms >= epoch_ms(DATE '1995-06-01') THEN 35 ELSE 70 END AS rate FROM lt)
       SELECT series_ticker, count(*) AS trades, CAST(sum((CAST(rate AS HUGEINT) * count_e2 * price_e4 * (10000 - price_e4) + 99999999999) // 100000000000 * 10000) AS BIGINT) AS fee_e6 FROM r GROUP BY 1""",
+    "maker_fees": f"""WITH {_LT}, r AS (SELECT *, CASE CAST(regexp_extract(series_ticker, '([0-9]+)$', 1) AS INTEGER) % 4 WHEN 1 THEN 1 WHEN 2 THEN 2 ELSE 0 END AS q FROM lt)
+      SELECT series_ticker, count(*) AS trades, CAST(sum((CAST(7 * q AS HUGEINT) * count_e2 * price_e4 * (10000 - price_e4) + 39999999999) // 40000000000 * 10000) AS BIGINT) AS fee_e6 FROM r GROUP BY 1""",
+    "rebuilt_groups": f"""WITH {_DEDUPED}, n AS (SELECT ticker, series_ticker AS g, CAST(regexp_extract(ticker, 'T([0-9]+)$', 1) AS INTEGER) AS n,
+        CAST(regexp_extract(series_ticker, '([0-9]+)$', 1) AS INTEGER) AS s FROM dd),
+      cur AS (SELECT g, ticker, s FROM n WHERE n % 2 = 0),
+      des AS (SELECT g, ticker, s FROM n WHERE n % 2 = CASE WHEN s % 5 = 0 THEN 1 ELSE 0 END OR (n % 9 = 0 AND s % 5 <> 0)),
+      p AS (SELECT g, any_value(s) % 4 = 0 AS moved, count(DISTINCT ticker) FILTER (ticker IN (SELECT ticker FROM cur)) = 0 AS replaced
+        FROM des WHERE g IN (SELECT g FROM cur) GROUP BY g)
+      SELECT g AS "group", CASE WHEN moved AND replaced THEN 'moved and replaced' WHEN moved THEN 'moved' ELSE 'replaced' END AS why FROM p WHERE moved OR replaced""",
+    "requested_series": f"""WITH {LISTING_SQL}, n AS (SELECT ticker, series_ticker, CAST(regexp_extract(ticker, 'T([0-9]+)$', 1) AS INTEGER) AS n FROM listing)
+      SELECT ticker, series_ticker FROM n WHERE series_ticker IN ('BRAND11', 'BRAND23') AND (n % 3 <> 0 OR series_ticker = 'BRAND11')""",
     "trade_reconciliation": f"""{_TR} SELECT state, count(*) AS trades FROM (SELECT CASE WHEN seq % 7 = 0 AND seq % 10 = 0 THEN NULL WHEN seq % 10 = 0 THEN 'only_recorded'
       WHEN seq % 7 = 0 THEN 'only_listed' WHEN seq % 33 = 0 THEN 'different' ELSE 'equal' END AS state FROM trades) WHERE state IS NOT NULL GROUP BY 1""",
     "whole_slice": f"{_TR} SELECT recv_wall_ns, trade_id, FALSE AS truncated FROM trades",

@@ -15,6 +15,8 @@ _held: dict[tuple[str, str, str], tuple[Any, list[DataFrame]]] = {}
 
 # An instant in the middle of the sample feed: 2024-01-15T00:00:00Z.
 MIDDLE_NS = 1_705_276_800_000_000_000
+# 2024-01-08T00:00:00Z.
+QUARTER_NS = 1_704_672_000_000_000_000
 
 
 def _present(spark: SparkSession, frames: list[DataFrame]) -> bool:
