@@ -12,10 +12,6 @@ sends one row for each distinct word and pair with its own counts; sums over all
 they differ from the block's own, and the block, which travels as one row of numbers, is scored. A word in every
 text is thus one row a block. The number of tokens and of distinct words are all that reaches the driver.
 
-``train`` and ``score`` are the same models in memory, for corpora whose counts fit there, and can leave out words
-and pairs below a share; the query does not use them. The comparison SQL leaves out the same shares: it is equal
-up to 500,000 tokens, where no share is more than one occurrence.
-
 Defined results: a null text is empty; a document without a word has no losses (null); labels without an id
 or quality are ignored, of several for one id the highest counts; without any target text both models are
 the background's and scores are 0; rows with equal ids are scored each; other columns are ignored.
@@ -36,8 +32,6 @@ from pyspark.sql import functions as F
 from bookstrata.llm.common import WordBlock, blocks, materialize, mix as spread, table
 from bookstrata.session import ship
 
-WORD_SHARE = 2e-6
-PAIR_SHARE = 1e-6
 MIX = 0.7
 BLOCK = 1 << 24
 
@@ -46,35 +40,6 @@ _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _COUNTS = ("n", "m", "c", "d")
 
 
-@dataclass
-class Vocabulary:
-    """Known words as sorted numbers; a word's place is its id, the unknown word and the start of a text follow."""
-
-    words: np.ndarray
-
-    @property
-    def unknown(self) -> int:
-        return len(self.words)
-
-    @property
-    def size(self) -> int:
-        return len(self.words) + 2
-
-    def ids(self, hashes: np.ndarray) -> np.ndarray:
-        if not len(self.words):
-            return np.zeros(len(hashes), np.int64)
-        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
-        return np.where(self.words[at] == hashes, at, self.unknown)
-
-    def pairs(self, block: WordBlock) -> tuple[np.ndarray, np.ndarray]:
-        """The id of each word and the number of the pair it makes with the word before it."""
-        ids = self.ids(block.hashes)
-        before = np.concatenate([[self.unknown + 1], ids[:-1]]) if len(ids) else ids
-        begins = block.offsets[:-1][np.diff(block.offsets) > 0]
-        before[begins] = self.unknown + 1
-        return ids, before * self.size + ids
-
-
 def _word_blocks(texts: pa.Array, size: int = 1 << 20) -> Iterator[tuple[int, int, WordBlock]]:
     for first, stop, data, ends in blocks(pc.utf8_lower(texts), size):
         yield first, stop, WordBlock(data, ends)
@@ -97,115 +62,6 @@ def word_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
-def pair_counts(texts: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """key, n of every pair."""
-    shared = texts.sparkSession.sparkContext.broadcast(vocabulary)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts = [shared.value.pairs(block)[1] for _, _, block in _word_blocks(batch.column(0))]
-            if parts:
-                yield _summed(parts)
-
-    return texts.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-class Model:
-    """Losses of words and pairs. ``pairs`` are sorted numbers of the held bigrams."""
-
-    def __init__(self, size: int, words: np.ndarray, pairs: np.ndarray, counts: np.ndarray, contexts: np.ndarray, mix: float) -> None:
-        """words: count of each id but the start; counts: of each pair; contexts: of each id as the first of a pair."""
-        total = words.sum()
-        self.word = (words + 1) / (total + len(words))
-        before = pairs // size
-        share = np.divide(mix * counts, contexts[before], out=np.zeros(len(pairs)), where=contexts[before] > 0)
-        self.rest = 1 - np.bincount(before, share, minlength=size)
-        self.pair = share
-
-    def losses(self, before: np.ndarray, ids: np.ndarray, at: np.ndarray, held: np.ndarray) -> np.ndarray:
-        p = self.rest[before] * self.word[ids]
-        p[held] += self.pair[at[held]]
-        return -np.log(p)
-
-
-@dataclass
-class Scorer:
-    vocabulary: Vocabulary
-    pairs: np.ndarray
-    target: Model
-    background: Model
-
-    def losses(self, block: WordBlock) -> tuple[np.ndarray, np.ndarray]:
-        ids, code = self.vocabulary.pairs(block)
-        if len(self.pairs):
-            at = np.minimum(np.searchsorted(self.pairs, code), len(self.pairs) - 1)
-            held = self.pairs[at] == code
-        else:
-            at, held = np.zeros(len(code), np.int64), np.zeros(len(code), bool)
-        before = code // self.vocabulary.size
-        return tuple(m.losses(before, ids, at, held) for m in (self.target, self.background))
-
-
-def train(docs: DataFrame, targets: DataFrame, word_share: float = WORD_SHARE, pair_share: float = PAIR_SHARE, mix: float = MIX) -> Scorer:
-    """docs, targets: texts in a column ``text``."""
-    docs, targets = docs.select(F.col("text").cast("string")), targets.select(F.col("text").cast("string"))
-
-    def both(of_docs: DataFrame, of_targets: DataFrame, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Keys of at least ``least`` in all documents, with both counts, by key. At most 1 / share rows."""
-        some = of_docs.where(F.col("n") >= least)
-        rows = some.join(of_targets.withColumnRenamed("n", "m"), "key", "left").select("key", "n", F.coalesce("m", F.lit(0)).alias("m"))
-        found = rows.toArrow()
-        key, n, m = (found.column(i).to_numpy() for i in range(3))
-        return key, n.astype(np.int64), m.astype(np.int64)
-
-    counted, target_counted = materialize(word_counts(docs), "words"), materialize(word_counts(targets), "words")
-    total, target_total = (c.agg(F.sum("n")).first()[0] or 0 for c in (counted, target_counted))
-    key, n, m = both(counted, target_counted, max(1, word_share * total))
-    order = np.argsort(key.view(np.uint64))
-    vocabulary = Vocabulary(key.view(np.uint64)[order])
-    words = np.append(n[order], total - n.sum())
-    target_words = np.append(m[order], target_total - m.sum())
-
-    pairs, target_pairs = materialize(pair_counts(docs, vocabulary), "pairs"), materialize(pair_counts(targets, vocabulary), "pairs")
-
-    def contexts(counted: DataFrame) -> np.ndarray:
-        """How often each id comes first in a pair: at most one row for a word."""
-        found = counted.groupBy(F.floor(F.col("key") / F.lit(vocabulary.size)).alias("v")).agg(F.sum("n").alias("n")).toArrow()
-        out = np.zeros(vocabulary.size)
-        out[found.column(0).to_numpy().astype(np.int64)] = found.column(1).to_numpy()
-        return out
-
-    code, c, d = both(pairs, target_pairs, max(1, pair_share * total))
-    order = np.argsort(code)
-    code, c, d = code[order], c[order], d[order]
-    background = Model(vocabulary.size, words, code, c, contexts(pairs), mix)
-    target = Model(vocabulary.size, target_words, code, d, contexts(target_pairs), mix) if target_total else background
-    return Scorer(vocabulary, code, target, background)
-
-
-def score(docs: DataFrame, scorer: Scorer) -> DataFrame:
-    """doc_id, n_tokens, target_loss, background_loss, score of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(scorer)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for first, stop, block in _word_blocks(batch.column(1)):
-                n = np.diff(block.offsets)
-                text = np.repeat(np.arange(len(n)), n)
-                sums = [np.bincount(text, x, minlength=len(n)) for x in shared.value.losses(block)]
-                none = n == 0
-                target, background = (s / np.maximum(n, 1) for s in sums)
-                columns = [pa.array(x, mask=none) for x in (target, background, target - background)]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(first, stop - first), pa.array(n), *columns],
-                    names=["doc_id", "n_tokens", "target_loss", "background_loss", "score"],
-                )
-
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", F.col("text").cast("string"))
-    return rows.mapInArrow(run, f"doc_id {kind}, n_tokens long, target_loss double, background_loss double, score double")
-
-
 @dataclass
 class Counted:
     """A block's tokens as numbers of its distinct pairs, and the counts of its words and pairs.
@@ -267,7 +123,7 @@ class Counted:
 def mark_targets(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, text, target of every row: whether the document is labelled good."""
     good = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("quality").alias("quality")).where("quality > 0")
-    good = good.select("doc_id", F.lit(True).alias("target")).hint("shuffle_hash")
+    good = good.select("doc_id", F.lit(True).alias("target"))
     return docs.select("doc_id", F.col("text").cast("string")).join(good, "doc_id", "left").withColumn("target", F.col("target").isNotNull())
 
 
@@ -340,13 +196,11 @@ WITH good AS (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL GROUP BY doc_id
 d AS (SELECT row_number() OVER () AS rid, doc_id, doc_id IN (SELECT doc_id FROM good) AS tgt, regexp_extract_all(lower(coalesce(text, '')), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
 t AS (SELECT rid, tgt, unnest(w) AS w, generate_subscripts(w, 1) AS i FROM d),
 total AS (SELECT count(*) AS n, count_if(tgt) AS m FROM t),
-known AS (SELECT w, count(*) AS n, count_if(tgt) AS m FROM t GROUP BY w HAVING count(*) >= greatest(1, {WORD_SHARE} * (SELECT n FROM total))),
-k AS (SELECT t.rid, t.tgt, t.i, coalesce('w' || known.w, 'unknown') AS w FROM t LEFT JOIN known ON t.w = known.w),
-u AS (SELECT w, count(*) AS n, count_if(tgt) AS m FROM k GROUP BY w),
-size AS (SELECT count(*) + 1 AS v FROM known),
-b AS (SELECT rid, tgt, w, coalesce(lag(w) OVER (PARTITION BY rid ORDER BY i), 'start') AS v FROM k),
+u AS (SELECT w, count(*) AS n, count_if(tgt) AS m FROM t GROUP BY w),
+size AS (SELECT count(*) + 1 AS v FROM u),
+b AS (SELECT rid, tgt, w, coalesce(lag('w' || w) OVER (PARTITION BY rid ORDER BY i), 'start') AS v FROM t),
 c AS (SELECT v, count(*) AS n, count_if(tgt) AS m FROM b GROUP BY v),
-held AS (SELECT v, w, count(*) AS n, count_if(tgt) AS m FROM b GROUP BY v, w HAVING count(*) >= greatest(1, {PAIR_SHARE} * (SELECT n FROM total))),
+held AS (SELECT v, w, count(*) AS n, count_if(tgt) AS m FROM b GROUP BY v, w),
 share AS (SELECT held.v, held.w, {MIX} * held.n / c.n AS pn, CASE WHEN c.m > 0 THEN {MIX} * held.m / c.m ELSE 0 END AS pm FROM held JOIN c ON held.v = c.v),
 rest AS (SELECT v, 1 - sum(pn) AS rn, 1 - sum(pm) AS rm FROM share GROUP BY v),
 p AS (SELECT b.rid, coalesce(s.pn, 0) + coalesce(r.rn, 1) * (u.n + 1) / (total.n + size.v) AS pn,

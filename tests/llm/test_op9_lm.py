@@ -1,8 +1,9 @@
-import numpy as np
-import pyarrow as pa
+import math
+from collections import Counter
+
+import pytest
 
 from bookstrata.llm import op9_lm as M
-from bookstrata.llm.common import WordBlock, blocks
 from tests.llm.helpers import docs_frame, empty_docs, needs_data, odd_rows, same_as_sql, words
 
 
@@ -15,22 +16,52 @@ def test_equals_sql(spark):
     same_as_sql(spark, "op9_lm_scores")
 
 
-def block_of(text):
-    return next(WordBlock(data, ends) for _, _, data, ends in blocks(pa.array([text])))
-
-
-def test_models_sum_to_one(spark):
-    docs = docs_frame(spark, [(i, f"a b c d{i % 3} a b e{i}", "en", "s") for i in range(30)])
-    scorer = M.train(docs, docs.where("doc_id < 7"), word_share=0.02, pair_share=0.01)
-    size = scorer.vocabulary.size
-    assert 3 <= len(scorer.vocabulary.words) <= 50 and len(scorer.pairs) <= 100
-    for model in (scorer.target, scorer.background):
-        for before in range(size):
-            ids = np.arange(size - 1)
-            code = before * size + ids
-            at = np.minimum(np.searchsorted(scorer.pairs, code), len(scorer.pairs) - 1)
-            p = np.exp(-model.losses(np.full(size - 1, before), ids, at, scorer.pairs[at] == code))
-            assert abs(p.sum() - 1) < 1e-9
+def plain_losses(rows, targets, mix=M.MIX):
+    """Sum of target and background losses of each text, from counts in dictionaries; and the two models."""
+    texts = [words((t or "").lower()) for _, t, _, _ in rows]
+    models = []
+    for some in ([t for (i, *_), t in zip(rows, texts) if i in targets], texts):
+        word, first, pair = Counter(), Counter(), Counter()
+        for t in some:
+            word.update(t)
+            first.update([None, *t][: len(t)])
+            pair.update(zip([None, *t], t))
+        models.append((word, first, pair, sum(word.values())))
+    size = len(models[1][0]) + 1
+
+    def chance(model, before, w):
+        word, first, pair, total = model
+        own = (word[w] + 1) / (total + size)
+        return mix * pair[before, w] / first[before] + (1 - mix) * own if first[before] else own
+
+    if not models[0][3]:
+        models[0] = models[1]
+    losses = [[sum(-math.log(chance(m, v, w)) for v, w in zip([None, *t], t)) for m in models] for t in texts]
+    return losses, texts, lambda i, v, w: chance(models[i], v, w)
+
+
+def test_models_sum_to_one():
+    rows = [(i, f"a b c d{i % 3} a b e{i}", "en", "s") for i in range(30)]
+    _, texts, chance = plain_losses(rows, set(range(7)))
+    vocabulary = {w for t in texts for w in t} | {"a word never seen"}
+    for i in (0, 1):
+        for before in (None, "a", "b", "d1", "e29"):
+            assert abs(sum(chance(i, before, w) for w in vocabulary) - 1) < 1e-9
+
+
+@pytest.mark.parametrize("size", [1 << 24, 60])
+def test_scores_equal_plain_counting(spark, size):
+    rows = [(i, f"A b c d{i % 3} a b e{i}" if i % 7 else "", "en", "s") for i in range(60)] + [(5, "a b", "en", "s"), (99, None, "en", "s")]
+    targets = set(range(9))
+    losses, texts, _ = plain_losses(rows, targets)
+    marked = docs_frame(spark, rows).selectExpr("doc_id", "text", "doc_id < 9 AS target")
+    got = sorted((r.doc_id, r.n_tokens, *(None if x is None else round(x, 9) for x in r[2:])) for r in M.score_all(marked, size=size).collect())
+    want = []
+    for (i, *_), t, (target, background) in zip(rows, texts, losses):
+        n = len(t)
+        means = (target / n, background / n, (target - background) / n) if n else (None,) * 3
+        want.append((i, n, *(None if x is None else round(x, 9) for x in means)))
+    assert list(map(repr, got)) == list(map(repr, sorted(want, key=repr))) or sorted(map(repr, got)) == sorted(map(repr, want))
 
 
 def test_target_like_texts_score_low(spark):
@@ -53,13 +84,6 @@ def test_no_target(spark):
     assert [r.score for r in sorted(got, key=lambda r: r.doc_id)] == [0.0, None]
 
 
-def test_start_is_a_context():
-    block = block_of("x y")
-    vocabulary = M.Vocabulary(np.sort(block.hashes))
-    ids, pairs = vocabulary.pairs(block)
-    assert list(pairs) == [3 * 4 + ids[0], ids[0] * 4 + ids[1]] and vocabulary.unknown == 2
-
-
 def test_rare_words_and_pairs_count_at_any_size(spark):
     """A word and a pair far below the shares of a larger corpus still make a target text score low."""
     common = "the old house stands on the hill " * 200_000
@@ -68,9 +92,9 @@ def test_rare_words_and_pairs_count_at_any_size(spark):
     docs = docs_frame(spark, rows)
     got = {r.doc_id: r for r in M.cross_entropy_difference(docs, labels_frame(spark, [(2, 1, "")])).collect()}
     assert got[3].score == got[2].score < min(0, got[4].score, got[5].score)
-    want = M.score(docs, M.train(docs, docs.where("doc_id = 2"), word_share=0, pair_share=0))
-    for r in want.collect():
-        assert all(abs(x - y) < 1e-9 for x, y in zip(r[1:], got[r.doc_id][1:]))
+    losses, texts, _ = plain_losses(rows, {2})
+    for (i, *_), t, (target, background) in zip(rows, texts, losses):
+        assert abs(got[i].score - (target - background) / len(t)) < 1e-9
 
 
 def test_blocks_do_not_matter(spark):
