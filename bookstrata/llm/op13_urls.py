@@ -150,12 +150,13 @@ def judge_urls(pages: DataFrame, rules: DataFrame, labelled: DataFrame | None =
     labelled: url, verdict of a table to learn from; without it URLs decided by a rule are learned from.
     """
     ship(pages.sparkSession)
-    rows = with_rules(pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path")), rules)
+    rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     if labelled is None:
-        known = rows.select("host", "path", F.col("fit.verdict").alias("verdict"))
+        known = with_rules(rows, rules).select("host", "path", F.col("fit.verdict").alias("verdict"))
     else:
         known = labelled.select(host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "verdict")
-    judged = train(known, sample).judge(rows)
+    # Scores first: they are most of the work, and a join by host leaves a hot host's rows together.
+    judged = with_rules(train(known, sample).judge(rows), rules)
     verdict = F.coalesce(F.col("fit.verdict"), F.when(F.col("score") >= 0.5, "block").otherwise("allow"))
     return judged.select("page_id", "host", "path", F.concat("fit.host", "fit.path").alias("rule"), verdict.alias("verdict"), "score")
 
