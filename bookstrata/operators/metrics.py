@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bookstrata.functions.clock import NS_PER_MINUTE
 from bookstrata.functions.exact import PRICE_SCALE, div_ceil, floor_div, notional_e6
+from bookstrata.operators.ordering import ranked, restart_boundaries, with_stretch
 from bookstrata.operators.replay import Timeline
 from bookstrata.operators.running import Running, asof_join, running
 from bookstrata.session import materialize
@@ -122,6 +123,27 @@ def ordered_stream(streams: dict[str, DataFrame]) -> DataFrame:
     return out.orderBy("recv_mono_ns", "stream_rank")
 
 
+def merged_stream(streams: dict[str, DataFrame]) -> DataFrame:
+    """Several event tables as one stream in receive order, numbered from 0 as ``position``, across host restarts.
+
+    Each table has ``recv_wall_ns``, ``recv_mono_ns`` and ``seq``, and may have ``ts_ms``. Host boots come in order,
+    then monotonic times; at one reading the tables in the order given, and rows of one table in its stored order. No
+    task sees more than its range of the stream, and ``start`` of a later read is a filter on ``position``.
+    """
+    out = None
+    for source, (kind, rows) in enumerate(streams.items()):
+        if "ts_ms" not in rows.columns:
+            rows = rows.withColumn("ts_ms", F.lit(None).cast("bigint"))
+        tagged = rows.withColumn("stream", F.lit(kind)).withColumn("src", F.lit(source))
+        out = tagged if out is None else out.unionByName(tagged, allowMissingColumns=True)
+    boundaries = restart_boundaries(out, "recv_wall_ns", "recv_mono_ns", "src")
+    out = with_stretch(out, boundaries, "recv_wall_ns", "recv_mono_ns", "src")
+    last = F.lit((1 << 63) - 1)
+    order = F.struct("stretch", "recv_mono_ns", "src", F.coalesce("ts_ms", last).alias("k_ts"), F.coalesce("seq", last).alias("k_seq"), "recv_wall_ns")
+    out = ranked(out.withColumn("order", order), [], "order", "stream")
+    return out.withColumnRenamed("rank", "position").drop("order", "src")
+
+
 def profit_and_loss(fills: DataFrame, settlements: DataFrame) -> DataFrame:
     """Cash per market: settlement value of the final position, less what fills cost and fees.
 

@@ -160,6 +160,17 @@ def ordered_stream(spark, sf):
     return M.ordered_stream({"delta": d, "trade": t, "gap": g}).select("stream", "ticker", "recv_mono_ns", "seq")
 
 
+def merged_stream(spark, sf):
+    """Changes, images, trades and gaps as one numbered stream while the clock restarts every five days."""
+    images = R.snapshot_images(sample.snapshots(spark, sf))
+    tables = {"delta": sample.deltas(spark, sf), "image": images, "trade": sample.trades(spark, sf), "gap": sample.gaps(spark, sf).withColumn("seq", F.col("expected_seq"))}
+    clock = F.pmod("recv_mono_ns", F.lit(5 * NS_PER_DAY))
+    rows = {k: t.withColumn("recv_mono_ns", clock) for k, t in tables.items()}
+    kept = ("ticker", "recv_wall_ns", "recv_mono_ns", "ts_ms", "seq")
+    rows = {k: t.select(*[c for c in kept if c in t.columns]) for k, t in rows.items()}
+    return M.merged_stream(rows).select("position", "stream", "ticker", "stretch", "recv_mono_ns", "seq")
+
+
 def epoch_cuts(spark, sf):
     """How many image epochs ended early, by what broke them."""
     return _cut_kinds(shared.timeline(spark, sf))
@@ -279,7 +290,7 @@ QUERIES = {
         top_of_book_timeline_sliced, impossible_trades, trade_quotes, heatmap_cells,
         heatmap_columns, heatmap_status, heatmap_samples, row_totals, trade_points, recent_trades,
         session_maxima, header_quotes, microprices, host_restarts_interleaved, books_at_hot_minute,
-        epoch_cuts_calm, top_of_book_timeline_calm, time_to_fill,
+        epoch_cuts_calm, top_of_book_timeline_calm, time_to_fill, merged_stream,
     )
 }
 
@@ -512,3 +523,7 @@ ORACLE["time_to_fill"] = f"""{_ADDED}),
           AND t.done >= lc.delta_e2 + coalesce((SELECT max(b.done) FROM tv b WHERE b.ticker = lc.ticker AND b.side = lc.side
             AND b.price_e4 = lc.price_e4 AND b.w <= lc.recv_wall_ns), 0)) - recv_wall_ns AS wait_ns
       FROM lc WHERE delta_e2 > 0"""
+ORACLE["merged_stream"] = f"""WITH {FEED_SQL} SELECT row_number() OVER (ORDER BY recv_wall_ns) - 1 AS position,
+      CASE kind WHEN 'D' THEN 'delta' WHEN 'S' THEN 'image' WHEN 'T' THEN 'trade' ELSE 'gap' END AS stream,
+      CASE WHEN kind <> 'G' THEN ticker END AS ticker, CAST(recv_mono_ns // (5 * {NS_PER_DAY}) AS INTEGER) AS stretch,
+      recv_mono_ns % (5 * {NS_PER_DAY}) AS recv_mono_ns, event_id AS seq FROM feed"""
