@@ -45,6 +45,7 @@ MIDDLE = 0.5
 CUTS = 4
 ENOUGH = 8
 BANDS = 13
+BROADCAST_ROWS = 1 << 20
 SEED = "lang-1"
 
 _SPACE = np.uint32(32)
@@ -146,16 +147,23 @@ def chosen_texts(docs: DataFrame, per_language: int) -> DataFrame:
     """lang, text, held of at most ``per_language`` texts of each language; held: the quarter that tells reaches."""
     order = F.md5(F.concat(F.lit(SEED), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
     known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialize(known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "languages")
+    languages = counts.count()
+
+    def small(rows: DataFrame, n: int) -> DataFrame:
+        # Beyond this many rows Spark chooses, and texts may be shuffled.
+        return F.broadcast(rows) if n <= BROADCAST_ROWS else rows
+
     # About twice as many ids as wanted are ranked, whatever the size of a language. Ids first, so that only
     # chosen texts are moved.
     place = F.conv(F.substring(order, 1, 8), 16, 10).cast("long") / float(1 << 32)
-    some = known.select("lang", "doc_id", order.alias("h"), place.alias("place")).join(counts, "lang")
+    some = known.select("lang", "doc_id", order.alias("h"), place.alias("place")).join(small(counts, languages), "lang")
     some = some.where(F.col("place") < 2.0 * (per_language + 8) / F.col("n")).select("lang", "doc_id", "h")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))
     picked = some.withColumn("rank", rank).where(F.col("rank") <= per_language).groupBy("lang", "doc_id").agg(F.min("rank").alias("rank"))
     # Equal ids may bring more texts than wanted: the bound holds for texts, too.
-    texts = known.select("lang", "doc_id", F.col("text").cast("string").alias("text")).join(picked, ["lang", "doc_id"])
+    texts = known.select("lang", "doc_id", F.col("text").cast("string").alias("text"))
+    texts = texts.join(small(picked, per_language * languages), ["lang", "doc_id"])
     last = F.row_number().over(Window.partitionBy("lang").orderBy("rank", F.md5(F.col("text").cast("binary"))))
     texts = texts.withColumn("n", last).where(F.col("n") <= per_language)
     return materialize(texts.select("lang", "text", (F.col("n") % 4 == 0).alias("held")), "language-texts")
