@@ -292,7 +292,7 @@ def level_log(changes: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     return materialize(counted, "level-log")
 
 
-def _open_at_slice_start(log: DataFrame) -> DataFrame:
+def open_at_slice_start(log: DataFrame) -> DataFrame:
     """Levels resting when each later slice of an epoch starts.
 
     Slices hold several times as many rows as a book has levels, so repeating the open levels at
@@ -511,7 +511,7 @@ def epoch_cuts(log: DataFrame, gaps: DataFrame) -> DataFrame:
         .select(*key, "m.*")
     )
     plain = materialize(plain, "plain-cuts")
-    carried = _open_at_slice_start(log)
+    carried = open_at_slice_start(log)
     crossed = crossings(log, facts, carried, plain).withColumn("kind", F.lit("C"))
     both = (
         plain.select(*key, "pos", "kind")
@@ -607,6 +607,7 @@ class Timeline:
 
     log: DataFrame
     cuts: DataFrame
+    slice_rows: int = SLICE_ROWS
 
     def changes(self) -> DataFrame:
         """Level counts after each applied change."""
@@ -614,7 +615,7 @@ class Timeline:
 
     def top_of_book(self) -> DataFrame:
         """Best bid and ask after each applied change that opened or closed a level."""
-        quotes = _slice_quotes(self.log, _open_at_slice_start(self.log), None)
+        quotes = _slice_quotes(self.log, open_at_slice_start(self.log), None)
         kept = quotes.join(self.cuts, ["ticker", "epoch"], "left").where(
             F.col("cut").isNull() | (F.col("pos") < F.col("cut"))
         )
@@ -634,11 +635,11 @@ def timeline(
     """The whole history of every book in some stored changes, all epochs."""
     changes, ordered_gaps = ordered_changes(deltas, snapshots, gaps, keyframe)
     log = level_log(changes, slice_rows)
-    return Timeline(log=log, cuts=epoch_cuts(log, ordered_gaps))
+    return Timeline(log=log, cuts=epoch_cuts(log, ordered_gaps), slice_rows=slice_rows)
 
 
 __all__ = [
     "Books", "Timeline", "applied_rows", "books_from", "crossings", "epoch_cuts", "gap_cuts",
-    "keyframe_bases", "latest_epoch", "level_log", "ordered_changes", "replay", "snapshot_images",
-    "timeline",
+    "keyframe_bases", "latest_epoch", "level_log", "open_at_slice_start", "ordered_changes", "replay",
+    "snapshot_images", "timeline",
 ]

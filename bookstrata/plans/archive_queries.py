@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bookstrata.functions.clock import hour_label, parse_hour_label
 from bookstrata.functions.exact import format_count, format_price
+from bookstrata.operators import archive_audits as AA
 from bookstrata.operators import audits as A
 from bookstrata.operators import books as B
 from bookstrata.operators import integrity as I
@@ -14,7 +15,7 @@ from bookstrata.operators import records as R
 from bookstrata.operators import retention as P
 from bookstrata.operators import sequences as Q
 from bookstrata.plans import shared
-from bookstrata.plans.book_queries import _FULL
+from bookstrata.plans.book_queries import _CALM, _FULL
 from bookstrata.plans.book_queries import ORACLE as BOOK_ORACLE
 from bookstrata.plans.catalog import Catalog
 from bookstrata.session import materialize, scratch_path
@@ -276,6 +277,24 @@ def audit_windows(spark, sf):
     return out.drop("ticker")
 
 
+# The archive's audits: half a window, the steps by which replies miss their image, and changes a window may hold.
+_HALF, _STEP, _MOST = 36 * 3_600 * S, 6 * 3_600 * S, 12
+
+
+def audits_from_archive(spark, sf):
+    """Every image of the calm feed as the REST book of an audit whose reply comes up to 18 hours before or after it."""
+    reply = F.col("recv_mono_ns") + (F.col("event_id") % 7 - 3) * _STEP
+    audits = sample.feed(spark, sf).where(F.col("kind") == "S").select(
+        F.col("event_id").alias("audit_id"), "ticker", F.lit(0).alias("stretch"), (reply - _HALF).alias("window_open_mono_ns"),
+        reply.alias("reply_mono_ns"), (reply + _HALF).alias("window_close_mono_ns"),
+    )
+    # One level of some snapshots is off by one, and some snapshots lack their asks.
+    off = F.when((F.col("seq") % 11 == 0) & (F.col("price_e4") == 4000), 1).otherwise(0)
+    rest = sample.snapshots(spark, sf).where((F.col("seq") % 13 != 0) | (F.col("side") == 0))
+    rest = rest.select(F.col("seq").alias("audit_id"), "side", "price_e4", (F.col("count_e2") + off).alias("count_e2"))
+    return AA.audits_from_archive(shared.calm_timeline(spark, sf), audits, rest, _MOST)
+
+
 def rest_books(spark, sf):
     """Images as REST books, with NO bids to complement, zero counts and some malformed prices."""
     f = sample.feed(spark, sf).where(F.col("kind") == "S")
@@ -421,7 +440,7 @@ QUERIES = {
         segment_records, segment_facts, record_accounting, accounting_check, failure_samples, decoded_deltas, decoded_snapshots,
         decoded_trades, decoded_audits, gap_resolution, gap_cost, connection_spans, host_sleeps,
         overflow_dropped, uptime, audit_summary, connection_status, sequence_verdicts, gap_counters,
-        bus_continuity, bus_stats, clock_jumps, audit_windows, rest_books, level_texts,
+        bus_continuity, bus_stats, clock_jumps, audit_windows, audits_from_archive, rest_books, level_texts,
         catalog_books, stored_range, stored_trades, stored_keyframe, prune_decisions,
         hours_to_bake, table_totals, pruned_once, replaced_hours,
     )
@@ -540,6 +559,32 @@ ORACLE = {
       SELECT audit_id, CASE WHEN fault IS NOT NULL THEN 'undecidable' WHEN k IS NULL THEN 'inconsistent' WHEN k = reply THEN 'exact' ELSE 'consistent' END AS outcome,
         c AS window_events, CASE WHEN fault IS NULL THEN k END AS match_index, 20 AS levels_rest, CASE WHEN fault IS NULL THEN 20 END AS levels_local,
         CASE WHEN fault IS NULL THEN wrong END AS mismatched_levels, CAST(CASE WHEN fault IS NULL THEN coalesce(far, 0) END AS BIGINT) AS max_abs_diff_e2, fault FROM j""",
+    "audits_from_archive": f"""{_FULL.replace(FEED_SQL, _CALM)},
+      h AS (SELECT ticker, n, wall - {EPOCH_2024_NS} AS m, stale, kind = 'S' OR now_count IS NOT NULL AS applied,
+        list_sort(list_filter(map_entries(lv), lambda x: x.value > 0)) AS book FROM f WHERE n > 0),
+      au AS (SELECT event_id AS audit_id, ticker, recv_mono_ns + (event_id % 7 - 3) * {_STEP} AS reply,
+        list_sort(list_concat(CASE WHEN event_id % 13 = 0 THEN [] ELSE list_transform(range(10), lambda k: {{'key': CAST(-(5100 + 100*k) AS INTEGER), 'value': 100000 + size_e2}}) END,
+          list_transform(range(10), lambda k: {{'key': CAST(4000 + 100*k AS INTEGER), 'value': 100000 + size_e2 + CASE WHEN k = 0 AND event_id % 11 = 0 THEN 1 ELSE 0 END}}))) AS rest
+        FROM feed WHERE kind = 'S'),
+      o AS (SELECT audit_id, max(n) AS n0, arg_max(stale, n) AS was_stale, arg_max(book, n) AS book FROM au JOIN h ON h.ticker = au.ticker AND h.m < au.reply - {_HALF} GROUP BY 1),
+      w AS (SELECT audit_id, n, m, h.stale, applied, h.book, reply, sum(CAST(applied AS INTEGER)) OVER (PARTITION BY audit_id ORDER BY n) AS i
+        FROM au JOIN h ON h.ticker = au.ticker AND h.m BETWEEN au.reply - {_HALF} AND au.reply + {_HALF}),
+      c AS (SELECT audit_id, min(n) FILTER (stale) AS bad, max(i) AS all_events, count(*) FILTER (applied AND m <= reply) AS ri FROM w GROUP BY 1),
+      p AS (SELECT audit_id, max(w.i) AS seen FROM w JOIN c USING (audit_id) WHERE c.bad IS NULL OR w.n <= c.bad GROUP BY 1),
+      j AS (SELECT au.audit_id, au.ticker, au.rest, coalesce(c.ri, 0) AS ri, CAST(coalesce(seen, 0) AS BIGINT) AS seen,
+        CASE WHEN coalesce(o.was_stale, TRUE) THEN 'no_book' WHEN coalesce(seen, 0) > {_MOST} THEN 'overflow' WHEN c.bad IS NOT NULL THEN 'stale' END AS fault
+        FROM au LEFT JOIN o USING (audit_id) LEFT JOIN c USING (audit_id) LEFT JOIN p USING (audit_id)),
+      s AS (SELECT audit_id, 0 AS i, book FROM o UNION ALL SELECT audit_id, i, book FROM w WHERE applied),
+      mt AS (SELECT s.audit_id, arg_min(s.i, (abs(s.i - j.ri), s.i)) AS k FROM s JOIN j ON j.audit_id = s.audit_id AND s.book = j.rest WHERE j.fault IS NULL GROUP BY 1),
+      lv2 AS (SELECT j.audit_id, unnest(s.book) AS x, 1 AS mine FROM j JOIN s ON s.audit_id = j.audit_id AND s.i = j.ri WHERE fault IS NULL
+        UNION ALL SELECT audit_id, unnest(rest), 0 FROM j WHERE fault IS NULL),
+      df AS (SELECT audit_id, x.key AS k, sum(x.value) FILTER (mine = 1) AS a, sum(x.value) FILTER (mine = 0) AS b FROM lv2 GROUP BY 1, 2),
+      dd AS (SELECT audit_id, count(a) AS l, count(*) FILTER (coalesce(a, 0) <> coalesce(b, 0)) AS off, max(abs(coalesce(a, 0) - coalesce(b, 0))) AS far FROM df GROUP BY 1)
+      SELECT audit_id, ticker, CASE WHEN fault IS NOT NULL THEN 'undecidable' WHEN k IS NULL THEN 'inconsistent' WHEN k = ri THEN 'exact' ELSE 'consistent' END AS outcome,
+        CASE WHEN fault = 'no_book' THEN 0 ELSE least(seen, {_MOST}) END AS window_events, k AS match_index, len(rest) AS levels_rest,
+        CASE WHEN fault IS NULL THEN coalesce(l, 0) END AS levels_local, CASE WHEN fault IS NULL THEN coalesce(off, 0) END AS mismatched_levels,
+        CASE WHEN fault IS NULL THEN CAST(coalesce(far, 0) AS BIGINT) END AS max_abs_diff_e2, fault
+      FROM j LEFT JOIN mt USING (audit_id) LEFT JOIN dd USING (audit_id)""",
     "rest_books": f"""WITH {FEED_SQL} SELECT event_id AS audit_id, CAST(s AS TINYINT) AS side, CASE WHEN s = 0 THEN 4000 + 100*k ELSE 10000 - (4500 + 100*k) END AS price_e4, size_e2 AS count_e2
       FROM feed, range(2) a(s), range(3) b(k) WHERE kind = 'S' AND event_id % 20 <> 0 AND size_e2 <> 0""",
     "level_texts": BOOK_ORACLE["books_at"],

@@ -54,9 +54,8 @@ class OneBook:
             self.ts = ts
 
 
-def run(events, base=None, drop_ns=600_000_000_000):
-    """Replay ``(wall, mono, kind, payload)`` events; kinds are D, S and G."""
-    books = base or {}
+def in_order(events, drop_ns=600_000_000_000):
+    """Events ``(wall, mono, kind, payload)`` in receive order, each with its position; kinds are D, S and G."""
     ranked = []
     source = {"D": 0, "S": 1, "G": 2}
     high, boots = None, 0
@@ -67,7 +66,13 @@ def run(events, base=None, drop_ns=600_000_000_000):
         else:
             high = mono if high is None else max(high, mono)
         ranked.append(((boots, mono, 0 if event[2] == "G" else 1, source[event[2]], n), event))
-    for _, (_, _, kind, row) in sorted(ranked, key=lambda r: r[0]):
+    return sorted(ranked, key=lambda r: r[0])
+
+
+def run(events, base=None):
+    """Books after all events."""
+    books = base or {}
+    for _, (_, _, kind, row) in in_order(events):
         if kind == "G":
             for book in books.values():
                 if book.sub == (row["conn_id"], row["sid"]):
