@@ -2,6 +2,9 @@
 
 A zstd stream cannot be split, so one task reads one file; files are dealt to a number of tasks that
 follows from their bytes. The reader streams 64 KiB at a time through the file system the path names, so no file is held whole.
+Records are framed a buffer at a time: only the chain of lengths is walked, then headers are one NumPy view and
+payloads one Arrow array cut at the headers, so no record becomes a Python object. Only frames of a type that is stored
+verbatim are looked at one by one.
 """
 
 from __future__ import annotations
@@ -11,10 +14,14 @@ import json
 import struct
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from bookstrata import schemas
 from bookstrata.functions.clock import segment_hour
@@ -28,8 +35,14 @@ RECORD_HEADER = struct.Struct("<BHQQI")
 KINDS = {1: "frame", 2: "command", 3: "gap", 4: "connection", 5: "audit"}
 FACTS = 0
 
+# The record header as NumPy reads it, and where its length stands.
+_HEADERS = np.dtype([("kind", "u1"), ("conn", "<u2"), ("mono", "<u8"), ("wall", "<u8"), ("length", "<u4")])
+_LENGTH = struct.Struct("<I")
+_LENGTH_AT = RECORD_HEADER.size - _LENGTH.size
+
 CHUNK = 1 << 16
-BATCH = 4_096
+# Decompressed bytes framed at once.
+BLOCK = 1 << 20
 # Compressed bytes a reading task should take.
 TASK_BYTES = 64 << 20
 
@@ -82,7 +95,7 @@ class _Stream:
         self._error = zstandard.ZstdError
         self._held = bytearray()
         self._at = 0
-        self._done = False
+        self.done = False
         self.digest = hashlib.sha256()
         self.size = 0
         self.truncated = False
@@ -90,7 +103,7 @@ class _Stream:
 
     def take(self, count: int) -> bytes | None:
         """Exactly ``count`` bytes, or ``None`` when the stream ends first."""
-        while len(self._held) - self._at < count and not self._done:
+        while len(self._held) - self._at < count and not self.done:
             self._more()
         if len(self._held) - self._at < count:
             return None
@@ -101,9 +114,16 @@ class _Stream:
             self._at = 0
         return out
 
-    @property
-    def left(self) -> int:
-        return len(self._held) - self._at
+    def block(self, least: int) -> bytes:
+        """All bytes at hand, at least ``least`` of them unless the stream ends first; :meth:`skip` takes them."""
+        while len(self._held) - self._at < least and not self.done:
+            self._more()
+        with memoryview(self._held) as view:
+            return bytes(view[self._at :])
+
+    def skip(self, count: int) -> None:
+        del self._held[: self._at + count]
+        self._at = 0
 
     def _raw(self) -> bytes:
         chunk = self._file.read(CHUNK)
@@ -114,16 +134,16 @@ class _Stream:
     def _more(self) -> None:
         chunk = self._raw()
         if not chunk:
-            self._done = True
+            self.done = True
             self.truncated = self.truncated or not self._zstd.eof
             return
         try:
             self._held += self._zstd.decompress(chunk)
         except self._error:
-            self._done = self.damaged = True
+            self.done = self.damaged = True
             return
         if self._zstd.eof and self._zstd.unused_data:
-            self._done = self.damaged = True
+            self.done = self.damaged = True
 
     def finish(self) -> None:
         """Read on to the file's end, so that size and hash cover all of it."""
@@ -132,7 +152,58 @@ class _Stream:
         self._file.close()
 
 
-def _records(path: str, name: str) -> Iterator[tuple]:
+def _frame(held: bytes) -> tuple[np.ndarray, int, int]:
+    """Where the whole records of a buffer start, where the last one ends, and the bytes that the next one needs."""
+    starts, at, size = [], 0, len(held)
+    length, head = _LENGTH.unpack_from, RECORD_HEADER.size
+    need = head
+    while at + head <= size:
+        need = head + length(held, at + _LENGTH_AT)[0]
+        if at + need > size:
+            break
+        starts.append(at)
+        at += need
+        need = head
+    return np.array(starts, np.int64), at, need
+
+
+def _split(held: bytes, starts: np.ndarray, end: int) -> tuple[np.ndarray, pa.Array]:
+    """Headers and payloads of the records of a buffer."""
+    if not len(starts):
+        return np.empty(0, _HEADERS), pa.array([], pa.binary())
+    # Headers and payloads in turn are one binary array over the buffer.
+    edges = np.empty(2 * len(starts) + 1, np.int64)
+    edges[0:-1:2] = starts
+    edges[1::2] = starts + RECORD_HEADER.size
+    edges[-1] = end
+    both = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(held)])
+    spots = starts[:, None] + np.arange(RECORD_HEADER.size)
+    headers = np.frombuffer(held, np.uint8)[spots].reshape(-1).view(_HEADERS)
+    return headers, both.take(pa.array(np.arange(1, len(edges) - 1, 2))).cast(pa.binary())
+
+
+def _texts(headers: np.ndarray, payloads: pa.Array) -> pa.Array:
+    """``msg_text`` of each record: NULL but for frames that hold the name of a verbatim type."""
+    marked = headers["kind"] == 1
+    named = [pc.match_substring(payloads, mark).to_numpy(zero_copy_only=False) for mark in _VERBATIM]
+    texts = np.full(len(headers), None, object)
+    for i in np.flatnonzero(marked & np.logical_or.reduce(named)):
+        texts[i] = raw_message(payloads[int(i)].as_py())
+    return pa.array(texts, pa.string())
+
+
+def _batch(name: str, first: int, headers: np.ndarray, payloads: pa.Array, yes_price: bool, schema: pa.Schema) -> pa.RecordBatch:
+    n = len(headers)
+    columns = {
+        "segment": pa.repeat(name, n), "ordinal": np.arange(first, first + n), "kind": headers["kind"], "conn_id": headers["conn"],
+        "recv_mono_ns": headers["mono"].astype(np.int64), "recv_wall_ns": headers["wall"].astype(np.int64), "payload": payloads,
+        "use_yes_price": pa.repeat(yes_price, n), "msg_text": _texts(headers, payloads),
+    }
+    made = [c if isinstance(c, pa.Array) else pa.array(np.ascontiguousarray(c)) for c in (columns[field.name] for field in schema)]
+    return pa.RecordBatch.from_arrays([c.cast(field.type) for c, field in zip(made, schema, strict=True)], schema=schema)
+
+
+def _records(path: str, name: str, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     stream = _Stream(path)
     corrupt, header, count = None, {}, 0
     head = stream.take(FILE_HEADER.size)
@@ -151,22 +222,23 @@ def _records(path: str, name: str) -> Iterator[tuple]:
             except (ValueError, KeyError, TypeError):
                 corrupt, header = "malformed header", {}
     yes_price = bool(header.get("use_yes_price", False))
+    need = RECORD_HEADER.size
     while corrupt is None:
-        fixed = stream.take(RECORD_HEADER.size)
-        if fixed is None:
-            stream.truncated = stream.truncated or stream.left > 0
-            break
-        kind, conn, mono, wall, length = RECORD_HEADER.unpack(fixed)
-        payload = stream.take(length)
-        if payload is None:
-            stream.truncated = True
-            break
-        if kind not in KINDS:
-            corrupt = f"unknown record kind {kind}"
+        held = stream.block(max(need, BLOCK))
+        starts, end, need = _frame(held)
+        if not len(starts):
+            if not stream.done:
+                continue
+            stream.truncated = stream.truncated or len(held) > 0
             break
-        text = raw_message(payload) if kind == 1 else None
-        yield (name, count, kind, conn, mono, wall, payload, yes_price, text)
-        count += 1
+        headers, payloads = _split(held, starts, end)
+        strange = np.flatnonzero(~np.isin(headers["kind"], list(KINDS)))
+        if len(strange):
+            corrupt = f"unknown record kind {headers['kind'][strange[0]]}"
+            headers, payloads = headers[: strange[0]], payloads[: strange[0]]
+        yield _batch(name, count, headers, payloads, yes_price, schema)
+        count += len(headers)
+        stream.skip(end)
     if stream.damaged and corrupt is None:
         corrupt = "decompression failed, or bytes followed the frame, before the end"
     stream.finish()
@@ -179,22 +251,16 @@ def _records(path: str, name: str) -> Iterator[tuple]:
         "use_yes_price": yes_price,
         "header": json.dumps(header),
     }
-    conn = int(header.get("conn_id") or 0)
-    yield (name, count, FACTS, conn, 0, 0, json.dumps(facts).encode(), yes_price, None)
+    last = np.zeros(1, _HEADERS)
+    last["kind"], last["conn"] = FACTS, int(header.get("conn_id") or 0)
+    yield _batch(name, count, last, pa.array([json.dumps(facts).encode()], pa.binary()), yes_price, schema)
 
 
-def _read_files(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    columns = _OUTPUT.fieldNames()
+def _read_files(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    schema = to_arrow_schema(_OUTPUT)
     for batch in batches:
-        for path, name in zip(batch["path"], batch["segment"], strict=True):
-            held: list[tuple] = []
-            for row in _records(path, name):
-                held.append(row)
-                if len(held) == BATCH:
-                    yield pd.DataFrame(held, columns=columns)
-                    held = []
-            if held:
-                yield pd.DataFrame(held, columns=columns)
+        for path, name in zip(batch["path"].to_pylist(), batch["segment"].to_pylist(), strict=True):
+            yield from _records(path, name, schema)
 
 
 def read_segments(spark: SparkSession, root: str | list[str], suffix: str = ".zst") -> DataFrame:
@@ -208,11 +274,12 @@ def read_segments(spark: SparkSession, root: str | list[str], suffix: str = ".zs
     named = inventory(spark, root, suffix)
     # The listing's totals: one row.
     n, size = named.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
-    # Few files: a task each, up to a few for every core; many: by bytes. A number that is given is kept by
-    # adaptive execution, and files dealt one by one, large ones first, load tasks evenly.
+    # Few files: a task each, up to a few for every core; many: by bytes. Files are dealt in turn, large ones
+    # first, so that tasks are loaded evenly. The window has one row for each file.
     tasks = max(1, min(n, max(4 * spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES))))
-    dealt = named.orderBy(F.desc("bytes"), "segment").select("path", "segment").repartition(tasks)
-    return dealt.mapInPandas(_read_files, _OUTPUT)
+    turn = F.row_number().over(Window.orderBy(F.desc("bytes"), "segment"))
+    dealt = named.select("path", "segment", ((turn - 1) % tasks).alias("task")).repartitionById(tasks, "task")
+    return dealt.select("path", "segment").mapInArrow(_read_files, _OUTPUT)
 
 
 def inventory(spark: SparkSession, root: str | list[str], suffix: str = ".zst") -> DataFrame:
