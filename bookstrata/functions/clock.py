@@ -67,14 +67,22 @@ def hour_of_day(wall_ns: Column | str) -> Column:
     return F.lpad(hour.cast("string"), 2, "0")
 
 
-def parse_hour_label(label: Column | str) -> Column:
-    """Start of the hour a label names, in wall nanoseconds; NULL when it is not a label."""
+def label_hours(label: Column | str) -> Column:
+    """The hour a label names, in whole hours since 1970; NULL when it is not a label."""
     label = _col(label)
     day = F.try_to_date(F.substring(label, 1, 10), "yyyy-MM-dd")
     hour = F.substring(label, 12, 2).try_cast("int")
     good = label.rlike(r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}T[0-9]{2}\z") & hour.between(0, 23)
     days = F.datediff(day, F.lit(dt.date(1970, 1, 1))).cast("bigint")
-    return F.when(good, days * NS_PER_DAY + hour.cast("bigint") * NS_PER_HOUR)
+    return F.when(good, days * 24 + hour.cast("bigint"))
+
+
+def parse_hour_label(label: Column | str) -> Column:
+    """Start of the hour a label names, in wall nanoseconds; NULL when it is not a label.
+
+    It is NULL, too, for hours that BIGINT nanoseconds cannot hold, those from 2262-04-12T00 on.
+    """
+    return F.try_multiply(label_hours(label), F.lit(NS_PER_HOUR))
 
 
 def check_keyframe_interval(interval_s: int) -> None:
@@ -106,7 +114,7 @@ def segment_hour(name: Column | str) -> Column:
     label = F.concat(
         F.regexp_extract(name, SEGMENT_NAME, 1), F.lit("T"), F.regexp_extract(name, SEGMENT_NAME, 2)
     )
-    return F.when(name.rlike(SEGMENT_NAME) & parse_hour_label(label).isNotNull(), label)
+    return F.when(name.rlike(SEGMENT_NAME) & label_hours(label).isNotNull(), label)
 
 
 def is_ticker(name: Column | str) -> Column:

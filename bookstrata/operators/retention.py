@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bookstrata.functions.clock import NS_PER_HOUR
+from bookstrata.functions.clock import NS_PER_HOUR, label_hours
 
 # Every reason an hour is kept, in the order a decision lists them.
 PRUNE_REASONS = (
@@ -58,7 +58,7 @@ def prune_decisions(
     it is and decide them again.
 
     Args:
-        hours_on_disk: ``dt, hour, start_wall_ns`` of hours with raw segments.
+        hours_on_disk: ``dt, hour`` of hours with raw segments.
         segments_on_disk: Inventory of raw files.
         parts_on_disk: Inventory of stored parts that exist.
         baked_hours: ``dt, hour, bake_version, failures``.
@@ -82,11 +82,13 @@ def prune_decisions(
 
     baked = baked_hours.select(*KEY, "bake_version", "failures")
     base = hours_on_disk.join(baked, KEY, "left")
-    end = F.col("start_wall_ns") + NS_PER_HOUR
+    # Counted in hours, because nanoseconds of hours past the year 2262 are no BIGINT. What names no hour stays.
+    end = label_hours(F.concat("dt", F.lit("T"), "hour")) + 1
+    inside = F.coalesce(end + retention_hours >= -(-now_ns // NS_PER_HOUR), F.lit(True))
     simple = base.select(
         *KEY,
         F.explode(F.filter(F.array(
-            F.when(end + retention_hours * NS_PER_HOUR >= now_ns, "inside_retention_window"),
+            F.when(inside, "inside_retention_window"),
             F.when(F.col("bake_version").isNull(), "not_baked"),
             F.when(F.col("bake_version") != bake_version, "bake_version_stale"),
             F.when(F.col("failures") > 0, "decode_failures"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from bookstrata.functions.clock import hour_label, parse_hour_label
+from bookstrata.functions.clock import hour_label
 from bookstrata.functions.exact import format_count, format_price
 from bookstrata.operators import archive_audits as AA
 from bookstrata.operators import audits as A
@@ -388,12 +388,12 @@ def prune_decisions(spark, sf):
     disk = inv.where(k % 50 != 1).withColumn("bytes", F.col("bytes") + F.when(k % 60 == 2, 1).otherwise(0)).withColumn(
         "sha256", F.when(k % 40 == 4, None).when(k % 130 == 5, "other").otherwise(F.col("sha256")))
     listed = inv.where(k % 70 != 3)
-    per = inv.groupBy("dt", "hour").agg(F.min("k").alias("first")).withColumn("start_wall_ns", parse_hour_label(F.concat("dt", F.lit("T"), "hour")))
+    per = inv.groupBy("dt", "hour").agg(F.min("k").alias("first"))
     baked = per.where(F.col("first") % 13 != 0).select("dt", "hour", F.when(F.col("first") % 17 == 0, 0).otherwise(1).alias("bake_version"), F.when(F.col("first") % 19 == 0, 1).otherwise(0).alias("failures"))
     parts = per.select("dt", "hour", F.concat(F.lit("deltas/"), "dt", F.lit("/"), "hour").alias("path"), F.lit("a").alias("sha256"), "first")
     found = parts.where(F.col("first") % 23 != 0).withColumn("sha256", F.when(F.col("first") % 29 == 0, "b").otherwise(F.col("sha256")))
     pruned = inv.where((k % 50 == 1) & (k % 100 == 1)).select("path")
-    out = P.prune_decisions(per.select("dt", "hour", "start_wall_ns"), disk, found, baked, listed, parts, pruned, RETENTION_NOW, 24, 1)
+    out = P.prune_decisions(per.select("dt", "hour"), disk, found, baked, listed, parts, pruned, RETENTION_NOW, 24, 1)
     return out.select("dt", "hour", "prunable", F.array_join("reasons", ",").alias("reasons"), "bytes_freed")
 
 
