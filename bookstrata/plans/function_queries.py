@@ -244,8 +244,10 @@ ORACLE = {
       SELECT ticker, volume_24h, CASE WHEN yes_bid IS NULL THEN '—' ELSE concat(yes_bid // 100, CASE WHEN fr = 0 THEN '' WHEN fr % 10 = 0 THEN concat('.', fr // 10)
           ELSE concat('.', lpad(CAST(fr AS VARCHAR), 2, '0')) END, '¢') END AS bid,
         format('{{:,}}', c) AS volume,
-        CASE WHEN c < 1000 THEN CAST(c AS VARCHAR) WHEN c < 10000 THEN concat(regexp_replace(printf('%.1f', c / 1000.0), '\\.0$', ''), 'K')
-          WHEN c < 1000000 THEN concat(c // 1000, 'K') ELSE concat(regexp_replace(printf('%.1f', c / 1000000.0), '\\.0$', ''), 'M') END AS compact, {_HALF_WAY} AS half_way,
+        CASE WHEN c < 1000 THEN CAST(c AS VARCHAR) WHEN c < 10000 AND c % 1000 = 250 THEN concat(c // 1000, '.3K')
+          WHEN c < 10000 THEN concat(regexp_replace(printf('%.1f', c / 1000.0), '\\.0$', ''), 'K') WHEN c < 1000000 THEN concat(c // 1000, 'K')
+          WHEN c >= 10000000 THEN concat(c // 1000000, 'M') WHEN c % 1000000 = 250000 THEN concat(c // 1000000, '.3M')
+          ELSE concat(regexp_replace(printf('%.1f', c / 1000000.0), '\\.0$', ''), 'M') END AS compact, {_HALF_WAY} AS half_way,
         CASE WHEN close_ts IS NULL THEN NULL WHEN r <= 0 THEN 'closed' WHEN r < 3600 THEN concat('closes in ', greatest(1, r // 60), 'm')
           WHEN r < 172800 THEN concat('closes in ', r // 3600, 'h') ELSE concat('closes in ', r // 86400, 'd') END AS closes,
         CASE WHEN volume_24h // 1000 < 1 THEN 'now' WHEN volume_24h // 1000 < 60 THEN concat(volume_24h // 1000, 's')
