@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bookstrata.functions.clock import NS_PER_DAY
+from bookstrata.functions.clock import NS_PER_DAY, RESTART_DROP_NS
 from bookstrata.operators import books as B
 from bookstrata.operators import heatmap as H
 from bookstrata.operators import metrics as M
@@ -500,10 +500,12 @@ ORACLE["books_at_hot_minute"] = ORACLE["books_at"]
 _CALM = f"{FEED_SQL.replace('feed AS', 'busy AS', 1)}, feed AS (SELECT * FROM busy WHERE kind <> 'G' OR event_id % {shared.CALM} = 0)"
 for _name in ("epoch_cuts", "top_of_book_timeline"):
     ORACLE[f"{_name}_calm"] = ORACLE[_name].replace(FEED_SQL, _CALM)
-# Each clock only rises, and they are further apart than a restart's drop: a restart is a step from the later to the earlier.
+# Each clock only rises, and they are further apart than a restart's drop: a restart is a step from the later to the earlier,
+# in the order of wall time and reading, by more than that drop.
 ORACLE["host_restarts_interleaved"] = f"""WITH {FEED_SQL}, r AS (SELECT recv_wall_ns AS wall, conn_id % 2 AS late,
       recv_mono_ns + {_APART_NS} * (conn_id % 2) AS mono FROM feed)
-      SELECT wall, mono FROM r QUALIFY late = 0 AND lag(late) OVER (ORDER BY wall) = 1"""
+      SELECT wall, mono FROM r WINDOW o AS (ORDER BY wall, mono)
+      QUALIFY late = 0 AND lag(late) OVER o = 1 AND mono < lag(mono) OVER o - {RESTART_DROP_NS}"""
 _EARLY = f"AND recv_wall_ns <= {shared.QUARTER_NS}"
 ORACLE["keyframe_agreement"] = f"""WITH RECURSIVE {FEED_SQL}, {_MID}, {_last('h')},
       {_fold('q', 'feed', _FROM_NOTHING.format(cond=_EARLY), _EARLY)}, {_last('q')},
