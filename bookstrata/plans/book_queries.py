@@ -525,7 +525,8 @@ ORACLE["time_to_fill"] = f"""{_ADDED}),
           AND t.done >= lc.delta_e2 + coalesce((SELECT max(b.done) FROM tv b WHERE b.ticker = lc.ticker AND b.side = lc.side
             AND b.price_e4 = lc.price_e4 AND b.w <= lc.recv_wall_ns), 0)) - recv_wall_ns AS wait_ns
       FROM lc WHERE delta_e2 > 0"""
-ORACLE["merged_stream"] = f"""WITH {FEED_SQL} SELECT row_number() OVER (ORDER BY recv_wall_ns) - 1 AS position,
+# At one reading, tables come in the order given; rows of one table, which have one exchange time there, by their sequence.
+ORACLE["merged_stream"] = f"""WITH {FEED_SQL} SELECT row_number() OVER (ORDER BY recv_wall_ns, CASE kind WHEN 'D' THEN 0 WHEN 'S' THEN 1 WHEN 'T' THEN 2 ELSE 3 END, event_id) - 1 AS position,
       CASE kind WHEN 'D' THEN 'delta' WHEN 'S' THEN 'image' WHEN 'T' THEN 'trade' ELSE 'gap' END AS stream,
       CASE WHEN kind <> 'G' THEN ticker END AS ticker, CAST(recv_mono_ns // (5 * {NS_PER_DAY}) AS INTEGER) AS stretch,
       recv_mono_ns % (5 * {NS_PER_DAY}) AS recv_mono_ns, event_id AS seq FROM feed"""
