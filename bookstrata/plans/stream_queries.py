@@ -10,7 +10,7 @@ from bookstrata.session import scratch_path
 from bookstrata.sources import sample
 from bookstrata.sources.sample import FEED_SQL, TRADES_SQL
 from bookstrata.streaming import jobs
-from bookstrata.streaming.state import follow_bus, live_books, track_sequences
+from bookstrata.streaming.state import live_books, track_sequences
 
 
 def _feed_stream(spark, sf):
@@ -37,7 +37,7 @@ def stream_bus(spark, sf):
         F.lit("p").alias("publisher"), e.alias("arrival"), F.expr("event_id div 4000").alias("bus_epoch"),
         (e % 4_000 + 1).alias("bus_seq"), F.col("kind").alias("body"),
     )
-    out = jobs.run_available(spark, follow_bus(rows), "bus")
+    out = jobs.follow_long_bus(spark, rows, "bus")
     return out.select("arrival", "reset", "missed", "generation")
 
 

@@ -117,7 +117,10 @@ class BusContinuity(StatefulProcessor):
 
 
 def follow_bus(messages: DataFrame) -> DataFrame:
-    """Streaming continuity over ``(publisher, arrival, bus_epoch, bus_seq, body)``."""
+    """Streaming continuity over ``(publisher, arrival, bus_epoch, bus_seq, body)``.
+
+    A publisher's share of a micro-batch is held by one task; for large ones there is ``jobs.follow_long_bus``.
+    """
     return messages.groupBy("publisher").transformWithStateInPandas(
         BusContinuity(), outputStructType=CONTINUITY_SCHEMA, outputMode="Append", timeMode="None"
     )

@@ -44,6 +44,36 @@ def test_bus_stream_equals_batch(spark):
     assert sorted(map(tuple, got.select(columns).collect())) == sorted(map(tuple, want.select(columns).collect()))
 
 
+def test_long_bus_stream_equals_batch(spark, monkeypatch):
+    """Several publishers, some missing from a batch, in blocks of five arrivals; a later run goes on where one ended."""
+    monkeypatch.setattr(jobs, "BUS_BLOCK", 5)
+    rng = random.Random(4)
+    rows, last = [], {}
+    for n in range(150):
+        who = rng.choice("pq") if n < 90 else rng.choice("pr")
+        epoch, seq = last.get(who, (5, 0))
+        seq += rng.choice([1, 1, 1, 2, 0, -3])
+        if rng.random() < 0.05:
+            epoch, seq = epoch + 1, rng.choice([1, 3])
+        last[who] = epoch, seq
+        rows.append((who, n, epoch, seq, "x"))
+    df = spark.createDataFrame(rows, "publisher string, arrival bigint, bus_epoch bigint, bus_seq bigint, body string")
+    columns = ["publisher", "arrival", "bus_epoch", "bus_seq", "reset", "missed", "generation", "body"]
+    want = bus_continuity(df.withColumn("block", F.expr("arrival div 9")), ["publisher"], ["block"], ["arrival"]).select(columns)
+    folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    stream = as_stream(spark, df, 5)
+    for _ in range(2):
+        got = jobs.follow_long_bus(spark, stream, "t", f"{folder}/state", f"{folder}/out")
+        assert sorted(map(tuple, got.collect()), key=repr) == sorted(map(tuple, want.collect()), key=repr)
+    assert got.columns == columns
+
+
+def test_an_empty_bus(spark):
+    path = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    schema = spark.createDataFrame([], "publisher string, arrival bigint, bus_epoch bigint, bus_seq bigint, body string").schema
+    assert jobs.follow_long_bus(spark, jobs.stream_table(spark, path, schema), "t").collect() == []
+
+
 SCHEMA = "ticker string, arrival bigint, generation bigint, event_type string, side int, price_e4 int, delta_e2 bigint, levels string, stale boolean"
 
 
