@@ -65,6 +65,20 @@ def test_audits_equal_exhaustive_search(spark):
     assert {r.audit_id: (r.outcome, r.match_index) for r in got.collect()} == want
 
 
+def test_audits_are_judged_in_short_stages(spark):
+    """Everything is keyed by audit, so without files in between all sorts and windows would be one stage."""
+    level = "audit_id int, side tinyint, price_e4 int, count_e2 bigint"
+    levels = spark.createDataFrame([(1, 0, 4000, 5)], level)
+    got = A.classify_windows(
+        spark.createDataFrame([(1, "M", 5, True, False)], "audit_id int, ticker string, reply_mono_ns bigint, has_book boolean, went_stale boolean"),
+        levels, spark.createDataFrame([(1, 1, 3, 0, 4000, 5, None)], f"audit_id int, idx bigint, mono bigint, side tinyint, price_e4 int, delta_e2 bigint, levels {LEVELS}"),
+        levels,
+    )
+    assert [(r.outcome, r.match_index, r.levels_local, r.max_abs_diff_e2) for r in got.collect()] == [("consistent", 0, 1, 5)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("Join") <= 4
+
+
 def test_interval_union_and_overlap(spark):
     rng = random.Random(3)
     a = [(k, s, s + rng.randrange(0, 30)) for k in range(3) for s in (rng.randrange(0, 300) for _ in range(15))]
