@@ -118,7 +118,8 @@ def close_times(spark, sf):
 
 def price_grids(spark, sf):
     """Grid of each part's made-up price ranges."""
-    p = sample.table(spark, sf, "part")
+    # A few bytes of a part become up to 9,999 prices, so rows are dealt out before that: a scan task may hold millions.
+    p = sample.table(spark, sf, "part").select("p_partkey").repartition("p_partkey")
     step = F.element_at(F.array(*[F.lit(s) for s in (100, 10, 1, 50, 30)]), (F.col("p_partkey") % 5 + 1).cast("int"))
     one = F.array(F.struct(F.lit(0).alias("start_e4"), F.lit(10_000).alias("end_e4"), step.alias("step_e4")))
     ranges = F.when(F.col("p_partkey") % 7 != 0, one)

@@ -1,5 +1,6 @@
 import datetime as dt
 import re
+import time
 from decimal import Decimal
 
 import pytest
@@ -100,3 +101,32 @@ def test_compact_contracts_round_their_double(spark):
 
     assert got == [plain(c) for c in counts]
     assert got[counts.index(1_150)] == "1.1K" and got[counts.index(1_450)] == "1.4K"
+
+
+def test_grid_prices_of_one_range_are_not_looked_at_one_by_one(spark):
+    kind = "id int, ranges array<struct<start_e4:int,end_e4:int,step_e4:int>>"
+    given_ranges = [
+        [(0, 10_000, 100)], [(-7, 20_000, 3)], [(10_000, 10_000, 1)], [(0, 0, 3)], [(10_000, 0, -7)], [(5, 5, 0)],
+        [(0, 100, 10), (50, 120, 7)], [None], [], None,
+    ]
+    rows = spark.createDataFrame(list(enumerate(given_ranges)), kind)
+    got = {r.id: r.p for r in rows.select("id", G.grid_prices("ranges").alias("p")).collect()}
+    for i, ranges in enumerate(given_ranges):
+        if ranges is None or None in ranges:
+            assert got[i] is None
+            continue
+        every = {p for a, b, s in ranges for p in range(a, b + (1 if s >= 0 else -1), s or 1)}
+        assert got[i] == sorted(p for p in every if 0 < p < 10_000)
+
+
+def test_a_grid_of_one_range_takes_far_less_than_looking_at_each_price(spark):
+    step = (F.col("id") % 1 + 1).cast("int").alias("step_e4")
+    wide = spark.range(10_000).select(F.array(F.struct(F.lit(0).alias("start_e4"), F.lit(10_000).alias("end_e4"), step)).alias("r")).coalesce(1)
+    ticks = F.flatten(F.transform("r", lambda r: F.sequence(r["start_e4"], r["end_e4"], r["step_e4"])))
+    each = F.sort_array(F.array_distinct(F.filter(ticks, lambda p: (p > 0) & (p < 10_000))))
+    seconds = []
+    for prices in (G.grid_prices("r"), each):
+        began = time.perf_counter()
+        assert wide.agg(F.sum(F.size(prices))).first()[0] == 10_000 * 9_999
+        seconds.append(time.perf_counter() - began)
+    assert seconds[0] * 2 < seconds[1]
