@@ -46,6 +46,8 @@ CUTS = 4
 ENOUGH = 8
 BANDS = 13
 BROADCAST_ROWS = 1 << 20
+# Texts whose counts are held at a time: a row of counts is ``BUCKETS`` numbers, however short its text.
+BLOCK_ROWS = 128
 SEED = "lang-1"
 
 _SPACE = np.uint32(32)
@@ -65,6 +67,11 @@ class Vectors:
 
     def counts(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         """Blocks of rows: (first, after the last, counts as rows x BUCKETS, number of letters)."""
+        for start in range(0, len(texts), BLOCK_ROWS):
+            for first, stop, out, letters in self._counts(texts.slice(start, BLOCK_ROWS)):
+                yield start + first, start + stop, out, letters
+
+    def _counts(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
         for first, stop, data, ends in blocks(pc.utf8_lower(texts), 1 << 18):
             codes = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
             # The characters before each byte offset: bytes that begin a character.
@@ -245,6 +252,9 @@ def identify(docs: DataFrame, model: Model, keep: list[str], names: tuple[str, s
     ship(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     keep = [c for c in keep if c not in names]
+    # A text that is kept is sent once.
+    sent = "text" in keep and isinstance(docs.schema["text"].dataType, T.StringType)
+    at = keep.index("text") if sent else len(keep)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, known = Vectors(), shared.value
@@ -253,7 +263,7 @@ def identify(docs: DataFrame, model: Model, keep: list[str], names: tuple[str, s
             n = batch.num_rows
             lang, score, near = np.full(n, len(languages) - 1), np.zeros(n), np.zeros(n, bool)
             if known.names:
-                for first, stop, counts, letters in vectors.counts(batch.column(len(keep))):
+                for first, stop, counts, letters in vectors.counts(batch.column(at)):
                     found, cosine, within = known.predict(counts, letters)
                     some = letters > 0
                     lang[first:stop][some], score[first:stop][some], near[first:stop][some] = found[some], cosine[some], within[some]
@@ -265,7 +275,8 @@ def identify(docs: DataFrame, model: Model, keep: list[str], names: tuple[str, s
     result = T.StructType([docs.schema[c] for c in keep])
     for name, kind in zip(names, (T.StringType(), T.DoubleType(), T.BooleanType())):
         result = result.add(name, kind)
-    return docs.select(*keep, F.col("text").cast("string").alias("_language_text")).mapInArrow(predict, result)
+    text = [] if sent else [F.col("text").cast("string").alias("_language_text")]
+    return docs.select(*keep, *text).mapInArrow(predict, result)
 
 
 def held_out():

@@ -69,12 +69,21 @@ STAGES = [
 # Nearest centroids and merges of pieces are beyond SQL; tests compare with a brute-force version.
 ORACLE_SQL = None
 
+# Rows of whole documents that are held at a time on either side of a Python worker; every stage takes rows one by one.
+BATCH_ROWS = 1_000
+
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        folder = scratch_path(spark, f"stage-{name}")
-        stage(spark, docs, sf_dir).write.parquet(folder)
-        docs = spark.read.parquet(folder)
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, str(min(BATCH_ROWS, int(before)) if int(before) > 0 else BATCH_ROWS))
+    try:
+        for name, stage in STAGES:
+            folder = scratch_path(spark, f"stage-{name}")
+            stage(spark, docs, sf_dir).write.parquet(folder)
+            docs = spark.read.parquet(folder)
+    finally:
+        spark.conf.set(setting, before)
     return docs

@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 
 import pyarrow as pa
 
@@ -125,3 +126,17 @@ def test_counts_equal_plain_counting():
             assert found[i][0].sum() == len(want), text
             assert (found[i][0] > 0).sum() <= len(set(want))
         assert found[i][1] == sum(c.isalpha() for c in text or "")
+
+
+def test_counts_of_many_short_texts_are_held_a_few_rows_at_a_time():
+    texts = pa.array(["ab cd"] * 5_000 + [None, ""])
+    vectors = L.Vectors()
+    tracemalloc.start()
+    rows = letters = 0
+    for first, stop, counts, some in vectors.counts(texts):
+        assert first == rows and counts.shape == (stop - first, L.BUCKETS)
+        rows, letters = stop, letters + int(some.sum())
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == len(texts) and letters == 20_000
+    assert peak < 64 << 20
