@@ -119,3 +119,38 @@ def test_rules_of_rules():
     assert (grammar.expand(symbols) == ids).all()
     # 256 ids of a passage are at most a few symbols, so that they and the pairs between take less than half of the rest.
     assert len(symbols) < 0.15 * len(ids)
+
+
+def test_rounds_count_what_may_still_be_frequent(monkeypatch):
+    """Later rounds leave out places whose pairs are rare: all rounds together sort few times as many pairs as there are ids."""
+    rng = np.random.default_rng(5)
+    common = rng.integers(3, 50_257, (9_000, 2))
+    ids = np.concatenate([common[rng.integers(0, len(common), 40)].ravel() if k % 2 else rng.integers(3, 50_257, 100) for k in range(8_000)]).astype(np.uint32)
+    last = np.zeros(len(ids), bool)
+    last[::500] = last[-1] = True
+    counted, sort = [], np.sort
+    monkeypatch.setattr(B.np, "sort", lambda x, *rest: counted.append(len(x) if x.dtype == np.uint32 else 0) or sort(x, *rest))
+    symbols, rules = B.compress(ids, last, 50_257)
+    monkeypatch.undo()
+    counted = [n for n in counted if n]
+    assert len(counted) > 8 and sum(counted) < 0.5 * len(counted) * len(symbols)
+    grammar = B.Grammar(50_257, rules, B.rule_lengths(rules, 50_257))
+    assert (grammar.expand(symbols) == ids).all()
+
+
+TEXTS = ["it's  'sad'.\n\n Don't,we'LL x1y2 z_", " ", "a ", "", " b\xa0c  d​e", "fin. É×÷ûí é́!", "x\ty\r\n z \x85 \x1c!'s", "日本 語 \U0001d4e3 été", "1'2's"]
+
+
+def test_pieces_of_one_hash(library, monkeypatch):
+    """Other texts than those of the table go to the library, also where all hashes are the same."""
+    monkeypatch.setattr(B, "span_hashes", lambda data, starts: np.diff(np.append(starts, len(data))).astype(np.uint64) % np.uint64(2) << np.uint64(62))
+    encoder = B.Encoder(B.tokenizer_path())
+    for texts in (TEXTS, TEXTS[::-1], ["Adam eats an egg", "Edam oats in ice"]):
+        assert [list(x) for x in encoder.encode(texts)] == [ids_of(library, t)[:-1] for t in texts]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from("aEé×÷'s.,!1² \n\t\r\xa0 　᠎́д語-_"), max_size=12), min_size=1, max_size=4))
+def test_pieces_equal_library(library, texts):
+    encoder = B.Encoder.of(B.tokenizer_path())
+    assert [list(x) for x in encoder.encode(texts)] == [ids_of(library, t)[:-1] for t in texts]
