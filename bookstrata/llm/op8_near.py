@@ -249,10 +249,23 @@ def near_links(texts: DataFrame, docs: DataFrame, by_cell: np.ndarray, similarit
     def linked(compared: DataFrame) -> DataFrame:
         return compared.where("alike").select("a", "b")
 
+    def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
+        """Labels with further links, of which only those between components are followed."""
+        links = materialize(links, "links")
+        for end in ("a", "b"):
+            links = links.join(labels.select(F.col("id").alias(end), F.col("label").alias(f"of_{end}")), end, "left")
+        across = links.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).where("a <> b")
+        across = materialize(across.distinct(), "across")
+        if across.isEmpty():
+            return labels
+        merged = components(across)
+        further = merged.join(labels, "id", "left_anti")
+        moved = labels.join(merged.select(F.col("id").alias("label"), F.col("label").alias("to")), "label", "left")
+        return materialize(moved.select("id", F.coalesce("to", "label").alias("label")).unionByName(further), "labels")
+
     pairs = members.where("uid <> centre").select(F.col("uid").alias("a"), F.col("centre").alias("b")).distinct()
     facts = materialize(compare(pairs, held, by_cell, similarity, differences=True), "facts")
-    links = linked(facts)
-    labels = components(links)
+    labels = components(linked(facts))
 
     def unsettled() -> DataFrame:
         """Members of buckets that hold several components, with their component."""
@@ -269,16 +282,14 @@ def near_links(texts: DataFrame, docs: DataFrame, by_cell: np.ndarray, similarit
         outside = outside.agg(F.max_by(F.struct("uid", "part"), F.struct("crowd", "uid")).alias("next"))
         tried = several.join(outside, "key").where("part <> next.part").select(F.col("uid").alias("a"), F.col("next.uid").alias("b"))
         tried = _ordered(tried).join(facts.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-        links = materialize(links.union(linked(compare(tried, held, by_cell, similarity))), "links")
-        labels = components(links)
+        labels = relabelled(labels, linked(compare(tried, held, by_cell, similarity)))
 
     # What is left: pairs of one bucket across components. Members similar to the centre take part too: a copy of one
     # of them may be too far from the centre itself.
     several = unsettled().where("uid <> centre").select("uid", "centre", "part").distinct()
     measured = facts.select(F.col("a").alias("uid"), F.col("b").alias("centre"), "common", "weight_a", "weight_b", "alike", "shingles", "by")
     beyond = _overlapping(several.join(measured, ["uid", "centre"]), similarity)
-    links = materialize(links.union(linked(compare(_ordered(beyond), held, by_cell, similarity))), "links")
-    return components(links)
+    return relabelled(labels, linked(compare(_ordered(beyond), held, by_cell, similarity)))
 
 
 def _overlapping(rest: DataFrame, similarity: float) -> DataFrame:
@@ -298,21 +309,29 @@ def _overlapping(rest: DataFrame, similarity: float) -> DataFrame:
     t = (1 - similarity) / (1 + similarity)
     away = F.col("weight_a") + F.col("weight_b") - 2 * F.col("common")
     facts = ("uid", "part", "alike", "excess")
-    rows = rest.withColumn("excess", away - t * F.col("weight_a")).withColumn("most", away + t * F.col("weight_a"))
-    rows = rows.select("centre", *facts, "most", F.col("weight_b").alias("unit"), F.explode(F.arrays_zip("shingles", "by")).alias("z"))
-    rows = rows.select("centre", *facts, "most", "unit", F.col("z.shingles").alias("shingle"), F.col("z.by").cast("double").alias("by"))
+    texts = rest.withColumn("excess", away - t * F.col("weight_a")).withColumn("most", away + t * F.col("weight_a"))
+    texts = texts.select("centre", *facts, "most", F.col("weight_b").alias("unit"), "shingles", "by")
+    cell = lambda e: F.floor(e / (CELL * F.col("unit"))).cast("int")
+    texts = materialize(texts.withColumn("own", cell(F.col("excess"))), "differences")
+    # The cells in which a centre's texts lie; of two texts one is not similar to the centre.
+    cells = texts.groupBy("centre").agg(F.collect_set("own").alias("cells"), F.collect_set(F.when(~F.col("alike"), F.col("own"))).alias("unlike"))
+    placed = texts.drop("shingles", "by").join(cells, "centre")
+    placed = placed.withColumn("cells", F.when(F.col("alike"), F.col("unlike")).otherwise(F.col("cells"))).drop("unlike")
+    # Most differences are of one component only; they are moved as narrow rows, and a text's facts join the others.
+    rows = texts.select("centre", "uid", "part", F.explode(F.arrays_zip("shingles", "by")).alias("z"))
+    rows = rows.select("centre", "uid", "part", F.col("z.shingles").alias("shingle"), F.col("z.by").alias("by"))
     held = rows.groupBy("centre", "shingle").agg(F.count(F.lit(1)).alias("n"), F.min("part").alias("low"), F.max("part").alias("high"))
-    rows = rows.join(held.where("low <> high").select("centre", "shingle", "n"), ["centre", "shingle"])
+    rows = rows.drop("part").join(held.where("low <> high").select("centre", "shingle", "n"), ["centre", "shingle"])
     # One text's differences, the most common first: what is lost if this one and all before it are left out.
     common_first = Window.partitionBy("centre", "uid").orderBy(F.desc("n"), "shingle")
-    rows = rows.withColumn("lost", F.sum("by").over(common_first))
-    cell = lambda e: F.floor(e / (CELL * F.col("unit"))).cast("int")
-    rows = rows.withColumn("own", cell(F.col("excess")))
+    rows = rows.withColumn("lost", F.sum(F.col("by").cast("double")).over(common_first)).drop("by", "n")
+    rows = rows.join(placed, ["centre", "uid"])
     # A partner's excess: above t * unit where this text is similar to the centre, at least -t * unit in any case, and
     # so small that the overlap it asks for does not pass what the text differs by.
     least = F.when(F.col("alike"), t).otherwise(-t) * F.col("unit")
-    partners = F.sequence(cell(least) - 1, F.greatest(cell(least) - 1, cell(F.col("most")) + 1))
-    rows = rows.withColumn("other", F.explode(partners))
+    low, high = cell(least) - 1, F.greatest(cell(least) - 1, cell(F.col("most")) + 1)
+    rows = rows.withColumn("low", low).withColumn("high", high)
+    rows = rows.withColumn("other", F.explode(F.filter("cells", lambda c: (c >= F.col("low")) & (c <= F.col("high")))))
     needed = (F.col("excess") + F.greatest(F.col("other") * CELL * F.col("unit"), least)) / 2 - SLACK
     rows = materialize(rows.where(F.col("lost") >= needed).select("centre", "shingle", "own", "other", *facts, "lost"), "overlaps")
     second = rows.select("centre", "shingle", F.col("own").alias("other"), F.col("other").alias("own"), *[F.col(c).alias(f"{c}_2") for c in (*facts, "lost")])

@@ -188,3 +188,34 @@ def test_components_of_chains(spark, n):
 
 def test_components_of_nothing(spark):
     assert C.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_overlaps_are_asked_only_of_cells_that_hold_texts(spark, monkeypatch):
+    """A difference is sent once for each cell of excess in which some text lies, not for each cell that might hold one."""
+    kept, write = {}, D.materialize
+
+    def watch(df, name):
+        kept[name] = write(df, name)
+        return kept[name]
+
+    monkeypatch.setattr(D, "materialize", watch)
+    # Texts 1 to 6 differ from the centre 0 by as much and share their differences in pairs.
+    rest = spark.createDataFrame(
+        [(i, 0, i, 80.0, 100.0, 100.0, False, [i // 2 * 50 + j for j in range(40)], [1.0] * 40) for i in range(2, 8)],
+        "uid long, centre long, part long, common double, weight_a double, weight_b double, alike boolean, shingles array<long>, by array<float>",
+    )
+    pairs = {(r.a, r.b) for r in D._overlapping(rest, D.SIMILARITY).collect()}
+    assert pairs == {(2, 3), (4, 5), (6, 7)}
+    assert kept["overlaps"].select("other").distinct().count() == 1
+
+
+def test_links_within_a_component_are_not_followed(spark, monkeypatch):
+    """Classes are those of all links together while later rounds follow only links between components."""
+    followed, real = [], D.components
+    monkeypatch.setattr(D, "components", lambda links: followed.append(links.count()) or real(links))
+    base = [f"w{i}" for i in range(60)]
+    rows = [(k, " ".join([*base[:k], f"x{k}", *base[k + 1 :]]), "en", "s") for k in range(0, 60, 2)]
+    got = D.near_duplicates(docs_frame(spark, rows)).collect()
+    want = brute(rows, 1.0)
+    assert {r.doc_id: r.class_id for r in got} == {i: c for (i, _), c in want.items()}
+    assert all(n <= 1 for n in followed[1:])
