@@ -1,6 +1,8 @@
 import math
+import random
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from bookstrata.llm import op9_lm as M
@@ -102,3 +104,21 @@ def test_blocks_do_not_matter(spark):
     marked = docs_frame(spark, rows).selectExpr("doc_id", "text", "coalesce(doc_id < 9, false) AS target")
     want, got = (sorted(map(repr, M.score_all(marked, size=size).selectExpr("doc_id", "n_tokens", "round(score, 9)").collect())) for size in (1 << 24, 40))
     assert got == want and len(got) == len(rows)
+
+
+def test_counts_travel_as_few_bytes(spark):
+    """A block sends one row a range of keys, and some seven bytes for each of its words and pairs."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"w{int(rng.paretovariate(0.5)) % 50_000}" for _ in range(1_000)), "en", "s") for i in range(300)]
+    marked = docs_frame(spark, rows).coalesce(1).selectExpr("doc_id", "text", "doc_id < 30 AS target")
+    stored = M.word_blocks(marked)
+    sent = M.counts_sent(stored, 3).collect()
+    keys = sum(len(M.Counted.of(r.packed).keys) for r in stored.collect())
+    assert keys > 40_000 and len(sent) == 8 * stored.count()
+    assert sum(len(r.sent) for r in sent) < 8 * keys
+
+
+def test_squeezed_numbers_return():
+    parts = [np.arange(5, dtype=np.uint64) << np.uint64(60), np.zeros(0, np.int32), np.array([7], np.uint8)]
+    back = M.unsqueezed(M.squeezed(parts), [np.uint64, np.int32, np.uint8])
+    assert all(np.array_equal(a, b) and a.dtype == b.dtype for a, b in zip(parts, back))
