@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from bookstrata.llm import op9_lm as M
@@ -122,3 +123,14 @@ def test_squeezed_numbers_return():
     parts = [np.arange(5, dtype=np.uint64) << np.uint64(60), np.zeros(0, np.int32), np.array([7], np.uint8)]
     back = M.unsqueezed(M.squeezed(parts), [np.uint64, np.int32, np.uint8])
     assert all(np.array_equal(a, b) and a.dtype == b.dtype for a, b in zip(parts, back))
+
+
+def test_blocks_span_batches_and_are_read_in_parts(monkeypatch):
+    """A block's words are found a megabyte at a time, and a batch's end does not end it."""
+    sizes, real = [], M.WordBlock
+    monkeypatch.setattr(M, "WordBlock", lambda data, ends: sizes.append(len(data)) or real(data, ends))
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300)), pa.array(["Some words " * 1_000] * 300)], names=["doc_id", "text"])
+    found = list(M._word_blocks(iter([batch, batch.slice(0, 0), batch]), 1, 1 << 24))
+    assert len(found) == 1 and max(sizes) <= 1 << 20
+    rows, words = found[0]
+    assert rows.column(0).to_pylist() == [*range(300)] * 2 and set(np.diff(words.offsets)) == {2_000} and len(words.hashes) == 1_200_000
