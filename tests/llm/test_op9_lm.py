@@ -113,7 +113,9 @@ def test_counts_travel_as_few_bytes(spark):
     rows = [(i, " ".join(f"w{int(rng.paretovariate(0.5)) % 50_000}" for _ in range(1_000)), "en", "s") for i in range(300)]
     marked = docs_frame(spark, rows).coalesce(1).selectExpr("doc_id", "text", "doc_id < 30 AS target")
     stored = M.word_blocks(marked)
-    sent = M.counts_sent(stored, 3).collect()
+    targets = M.target_texts(stored, marked.where("target").select("doc_id"))
+    assert targets.first().targets == [*range(30)] and targets.first().m == 30_000
+    sent = M.counts_sent(stored, targets, 3).collect()
     keys = sum(len(M.Counted.of(r.packed).keys) for r in stored.collect())
     assert keys > 40_000 and len(sent) == 8 * stored.count()
     assert sum(len(r.sent) for r in sent) < 8 * keys
