@@ -254,6 +254,22 @@ def minute_block(mono: Column | str) -> Column:
     return floor_div(mono, NS_PER_MINUTE)
 
 
+def numbered(rows: DataFrame, order: list[str], name: str) -> DataFrame:
+    """``rows`` with ``rank``, their place from 0 among all rows by ``order``; written to the shared folder.
+
+    As :func:`ranked` without keys, but each range's first number is one row, which meets its rows without a shuffle.
+    """
+    place = F.monotonically_increasing_id()
+    laid = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    laid = materialize(laid.withColumn("__row", place).withColumn("__part", F.shiftright(place, _ROW_BITS)), name)
+    # One row per range, a few hundred at most.
+    pieces = laid.groupBy("__part").agg(F.min("__row").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    pieces = materialize(pieces.select("__part", (F.coalesce(before, F.lit(0)) - F.col("__first")).alias("__shift")), f"{name}-ranges")
+    placed = laid.join(F.broadcast(pieces), "__part")
+    return placed.withColumn("rank", F.col("__row") + F.col("__shift")).drop("__row", "__part", "__shift")
+
+
 def ranked(rows: DataFrame, keys: list[str], order: str, name: str) -> DataFrame:
     """``rows`` with ``rank``, their place from 0 among all rows of their keys by ``order``; written to the shared folder.
 

@@ -9,10 +9,11 @@ the gap's subscription.
 
 The shape of the job:
 
-* All rows are sorted once by market and full position, and a row's rank in its market tells its
+* All rows are sorted once by market and full position, and a row's rank among them all tells its
   *slice* of ``slice_rows`` consecutive rows. All heavy steps are keyed by (market, slice), so a
   market holding a third of all rows spreads over as many tasks as it has slices, also where all of
-  them fall into one minute or one reading of the clock.
+  them fall into one minute or one reading of the clock. Only a slice's first and last market reach
+  beyond it, so what is carried from slice to slice is looked up in a small table.
 * An *epoch* runs from one valid image to the next. Level counts are running sums within an epoch.
 * The *cut* of an epoch is its first violation. Sums past the cut are wrong but never used, so all
   violations can be found independently and the earliest wins.
@@ -29,8 +30,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bookstrata.functions.exact import floor_div
-from bookstrata.operators.ordering import minute_block, ranked, restart_boundaries, with_stretch
-from bookstrata.operators.running import Running, asof_join, dyadic_block, dyadic_blocks, dyadic_levels, running
+from bookstrata.operators.ordering import minute_block, numbered, restart_boundaries, with_stretch
+from bookstrata.operators.running import asof_join, dyadic_block, dyadic_blocks, dyadic_levels
 from bookstrata.session import materialize
 
 BID, ASK, EMPTY = 0, 1, -1
@@ -209,7 +210,9 @@ def ordered_changes(
 
     Host restarts are found over all three sources together, as receive order needs.
     """
-    changes = _delta_rows(deltas).unionByName(_image_rows(snapshots))
+    # Images are read by every pass over the changes: to sample ranges, to lay rows out, to find last images.
+    images = materialize(_image_rows(snapshots), "images")
+    changes = _delta_rows(deltas).unionByName(images)
     gap_rows = gaps.select(
         F.col("conn_id").cast("int").alias("conn_id"),
         "sid",
@@ -234,38 +237,48 @@ def ordered_changes(
 
 
 def _sliced(rows: DataFrame, slice_rows: int) -> DataFrame:
-    """``rows`` with their slice and the number of valid images before the slice."""
-    rows = ranked(rows, ["ticker"], "pos", "changes").withColumn("slice", floor_div("rank", slice_rows).cast("int"))
-    starts = F.col("valid") & (F.col("src") > 0)
-    images = rows.groupBy("ticker", "slice").agg(F.count(F.when(starts, 1)).alias("images"))
-    earlier = Window.partitionBy("ticker").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
-    images = images.select("ticker", "slice", F.coalesce(F.sum("images").over(earlier), F.lit(0)).alias("epoch_in"))
-    return rows.join(images, ["ticker", "slice"])
+    """``rows`` with their rank among the rows of all markets, sorted by market and position, and their slice."""
+    return numbered(rows, ["ticker", "pos"], "changes").withColumn("slice", floor_div("rank", slice_rows).cast("int"))
 
 
-def level_log(changes: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
-    """Every level change with its slice, epoch and running count.
+def _shared_slices(rows: DataFrame) -> DataFrame:
+    """Slices of markets that lie in several: the epochs at their start and end, and whether another slice follows.
 
-    One row per delta, one per level of an image, and one marker row (``side=-1``) for an empty or
-    invalid image. Rows before a market's first valid image are left out: the book is stale then
-    and has no levels. The result is written to the shared scratch folder, because cuts, states and
-    timelines all read it.
+    Of the markets in a slice only the first and the last reach beyond it, so these are two rows a slice at most.
     """
-    starts = F.col("valid") & (F.col("src") > 0)
-    placed = _sliced(changes, slice_rows)
+    images = rows.groupBy("ticker", "slice").agg(F.count(F.when(_starts(), 1)).alias("images"))
+    market = Window.partitionBy("ticker").orderBy("slice")
+    upto = F.sum("images").over(market.rowsBetween(Window.unboundedPreceding, 0))
+    found = images.select(
+        "ticker", "slice", (upto - F.col("images")).alias("epoch_in"), upto.alias("epoch_out"),
+        F.lag("slice").over(market).isNotNull().alias("follows"), F.lead("slice").over(market).isNotNull().alias("goes_on"),
+    )
+    return materialize(found.where(F.col("follows") | F.col("goes_on")).drop("follows"), "shared-slices")
+
+
+def _starts() -> Column:
+    """Whether a change starts an epoch."""
+    return F.col("valid") & (F.col("src") > 0)
+
+
+def _level_rows(placed: DataFrame) -> DataFrame:
+    """One row per level change of some changes with their shared slices: epoch, and whether it may reach into other slices."""
     walk = Window.partitionBy("ticker", "slice").orderBy("rank")
     upto = walk.rowsBetween(Window.unboundedPreceding, 0)
     subscription = F.struct("conn_id", "sid")
+    within = F.sum(F.when(_starts(), 1).otherwise(0)).over(upto)
     placed = (
-        placed.withColumn(
-            "epoch", F.col("epoch_in") + F.sum(F.when(starts, 1).otherwise(0)).over(upto)
-        )
+        placed.withColumn("epoch", F.coalesce("epoch_in", F.lit(0)) + within)
         .withColumn(
             "run_start",
-            starts
+            _starts()
             | F.coalesce(~F.lag(subscription).over(walk).eqNullSafe(subscription), F.lit(True)),
         )
         .where(F.col("epoch") > 0)
+        .withColumn(
+            "spans",
+            F.coalesce((F.col("epoch") == F.col("epoch_in")) | (F.col("goes_on") & (F.col("epoch") == F.col("epoch_out"))), F.lit(False)),
+        )
     )
     level = "struct<side:int,price_e4:int,delta_e2:bigint>"
     marker = F.array(F.lit(None).cast(level))
@@ -273,23 +286,44 @@ def level_log(changes: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
     kept = F.when(F.col("valid") & (F.size("levels") > 0), F.col("levels")).cast(f"array<{level}>")
     exploded = placed.select(
         "ticker", "slice", "epoch", "rank", "pos", "src", "conn_id", "sid", "ts_ms", "valid",
-        "base_stale", "run_start", "wall",
+        "base_stale", "run_start", "wall", "spans",
         F.posexplode(
             F.when(F.col("src") == 0, single).otherwise(F.coalesce(kept, marker))
         ).alias("nth", "level"),
     )
-    log = exploded.select(
+    return exploded.select(
         "ticker", "slice", "epoch", "rank", "pos", "src", "conn_id", "sid", "ts_ms", "valid",
-        "base_stale", "wall",
+        "base_stale", "wall", "spans",
         (F.col("run_start") & (F.col("nth") == 0)).alias("run_start"),
         F.coalesce("level.side", F.lit(EMPTY)).alias("side"),
         F.coalesce("level.price_e4", F.lit(0)).alias("price_e4"),
         F.coalesce("level.delta_e2", F.lit(0)).cast("bigint").alias("delta_e2"),
     )
-    level_keys = ["ticker", "epoch", "side", "price_e4"]
-    total = Running("sum", F.col("delta_e2"))
-    counted = running(log, level_keys, ["slice"], ["rank"], {"count_e2": total})
-    return materialize(counted, "level-log")
+
+
+def level_log(changes: DataFrame, slice_rows: int = SLICE_ROWS) -> DataFrame:
+    """Every level change with its slice, epoch and running count.
+
+    One row per delta, one per level of an image, and one marker row (``side=-1``) for an empty or
+    invalid image. Rows before a market's first valid image are left out: the book is stale then
+    and has no levels. The result is written to the shared scratch folder, because cuts, states and
+    timelines all read it.
+
+    Changes are shuffled once, by market and slice. Counts are carried from slice to slice only for epochs that may
+    reach into several (``spans``), so a market within one slice costs no more than its own rows.
+    """
+    rows = _sliced(changes, slice_rows)
+    shared = _shared_slices(rows)
+    key = ["ticker", "slice"]
+    level = ["ticker", "epoch", "side", "price_e4"]
+    summed = _level_rows(rows.join(shared, key)).where("spans").groupBy(*level, "slice").agg(F.sum("delta_e2").alias("total"))
+    earlier = Window.partitionBy(*level).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    carried = summed.select(*level, "slice", F.sum("total").over(earlier).alias("carried")).where("carried <> 0")
+    carried = materialize(carried, "carried")
+    inside = Window.partitionBy(*level, "slice").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
+    log = _level_rows(rows.join(shared, key, "left")).withColumn("inside", F.sum("delta_e2").over(inside))
+    log = log.join(carried, [*level, "slice"], "left")
+    return materialize(log.withColumn("count_e2", F.col("inside") + F.coalesce("carried", F.lit(0))).drop("inside", "carried"), "level-log")
 
 
 def open_at_slice_start(log: DataFrame) -> DataFrame:
@@ -298,6 +332,7 @@ def open_at_slice_start(log: DataFrame) -> DataFrame:
     Slices hold several times as many rows as a book has levels, so repeating the open levels at
     each slice start stays a fraction of the rows themselves.
     """
+    log = log.where("spans")
     level = ["ticker", "epoch", "side", "price_e4"]
     closing = (
         log.where(F.col("side") >= 0)
@@ -387,17 +422,20 @@ def _slice_quotes(log: DataFrame, carried: DataFrame, wanted: DataFrame | None)
 
 
 def slice_facts(log: DataFrame) -> DataFrame:
-    """One row per (market, epoch, slice): best prices touched and the first plain violations."""
+    """One row per (market, epoch, slice): the best prices touched."""
     bid = F.when((F.col("side") == BID) & (F.col("count_e2") > 0), F.col("price_e4"))
     ask = F.when((F.col("side") == ASK) & (F.col("count_e2") > 0), F.col("price_e4"))
+    return log.groupBy("ticker", "epoch", "slice").agg(F.max(bid).alias("t_bid"), F.min(ask).alias("t_ask"))
+
+
+def plain_violations(log: DataFrame) -> DataFrame:
+    """Rows that violate by themselves, as ``(ticker, epoch, slice, pos, kind)``."""
     base = (F.col("src") == 2) & F.col("base_stale")
-    return log.groupBy("ticker", "epoch", "slice").agg(
-        F.max(bid).alias("t_bid"),
-        F.min(ask).alias("t_ask"),
-        F.min(F.when((F.col("src") == 0) & (F.col("count_e2") < 0), F.col("pos"))).alias("N"),
-        F.min(F.when(~F.col("valid"), F.col("pos"))).alias("X"),
-        F.min(F.when(base, _instant(F.col("pos.stretch"), F.col("pos.mono"), 9))).alias("B"),
-    )
+    at_base = _instant(F.col("pos.stretch"), F.col("pos.mono"), 9).cast(log.schema["pos"].dataType)
+    kinds = {"N": (F.col("src") == 0) & (F.col("count_e2") < 0), "X": ~F.col("valid"), "B": base}
+    marks = [F.when(on, F.struct((at_base if k == "B" else F.col("pos")).alias("pos"), F.lit(k).alias("kind"))) for k, on in kinds.items()]
+    found = log.where(kinds["N"] | kinds["X"] | kinds["B"])
+    return found.select("ticker", "epoch", "slice", F.inline(F.filter(F.array(*marks), lambda m: m.isNotNull())))
 
 
 def crossings(log: DataFrame, facts: DataFrame, carried: DataFrame, plain_cuts: DataFrame) -> DataFrame:
@@ -498,13 +536,8 @@ def epoch_cuts(log: DataFrame, gaps: DataFrame) -> DataFrame:
     """
     key = ["ticker", "epoch"]
     facts = materialize(slice_facts(log), "slice-facts")
-    marks = F.array(
-        *[F.struct(F.col(k).alias("pos"), F.lit(k).alias("kind")) for k in ("N", "X", "B")]
-    )
     plain = (
-        facts.select(*key, "slice", F.explode(marks).alias("m"))
-        .select(*key, "slice", "m.pos", "m.kind")
-        .where(F.col("pos").isNotNull())
+        plain_violations(log)
         .unionByName(gap_cuts(log, gaps).withColumn("kind", F.lit("G")))
         .groupBy(*key)
         .agg(F.min(F.struct("pos", "kind", "slice")).alias("m"))
