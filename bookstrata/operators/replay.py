@@ -393,12 +393,16 @@ def _slice_quotes(log: DataFrame, carried: DataFrame, wanted: DataFrame | None)
     rows = rows.withColumn("size", F.max("n").over(Window.partitionBy(*key)))
     closed = F.lead("n").over(Window.partitionBy(*key, "side", "price_e4").orderBy("rank"))
     rows = rows.withColumn("end", F.coalesce(closed, F.col("size") + 1))
-    price = lambda side: F.when(F.col("side") == side, F.col("price_e4"))
+    # Of levels that rest for the same stretch only the best counts: an image's many levels become a few rows.
+    price = lambda side: F.when(F.col("opened") & (F.col("side") == side), F.col("price_e4"))
+    rows = rows.groupBy(*key, "n", "end", "size", F.when(F.col("leads"), F.col("pos")).alias("pos"), "leads").agg(
+        F.max(price(BID)).alias("bid"), F.min(price(ASK)).alias("ask")
+    )
     none = F.lit(None)
     rests = F.transform(
         dyadic_blocks("n", "end", "size"),
         lambda b: F.struct(
-            b["level"].alias("level"), b["block"].alias("block"), price(BID).alias("bid"), price(ASK).alias("ask"),
+            b["level"].alias("level"), b["block"].alias("block"), F.col("bid"), F.col("ask"),
             none.cast("int").alias("n"), none.cast(kind).alias("pos"),
         ),
     )
@@ -410,7 +414,7 @@ def _slice_quotes(log: DataFrame, carried: DataFrame, wanted: DataFrame | None)
             F.col("n").alias("n"), F.when(h == 0, F.col("pos")).alias("pos"),
         ),
     )
-    rest = F.when(F.col("opened") & (F.col("side") >= 0), rests)
+    rest = F.when(F.coalesce("bid", "ask").isNotNull(), rests)
     empty = F.array().cast(f"array<struct<level:int,block:bigint,bid:int,ask:int,n:int,pos:{kind.simpleString()}>>")
     both = F.concat(F.coalesce(rest, empty), F.coalesce(F.when(F.col("leads"), meets), empty))
     parts = rows.select(*key, F.inline(both))
