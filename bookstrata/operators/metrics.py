@@ -78,6 +78,8 @@ def quotes_at_trades(trades: DataFrame, line: Timeline) -> DataFrame:
     quotes = quotes.groupBy("ticker", "mono").agg(
         F.max_by(F.struct("best_bid", "best_ask"), "pos").alias("q")
     ).select("ticker", "mono", "q.best_bid", "q.best_ask")
+    # The join reads its rows twice.
+    quotes = materialize(quotes, "quotes")
     return asof_join(
         trades, quotes, ["ticker"], F.col("recv_mono_ns"), F.col("mono"),
         floor_div("recv_mono_ns", BLOCK_NS), floor_div("mono", BLOCK_NS), ["best_bid", "best_ask"],
