@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bookstrata.functions.exact import floor_div
-from bookstrata.operators.ordering import minute_block, numbered, restart_boundaries, with_stretch
+from bookstrata.operators.ordering import numbered, restart_boundaries, with_stretch
 from bookstrata.operators.running import asof_join, dyadic_block, dyadic_blocks, dyadic_levels
 from bookstrata.session import materialize
 
@@ -506,18 +506,15 @@ def gap_cuts(log: DataFrame, gaps: DataFrame) -> DataFrame:
         .where(F.col("conn_id").isNotNull() & F.col("sid").isNotNull())
         .select("ticker", "epoch", "slice", "conn_id", "sid", "at", "until")
     )
-    here = F.struct("stretch", "mono")
-    block = lambda stretch, mono: F.struct(
-        stretch.alias("stretch"), minute_block(mono).alias("minute")
-    )
+    # Gaps of one reading are as one. A whole feed may lie within a minute, so no block of time would spread a subscription.
     found = asof_join(
         runs,
-        gaps.select("conn_id", "sid", "stretch", "mono"),
+        gaps.select("conn_id", "sid", "stretch", "mono").distinct(),
         ["conn_id", "sid"],
         F.col("at"),
-        here,
-        block(F.col("at.stretch"), F.col("at.mono")),
-        block(F.col("stretch"), F.col("mono")),
+        F.struct("stretch", "mono"),
+        None,
+        None,
         ["stretch", "mono"],
         forward=True,
         allow_equal=False,

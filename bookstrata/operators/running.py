@@ -16,6 +16,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from bookstrata.session import materialize
+
 
 @dataclass(frozen=True)
 class Running:
@@ -118,14 +120,20 @@ def latest_rows(
     return held.where(F.col("__rank") <= n).drop("__rank")
 
 
+def _in_ranges(rows: DataFrame, order: Sequence[str]) -> DataFrame:
+    """``rows`` with ``__block``, the range of ``order`` they lie in; left rows of one place may lie in several."""
+    laid = rows.repartitionByRange(*order, F.xxhash64("__row"))
+    return materialize(laid.withColumn("__block", F.spark_partition_id()), "asof")
+
+
 def asof_join(
     left: DataFrame,
     right: DataFrame,
     keys: Sequence[str],
     left_order: Column,
     right_order: Column,
-    left_block: Column,
-    right_block: Column,
+    left_block: Column | None,
+    right_block: Column | None,
     payload: Sequence[str],
     *,
     forward: bool = False,
@@ -143,20 +151,22 @@ def asof_join(
         keys: Equality columns present on both sides.
         left_order: Position of a left row.
         right_order: Position of a right row, of the same type.
-        left_block: Block of a left row; consistent with the order.
+        left_block: Block of a left row; consistent with the order. Without blocks the rows of both sides are laid out in
+            ranges of the order, so that rows of one instant spread, too; the ranges are written to the shared folder.
         right_block: Block of a right row.
         payload: Right columns to return.
         forward: Look for the next right row instead of the previous one.
         allow_equal: Whether a right row at the left row's own position matches.
         prefix: Put before payload names in the output.
     """
+    block = lambda given: (F.lit(0) if given is None else given).alias("__block")
     held = F.struct(right_order.alias("__at"), *[F.col(c).alias(c) for c in payload])
     rights = right.select(
-        *keys, right_block.alias("__block"), right_order.alias("__at"), held.alias("__found")
+        *keys, block(right_block), right_order.alias("__at"), held.alias("__found")
     ).withColumn("__right", F.lit(1))
     lefts = left.select(
         *keys,
-        left_block.alias("__block"),
+        block(left_block),
         left_order.alias("__at"),
         F.struct(*[F.col(c) for c in left.columns]).alias("__row"),
     ).withColumn("__right", F.lit(0))
@@ -165,28 +175,18 @@ def asof_join(
     right_first = allow_equal != forward
     rank = F.col("__right") if not right_first else -F.col("__right")
     rows = rows.withColumn("__rank", rank)
+    if left_block is None:
+        rows = _in_ranges(rows, [*keys, "__at", "__rank", "__found"])
     parts = [*keys, "__block"]
-    frame = Window.partitionBy(*parts).orderBy("__at", "__rank", "__found")
+    # Looking forward is looking back in the opposite order. A frame that ends at the last row is evaluated anew for every row,
+    # which takes the square of a block's rows; one that starts at the first row only grows.
+    toward = F.desc if forward else F.asc
+    before = lambda keys, order: Window.partitionBy(*keys).orderBy(*map(toward, order)).rowsBetween(Window.unboundedPreceding, -1)
     order_key = F.when(F.col("__found").isNotNull(), F.struct("__at", "__found"))
-    per_block = rows.groupBy(*parts)
-    if forward:
-        inside = F.first("__found", ignorenulls=True).over(
-            frame.rowsBetween(1, Window.unboundedFollowing)
-        )
-        totals = per_block.agg(F.min_by("__found", order_key).alias("__edge"))
-        across = Window.partitionBy(*keys).orderBy("__block")
-        carry = F.first("__edge", ignorenulls=True).over(
-            across.rowsBetween(1, Window.unboundedFollowing)
-        )
-    else:
-        inside = F.last("__found", ignorenulls=True).over(
-            frame.rowsBetween(Window.unboundedPreceding, -1)
-        )
-        totals = per_block.agg(F.max_by("__found", order_key).alias("__edge"))
-        across = Window.partitionBy(*keys).orderBy("__block")
-        carry = F.last("__edge", ignorenulls=True).over(
-            across.rowsBetween(Window.unboundedPreceding, -1)
-        )
+    nearest = F.min_by if forward else F.max_by
+    inside = F.last("__found", ignorenulls=True).over(before(parts, ["__at", "__rank", "__found"]))
+    totals = rows.groupBy(*parts).agg(nearest("__found", order_key).alias("__edge"))
+    carry = F.last("__edge", ignorenulls=True).over(before(keys, ["__block"]))
     carried = totals.select(*parts, carry.alias("__carry"))
     matched = (
         rows.withColumn("__inside", inside)

@@ -6,8 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from bookstrata.operators import audits as A
+from bookstrata.operators import replay as R
+from bookstrata.operators import running as N
 from bookstrata.operators.intervals import covered_ns, overlap_ns, union_intervals
 from bookstrata.operators.running import Running, asof_join, running
+from tests.sequential import run
+from tests.test_replay import as_dict, make_feed, to_tables
 
 LEVELS = "array<struct<side:tinyint,price_e4:int,count_e2:bigint>>"
 
@@ -110,6 +114,64 @@ def test_asof(spark, forward, equal):
         assert seen[n] == (None if best is None else best * 7)
 
 
+@pytest.mark.parametrize("forward", [False, True])
+def test_asof_in_one_block_is_linear(spark, forward):
+    """No frame reaches to the last row: Spark would evaluate it anew for every row, the square of a block's rows."""
+    left, right = spark.range(20_000).selectExpr("0 AS k", "id * 3 AS at"), spark.range(5_000).selectExpr("0 AS k", "id * 12 AS t")
+    got = asof_join(left, right, ["k"], F.col("at"), F.col("t"), F.lit(0), F.lit(0), [], forward=forward)
+    plan = got._jdf.queryExecution().optimizedPlan().toString().lower()
+    assert "window" in plan and "unboundedfollowing" not in plan
+    want = (lambda at: -(-at // 12) * 12 if at <= 59_988 else None) if forward else lambda at: at // 12 * 12
+    rows = got.collect()
+    assert len(rows) == 20_000 and all(r.found_at == want(r["at"]) for r in rows)
+
+
+@pytest.fixture
+def four_ranges(spark, monkeypatch):
+    """What as-of joins lay out, in as many ranges as the session has shuffle partitions, however small."""
+    written, real, name = {}, N.materialize, "spark.sql.adaptive.coalescePartitions.enabled"
+    monkeypatch.setattr(N, "materialize", lambda df, name: written.setdefault(name, real(df, name)))
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    yield written
+    spark.conf.set(name, before)
+
+
+def _largest_share(laid):
+    rows = [r["count"] for r in laid.groupBy("__block").count().collect()]
+    return max(rows) / sum(rows)
+
+
+@pytest.mark.parametrize("forward,equal", [(False, True), (False, False), (True, True), (True, False)])
+def test_asof_in_ranges(spark, four_ranges, forward, equal):
+    """Without blocks the rows of one key spread, also the 1,000 left ones of one instant."""
+    rng = random.Random(7)
+    left = [(n, 0, 5 if n < 1_000 else rng.randrange(12)) for n in range(1_200)]
+    right = [(0, at, at * 7) for at in (1, 5, 8)]
+    got = asof_join(
+        spark.createDataFrame(left, "n int, k int, at bigint"), spark.createDataFrame(right, "k int, t bigint, v bigint"), ["k"],
+        F.col("at"), F.col("t"), None, None, ["v"], forward=forward, allow_equal=equal,
+    )
+    seen = {r.n: r.v for r in got.collect()}
+    for n, _, at in left:
+        fits = [t for _, t, _ in right if (t > at if forward else t < at) or (equal and t == at)]
+        assert seen[n] == ((min(fits) if forward else max(fits)) * 7 if fits else None)
+    assert _largest_share(four_ranges["asof"]) < 0.5
+
+
+def test_gaps_of_one_minute_spread(spark, four_ranges):
+    """A feed received within one minute, three events a reading: gaps are found in ranges, with the books of a walk."""
+    feed = []
+    for n, (_, _, kind, r) in enumerate(make_feed(11, tickers=30, events=1_500, calm=True)):
+        at = n // 3 * 1_000
+        feed.append((10**18 + at, at, kind, {**r, "conn_id": 0, "ts_ms": n} if kind == "D" else {**r, "conn_id": 0}))
+    want = {t: (b.stale, b.ts, b.levels) for t, b in run(feed).items()}
+    assert as_dict(R.replay(*to_tables(spark, feed), slice_rows=16)) == want
+    laid = four_ranges["asof"]
+    assert laid.where("__right = 1").count() > 10 and laid.select("conn_id").distinct().count() == 1
+    assert _largest_share(laid) < 0.5
+
+
 def test_running_over_blocks(spark):
     rng = random.Random(7)
     rows = [(k, at, rng.choice([None, 1, 5, -2])) for k in range(2) for at in rng.sample(range(500), 80)]
